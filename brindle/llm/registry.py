@@ -6,24 +6,43 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, common, quality
+from brindle.llm import bpe, common, minhash, quality, secrets, simhash
 
-DOCUMENTS = ("doc_id", "text")
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return common.table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select(*DOCUMENTS)
     held_out = common.remainder(F.col("doc_id"), 3) == 1
+    docs = documents(spark, sf_dir)
     model = quality.train(docs, common.table(spark, sf_dir, "labels"), held_out=held_out)
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.neighbours(documents(spark, sf_dir))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir), width=3, radius=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digest(common.table(spark, sf_dir, "documents"), bpe.load(public_tokenizers.path("byte_bpe_50k.json")))
+    return bpe.digest(documents(spark, sf_dir), bpe.load(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_quality, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_fingerprints, op3_simhash, op4_secrets, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
