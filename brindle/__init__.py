@@ -1 +1,21 @@
 """Spark-native analytics: typed modules compiled to lazy DataFrame plans."""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+from pathlib import Path
+
+_shipped: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Send this package to the executors once per application, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        home = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp()  # executors fetch the archive from the driver as they start
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.addPyFile(shutil.make_archive(f"{folder}/{home.name}", "zip", home.parent, home.name))
+        _shipped.add(context.applicationId)
