@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, common, minhash, quality, secrets, simhash
+from brindle.llm import bpe, common, contamination, licenses, linededup, minhash, quality, secrets, simhash, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,12 +37,33 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.by_document(documents(spark, sf_dir)).select("doc_id", F.array_join("licenses", ",").alias("licenses"), F.size("found").alias("n_blocks"), "found")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = common.remainder(F.col("doc_id"), 3) == 1
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, common.table(spark, sf_dir, "labels"), held_out=held_out)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "spans")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(documents(spark, sf_dir))
+    return found.select("doc_id", F.size("removed").alias("n_removed_runs"), "removed", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = contamination.load(common.table(spark, sf_dir, "benchmark"))
+    return contamination.find_leaks(documents(spark, sf_dir), items).drop("row_text")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(documents(spark, sf_dir), bpe.load(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_quality, op2_fingerprints, op3_simhash, op4_secrets, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_fingerprints, op3_simhash, op4_secrets, op5_licenses, op7_toxicity, op8_line_dedup, op9_decontamination, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
