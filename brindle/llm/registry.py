@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, common, contamination, licenses, linededup, minhash, quality, secrets, simhash, toxicity
+from brindle.llm import bpe, common, contamination, katz, licenses, linededup, minhash, quality, secrets, simhash, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,13 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.by_document(documents(spark, sf_dir)).select("doc_id", F.array_join("licenses", ",").alias("licenses"), F.size("found").alias("n_blocks"), "found")
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = common.remainder(F.col("doc_id"), 7) == 2
+    model = katz.fit_and_score(documents(spark, sf_dir), ~held_out)
+    total = F.lit(model.plan.words.total).cast("long")
+    return model.scores.select("doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", total.alias("train_tokens"), "base_score", "score")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = common.remainder(F.col("doc_id"), 3) == 1
     docs = documents(spark, sf_dir)
@@ -63,7 +70,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_quality, op2_fingerprints, op3_simhash, op4_secrets, op5_licenses, op7_toxicity, op8_line_dedup, op9_decontamination, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_fingerprints, op3_simhash, op4_secrets, op5_licenses, op6_language_model, op7_toxicity, op8_line_dedup, op9_decontamination, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
