@@ -43,11 +43,13 @@ def words(c: Column, remove_stop_words: bool = True) -> Column:
 def word_grams(c: Column, longest: int, remove_stop_words: bool = True) -> Column:
     """All runs of 1 to ``longest`` words, joined by underscores; single words first."""
     w = words(c, remove_stop_words)
-    grams = [w]
-    for n in range(2, min(max(longest, 1), 5) + 1):
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i, n=n: i <= F.size(w) - n + 1)
-        grams.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(w, i, n), "_")))
-    return F.flatten(F.array(*grams))
+
+    def of(n: int) -> Column:
+        last = F.size(w) - n + 1
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: i <= last)
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), "_"))
+
+    return F.flatten(F.array(w, *[of(n) for n in range(2, min(max(longest, 1), 5) + 1)]))
 
 
 def char_grams(c: Column, n: int) -> Column:
