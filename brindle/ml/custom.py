@@ -161,12 +161,12 @@ def spikes(df: DataFrame, column: str, order: str | list[str], confidence: float
 
 
 def ssa_forecast(values: np.ndarray, window: int, horizon: int) -> np.ndarray:
-    """Recurrent singular spectrum forecast (Golyandina 2001) keeping the components that hold 99 % of the energy."""
+    """Recurrent singular spectrum forecast (Golyandina 2001) keeping singular values over 2.858 medians (Gavish and Donoho 2014)."""
     n = len(values)
     lagged = np.lib.stride_tricks.sliding_window_view(values, window).T
     u, s, _ = np.linalg.svd(lagged @ lagged.T)
-    share = np.cumsum(s) / max(s.sum(), 1e-300)
-    rank = min(int(np.searchsorted(share, 0.99)) + 1, window - 1)
+    s = np.sqrt(s)
+    rank = min(max(1, int((s > max(2.858 * np.median(s), 1e-6 * s[0])).sum())), window - 1)
     u = u[:, :rank]
     rebuilt, counts = np.zeros(n), np.zeros(n)
     low = u @ (u.T @ lagged)
