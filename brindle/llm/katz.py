@@ -43,7 +43,7 @@ from brindle.llm import common
 from brindle.llm.common import mix
 
 TOP = 5
-CHUNK_TOKENS, BUCKET_ENTRIES = 3 << 20, 400_000
+CHUNK_TOKENS, BUCKET_ENTRIES = 2 << 20, 400_000
 END, START = b"\n", b" "  # no word holds either
 _ENDED = np.int64(np.uint64(xxhash.xxh64_intdigest(END)).view(np.int64))
 
@@ -209,11 +209,14 @@ class Chunk:
         before[1:] = self.tokens[:-1]
         before[self.first] = start
         base = len(words) + 1
-        key = before * base + self.tokens
-        self.pairs, self.back = np.unique(key, return_inverse=True)
-        self.context, self.word = self.pairs // base, self.pairs % base
-        trains = np.repeat(row["trains"], sizes)
-        self.pair_count = np.bincount(self.back[trains], minlength=len(self.pairs)).astype(np.int64)
+        before *= base
+        before += self.tokens
+        pairs, back = np.unique(before, return_inverse=True)
+        del before
+        self.back = back.astype(np.int32)
+        self.context, self.word = (pairs // base).astype(np.int32), (pairs % base).astype(np.int32)
+        self.pair_count = np.bincount(self.back[np.repeat(row["trains"], sizes)], minlength=len(pairs))
+        del pairs, back
         self.hot = self.count >= plan.hot_count
         key = np.where(self.hot[self.context], mix(self.number[self.context].view(np.uint64)).view(np.int64) ^ self.number[self.word], self.number[self.context])
         self.parts = list(split_by(bucket_of(key, plan.pair_buckets)))
@@ -269,17 +272,29 @@ def count_pairs(chunks: DataFrame, replies: DataFrame, plan: Plan) -> DataFrame:
     id_kind, id_list = ("int", _INTS) if plan.offsets[-1] < (1 << 31) - 2 else ("bigint", _LONGS)
     asked_names = ["bucket", "task", "chunk", "contexts", "sizes", "words", "lower", "counts"]
 
+    kinds = [*[pa.int32()] * 3, id_list, _INTS, id_list, _LONGS, _INTS]
+    asked_schema = pa.schema(list(zip(asked_names, kinds)))
+
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
-        columns: list[list] = [[] for _ in asked_names]
+        out = [asked_schema.empty_table()]
         for row in chunk_rows(left):
+            # One chunk at a time goes to Arrow, so its numpy arrays are gone before the next one's are made.
             c = Chunk(row, word_replies(right, row["chunk"]), shared.value)
-            for bucket, part in c.parts:
-                contexts, begin = c.grouped(part)
-                values = (bucket, row["task"], row["chunk"], c.number[contexts], np.diff(np.r_[begin, len(part)]), c.number[c.word[part]], c.count[c.word[part]], c.pair_count[part])
-                for column, v in zip(columns, values):
-                    column.append(v)
-        kinds = [*[pa.int32()] * 3, id_list, _INTS, id_list, _LONGS, _INTS]
-        return pa.table([pa.array(v, k) if not pa.types.is_list(k) else lists(v, k) for v, k in zip(columns, kinds)], names=asked_names)
+            number = c.number.astype(np.int32) if id_list is _INTS else c.number
+            contexts = [c.grouped(part) for _, part in c.parts]
+            columns = [
+                pa.array([b for b, _ in c.parts], pa.int32()),
+                pa.array([row["task"]] * len(c.parts), pa.int32()),
+                pa.array([row["chunk"]] * len(c.parts), pa.int32()),
+                lists([number[places] for places, _ in contexts], id_list),
+                lists([np.diff(np.r_[begin, len(part)]).astype(np.int32) for (_, begin), (_, part) in zip(contexts, c.parts)], _INTS),
+                lists([number[c.word[part]] for _, part in c.parts], id_list),
+                lists([c.count[c.word[part]] for _, part in c.parts], _LONGS),
+                lists([c.pair_count[part].astype(np.int32) for _, part in c.parts], _INTS),
+            ]
+            out.append(pa.table(columns, schema=asked_schema))
+            del c, contexts, columns
+        return pa.concat_tables(out)
 
     asked = chunks.groupBy("task").cogroup(replies.groupBy("task")).applyInArrow(ask, f"bucket int, task int, chunk int, contexts array<{id_kind}>, sizes array<int>, words array<{id_kind}>, lower array<bigint>, counts array<int>")
 
@@ -349,7 +364,7 @@ def evaluate(chunks: DataFrame, replies: DataFrame, plan: Plan) -> DataFrame:
         kind, chunk = right["kind"].to_numpy(), right["chunk"].to_numpy()
         for row in chunk_rows(left):
             c = Chunk(row, word_replies(right, row["chunk"]), p)
-            total = np.zeros(len(c.pairs), np.int64)
+            total = np.zeros(len(c.context), np.int64)
             weight = np.ones(len(c.count))
             for place in np.flatnonzero(c.hot):
                 k = p.hot.get(int(c.number[place]))
