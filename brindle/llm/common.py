@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
 #: Bytes of text that one numpy pass works on; bounds a task's memory whatever the batch size.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 

@@ -12,8 +12,9 @@ occurrences in the training texts, N tokens and V distinct ones::
 ``(r - 1/2) / r``) and 1 above. One pseudo-count per context goes to backing off, so no context is left without mass and
 every distribution sums to 1 exactly.
 
-How it runs. Each task packs its texts into chunks of token numbers with the chunk's own vocabulary, written once as a
-table bucketed by task. Counting and looking up are the same exchange: a chunk sends each bucket its distinct n-grams with
+How it runs. Each task packs its texts into chunks of about ``chunk_tokens`` token numbers with the chunk's own vocabulary,
+written once as a table bucketed by chunk. A chunk is what one Python call holds, so its size is set by the workers' memory;
+larger chunks repeat fewer pairs. Counting and looking up are the same exchange: a chunk sends each bucket its distinct n-grams with
 their training counts, in an order it can repeat; the bucket adds them up and sends the totals back in that order. So a
 frequent word or pair costs one entry per chunk, never one per occurrence. Pairs are dealt by context, but for contexts
 with over ``hot`` of the training tokens, which are dealt by pair; at most ``1 / hot`` contexts are hot, a proven
@@ -43,7 +44,7 @@ from brindle.llm import common
 from brindle.llm.common import mix
 
 TOP = 5
-CHUNK_TOKENS, BUCKET_ENTRIES = 2 << 20, 400_000
+CHUNK_TOKENS, BUCKET_ENTRIES = 5 << 18, 400_000
 END, START = b"\n", b" "  # no word holds either
 _ENDED = np.int64(np.uint64(xxhash.xxh64_intdigest(END)).view(np.int64))
 
@@ -78,11 +79,11 @@ def kinds_of(counts: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(counts[counts > 0], TOP + 2), minlength=TOP + 3)[: TOP + 2].tolist()
 
 
-def pack(docs: DataFrame, trains: Column) -> DataFrame:
+def pack(docs: DataFrame, trains: Column, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """Chunks of ``docs(doc_id, text)``: token numbers, the chunk's vocabulary and its training counts."""
     docs = docs.select("doc_id", "text", F.coalesce(trains, F.lit(False)).alias("trains"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"task int, chunk int, doc_ids array<{id_type}>, trains array<boolean>, sizes array<int>, tokens array<int>, words array<bigint>, counts array<int>, n_words int"
+    schema = f"chunk bigint, doc_ids array<{id_type}>, trains array<boolean>, sizes array<int>, tokens array<int>, words array<bigint>, counts array<int>, n_words int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, chunk = TaskContext.get().partitionId(), itertools.count()
@@ -97,9 +98,9 @@ def pack(docs: DataFrame, trains: Column) -> DataFrame:
             counts = np.bincount(tokens[np.repeat(np.array(train, bool), sizes)], minlength=len(numbers)).astype(np.int32)
             digest = xxhash.xxh64_intdigest
             words = np.array([digest(w) for w in numbers], np.uint64).view(np.int64)
-            row = [[task], [next(chunk)], [pa.concat_arrays(ids)], [train], [np.array(sizes, np.int32)], [tokens], [words], [counts], [len(words)]]
-            kinds = [pa.int32(), pa.int32(), pa.list_(ids[0].type), pa.list_(pa.bool_()), *[pa.list_(pa.int32())] * 2, pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32()]
-            names = ["task", "chunk", "doc_ids", "trains", "sizes", "tokens", "words", "counts", "n_words"]
+            row = [[(task << 32) | next(chunk)], [pa.concat_arrays(ids)], [train], [np.array(sizes, np.int32)], [tokens], [words], [counts], [len(words)]]
+            kinds = [pa.int64(), pa.list_(ids[0].type), pa.list_(pa.bool_()), *[pa.list_(pa.int32())] * 2, pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32()]
+            names = ["chunk", "doc_ids", "trains", "sizes", "tokens", "words", "counts", "n_words"]
             arrays = [pa.array(v, k) if not isinstance(v[0], (np.ndarray, pa.Array)) else one(v[0], k) for v, k in zip(row, kinds)]
             return pa.RecordBatch.from_arrays(arrays, names)
 
@@ -114,7 +115,7 @@ def pack(docs: DataFrame, trains: Column) -> DataFrame:
                 held += len(found)
             ids.append(part.column("doc_id"))
             train += part.column("trains").to_pylist()
-            if held >= CHUNK_TOKENS:
+            if held >= chunk_tokens:
                 yield packed()
                 (numbers, ids, train, sizes, texts), held = fresh(), 0
         if sizes:
@@ -158,6 +159,7 @@ def split_by(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(bucket[part[0]]), part
 
 
+WORD_ROWS = "kind string, bucket int, chunk bigint, totals array<bigint>, index array<int>, words array<bigint>, n_words int, kinds array<bigint>"
 _INTS, _LONGS, _DOUBLES = pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.float64())
 
 
@@ -171,10 +173,10 @@ def count_words(chunks: DataFrame, buckets: int) -> DataFrame:
                 words, counts = flat(row.column("words")), flat(row.column("counts"))
                 parts = list(split_by(bucket_of(words, buckets)))
                 n = len(parts)
-                same = lambda c: pa.array([row.column(c)[0].as_py()] * n, pa.int32())  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), same("task"), same("chunk"), lists([words[p] for _, p in parts], _LONGS), lists([counts[p] for _, p in parts], _INTS)], ["bucket", "task", "chunk", "words", "counts"])
+                same = pa.array([row.column("chunk")[0].as_py()] * n, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), same, lists([words[p] for _, p in parts], _LONGS), lists([counts[p] for _, p in parts], _INTS)], ["bucket", "chunk", "words", "counts"])
 
-    asked = chunks.select("task", "chunk", "words", "counts").mapInArrow(ask, "bucket int, task int, chunk int, words array<bigint>, counts array<int>")
+    asked = chunks.select("chunk", "words", "counts").mapInArrow(ask, "bucket int, chunk bigint, words array<bigint>, counts array<int>")
 
     def add_up(part: pa.Table) -> pa.Table:
         words, back = np.unique(flat(part["words"]), return_inverse=True)
@@ -182,12 +184,12 @@ def count_words(chunks: DataFrame, buckets: int) -> DataFrame:
         cut = np.cumsum(lengths(part["words"]))[:-1]
         bucket, n = part["bucket"][0].as_py(), part.num_rows
         # A word's index counts the bucket's words before it, in the order of their hashes.
-        replies = pa.table([pa.array(["reply"] * n), part["bucket"], part["task"], part["chunk"], lists(np.split(totals[back], cut), _LONGS), lists(np.split(back, cut), _INTS), pa.nulls(n, _LONGS), pa.nulls(n, pa.int32()), pa.nulls(n, _LONGS)], names=names)
-        table = pa.table([pa.array(["table"]), pa.array([bucket], pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), one(totals, _LONGS), pa.nulls(1, _INTS), one(words, _LONGS), pa.array([len(words)], pa.int32()), one(np.array(kinds_of(totals), np.int64), _LONGS)], names=names)
+        replies = pa.table([pa.array(["reply"] * n), part["bucket"], part["chunk"], lists(np.split(totals[back], cut), _LONGS), lists(np.split(back, cut), _INTS), pa.nulls(n, _LONGS), pa.nulls(n, pa.int32()), pa.nulls(n, _LONGS)], names=names)
+        table = pa.table([pa.array(["table"]), pa.array([bucket], pa.int32()), pa.nulls(1, pa.int64()), one(totals, _LONGS), pa.nulls(1, _INTS), one(words, _LONGS), pa.array([len(words)], pa.int32()), one(np.array(kinds_of(totals), np.int64), _LONGS)], names=names)
         return pa.concat_tables([replies, table.cast(replies.schema)])
 
-    names = ["kind", "bucket", "task", "chunk", "totals", "index", "words", "n_words", "kinds"]
-    return asked.groupBy("bucket").applyInArrow(add_up, "kind string, bucket int, task int, chunk int, totals array<bigint>, index array<int>, words array<bigint>, n_words int, kinds array<bigint>")
+    names = ["kind", "bucket", "chunk", "totals", "index", "words", "n_words", "kinds"]
+    return asked.groupBy("bucket").applyInArrow(add_up, WORD_ROWS)
 
 
 class Chunk:
@@ -244,6 +246,19 @@ class Plan:
     def word_probability(self, count: np.ndarray) -> np.ndarray:
         return self.words.discounted(count) / (self.words.total + 1)
 
+    @property
+    def number_kind(self) -> tuple[str, pa.DataType]:
+        return ("int", _INTS) if self.offsets[-1] < (1 << 31) - 2 else ("bigint", _LONGS)
+
+    @property
+    def count_kind(self) -> tuple[str, pa.DataType]:
+        return ("int", _INTS) if self.words.total < 1 << 31 else ("bigint", _LONGS)
+
+    @property
+    def pair_rows(self) -> str:
+        id_kind = self.number_kind[0]
+        return f"kind string, bucket int, chunk bigint, totals array<bigint>, weak array<int>, weak_kinds array<int>, weak_high array<bigint>, weak_lower array<double>, contexts array<{id_kind}>, sizes array<int>, words array<{id_kind}>, kinds array<bigint>"
+
     @property
     def unknown(self) -> float:
         kinds, d = self.words.kinds, self.words.discount
@@ -255,7 +270,7 @@ def chunk_rows(table: pa.Table) -> Iterator[dict]:
     for i in range(table.num_rows):
         row = table.slice(i, 1)
         out = {n: flat(row[n]) for n in ("trains", "sizes", "tokens", "words")}
-        yield out | {"chunk": row["chunk"][0].as_py(), "task": row["task"][0].as_py(), "doc_ids": row["doc_ids"].combine_chunks().flatten()}
+        yield out | {"chunk": row["chunk"][0].as_py(), "doc_ids": row["doc_ids"].combine_chunks().flatten()}
 
 
 def word_replies(table: pa.Table, chunk: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -269,10 +284,11 @@ def word_replies(table: pa.Table, chunk: int) -> list[tuple[int, np.ndarray, np.
 def count_pairs(chunks: DataFrame, replies: DataFrame, plan: Plan) -> DataFrame:
     """The bigram exchange: ``'table'`` rows (contexts, sizes, words, counts), ``'pairs'`` replies and ``'hot'`` partial sums."""
     shared = chunks.sparkSession.sparkContext.broadcast(plan)
-    id_kind, id_list = ("int", _INTS) if plan.offsets[-1] < (1 << 31) - 2 else ("bigint", _LONGS)
-    asked_names = ["bucket", "task", "chunk", "contexts", "sizes", "words", "lower", "counts"]
+    id_kind, id_list = plan.number_kind
+    count_kind, count_list = plan.count_kind
+    asked_names = ["bucket", "chunk", "contexts", "sizes", "words", "lower", "counts"]
 
-    kinds = [*[pa.int32()] * 3, id_list, _INTS, id_list, _LONGS, _INTS]
+    kinds = [pa.int32(), pa.int64(), id_list, _INTS, id_list, count_list, _INTS]
     asked_schema = pa.schema(list(zip(asked_names, kinds)))
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -281,31 +297,31 @@ def count_pairs(chunks: DataFrame, replies: DataFrame, plan: Plan) -> DataFrame:
             # One chunk at a time goes to Arrow, so its numpy arrays are gone before the next one's are made.
             c = Chunk(row, word_replies(right, row["chunk"]), shared.value)
             number = c.number.astype(np.int32) if id_list is _INTS else c.number
+            count = c.count.astype(np.int32) if count_list is _INTS else c.count
             contexts = [c.grouped(part) for _, part in c.parts]
             columns = [
                 pa.array([b for b, _ in c.parts], pa.int32()),
-                pa.array([row["task"]] * len(c.parts), pa.int32()),
-                pa.array([row["chunk"]] * len(c.parts), pa.int32()),
+                pa.array([row["chunk"]] * len(c.parts), pa.int64()),
                 lists([number[places] for places, _ in contexts], id_list),
                 lists([np.diff(np.r_[begin, len(part)]).astype(np.int32) for (_, begin), (_, part) in zip(contexts, c.parts)], _INTS),
                 lists([number[c.word[part]] for _, part in c.parts], id_list),
-                lists([c.count[c.word[part]] for _, part in c.parts], _LONGS),
+                lists([count[c.word[part]] for _, part in c.parts], count_list),
                 lists([c.pair_count[part].astype(np.int32) for _, part in c.parts], _INTS),
             ]
             out.append(pa.table(columns, schema=asked_schema))
             del c, contexts, columns
         return pa.concat_tables(out)
 
-    asked = chunks.groupBy("task").cogroup(replies.groupBy("task")).applyInArrow(ask, f"bucket int, task int, chunk int, contexts array<{id_kind}>, sizes array<int>, words array<{id_kind}>, lower array<bigint>, counts array<int>")
+    asked = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(ask, f"bucket int, chunk bigint, contexts array<{id_kind}>, sizes array<int>, words array<{id_kind}>, lower array<{count_kind}>, counts array<int>")
 
-    names = ["kind", "bucket", "task", "chunk", "totals", "weak", "weak_kinds", "weak_high", "weak_lower", "contexts", "sizes", "words", "kinds"]
-    kinds = [pa.string(), *[pa.int32()] * 3, _LONGS, _INTS, _INTS, _LONGS, _DOUBLES, id_list, _INTS, id_list, _LONGS]
+    names = ["kind", "bucket", "chunk", "totals", "weak", "weak_kinds", "weak_high", "weak_lower", "contexts", "sizes", "words", "kinds"]
+    kinds = [pa.string(), pa.int32(), pa.int64(), _LONGS, _INTS, _INTS, _LONGS, _DOUBLES, id_list, _INTS, id_list, _LONGS]
 
     def add_up(part: pa.Table) -> pa.Table:
         p = shared.value
         sizes = flat(part["sizes"])
         context = np.repeat(flat(part["contexts"]), sizes).astype(np.int64)
-        word, lower, count = flat(part["words"]).astype(np.int64), flat(part["lower"]), flat(part["counts"])
+        word, lower, count = flat(part["words"]).astype(np.int64), flat(part["lower"]).astype(np.int64), flat(part["counts"])
         order = np.lexsort((word, context))
         new = np.ones(len(order), bool)
         new[1:] = (context[order][1:] != context[order][:-1]) | (word[order][1:] != word[order][:-1])
@@ -331,20 +347,19 @@ def count_pairs(chunks: DataFrame, replies: DataFrame, plan: Plan) -> DataFrame:
             answer = total[mine]
             weak = np.flatnonzero(np.add.reduceat((answer == 0).astype(np.int64), begin)) if len(own) else begin
             which = owner[mine[begin[weak]]]
-            rows.append(["pairs", part["bucket"][i].as_py(), part["task"][i].as_py(), part["chunk"][i].as_py(), answer, weak, by_kind[which].ravel(), high[which], mass[which], [], [], [], []])
+            rows.append(["pairs", part["bucket"][i].as_py(), part["chunk"][i].as_py(), answer, weak, by_kind[which].ravel(), high[which], mass[which], [], [], [], []])
             at, at_context = at + n_entries[i], at_context + n_contexts[i]
         bucket = part["bucket"][0].as_py()
         kept = np.bincount(owner[seen], minlength=len(fresh))
         full = kept > 0
         heads = c[fresh]
-        rows.append(["table", bucket, None, None, total[seen], [], [], [], [], heads[full], kept[full], w[seen], kinds_of(total)])
+        rows.append(["table", bucket, None, total[seen], [], [], [], [], heads[full], kept[full], w[seen], kinds_of(total)])
         hot = np.flatnonzero(np.isin(heads, p.hot_numbers))
-        rows.append(["hot", bucket, None, None, [], [], by_kind[hot].ravel(), high[hot], mass[hot], heads[hot], [], [], []])
+        rows.append(["hot", bucket, None, [], [], by_kind[hot].ravel(), high[hot], mass[hot], heads[hot], [], [], []])
         columns = list(zip(*rows))
         return pa.table([pa.array(v, k) if not pa.types.is_list(k) else lists([np.asarray(x) for x in v], k) for v, k in zip(columns, kinds)], names=names)
 
-    schema = f"kind string, bucket int, task int, chunk int, totals array<bigint>, weak array<int>, weak_kinds array<int>, weak_high array<bigint>, weak_lower array<double>, contexts array<{id_kind}>, sizes array<int>, words array<{id_kind}>, kinds array<bigint>"
-    return asked.groupBy("bucket").applyInArrow(add_up, schema)
+    return asked.groupBy("bucket").applyInArrow(add_up, plan.pair_rows)
 
 
 def backoff(plan: Plan, count: np.ndarray, kinds: np.ndarray, high: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -388,7 +403,7 @@ def evaluate(chunks: DataFrame, replies: DataFrame, plan: Plan) -> DataFrame:
             out.append(pa.table([row["doc_ids"], pa.array(row["trains"], pa.bool_()), pa.array(row["sizes"].astype(np.int64)), pa.array(add((count > 0)[c.tokens].astype(np.int64))), pa.array(add(base[c.tokens])), pa.array(add(np.log10(pair)[c.back]))], names=names))
         return pa.concat_tables(out)
 
-    return chunks.groupBy("task").cogroup(replies.groupBy("task")).applyInArrow(run, f"doc_id {id_type}, trains boolean, n_tokens long, n_known long, base_score double, score double")
+    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, f"doc_id {id_type}, trains boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 @dataclass
@@ -400,20 +415,20 @@ class Katz:
     scores: DataFrame
 
 
-def fit_and_score(docs: DataFrame, trains: Column, *, hot: float = 1e-3) -> Katz:
+def fit_and_score(docs: DataFrame, trains: Column, *, hot: float = 1e-3, chunk_tokens: int | None = None) -> Katz:
     """Count the texts where ``trains`` holds and score all texts of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
     path = common.scratch(spark)
     name = f"katz_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pack(docs, trains).write.option("path", f"{path}/chunks").option("compression", "zstd").bucketBy(buckets, "task").saveAsTable(name)
+    pack(docs, trains, chunk_tokens or CHUNK_TOKENS).write.option("path", f"{path}/chunks").option("compression", "zstd").bucketBy(buckets, "chunk").saveAsTable(name)
     chunks = spark.table(name)
     size = chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("trains", lambda x: x))), F.lit(0))).first()
     n_words, n_tokens, train_docs = map(int, size)
 
     word_buckets = max(1, -(-n_words // BUCKET_ENTRIES))
     count_words(chunks, word_buckets).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/words")
-    counted = spark.read.parquet(f"{path}/words")
+    counted = spark.read.schema(WORD_ROWS).parquet(f"{path}/words")
     table = counted.where("kind = 'table'").select("bucket", "n_words", "kinds", F.aggregate("totals", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size(F.filter("totals", lambda x: x > 0)).alias("types")).collect()
     # One row of a few numbers per bucket reaches the driver.
     offsets = np.zeros(word_buckets + 1, np.int64)
@@ -425,9 +440,9 @@ def fit_and_score(docs: DataFrame, trains: Column, *, hot: float = 1e-3) -> Katz
     numbers = [int(plan.offsets[r["bucket"]] + r["index"]) for r in heavy.collect()]  # at most 1 / hot rows
     plan.hot_numbers = np.array(numbers + [int(plan.offsets[-1])] * (train_docs >= plan.hot_count), np.int64)
 
-    replies = counted.where("kind = 'reply'").select("kind", "bucket", "task", "chunk", "totals", "index")
+    replies = counted.where("kind = 'reply'").select("kind", "bucket", "chunk", "totals", "index")
     count_pairs(chunks, replies, plan).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/pairs")
-    paired = spark.read.parquet(f"{path}/pairs")
+    paired = spark.read.schema(plan.pair_rows).parquet(f"{path}/pairs")
     kinds = paired.where("kind = 'table'").select(F.posexplode("kinds").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect()
     spread = np.zeros(TOP + 2)
     for r in kinds:
@@ -438,5 +453,5 @@ def fit_and_score(docs: DataFrame, trains: Column, *, hot: float = 1e-3) -> Katz
         for i, context in enumerate(r["contexts"]):
             plan.hot[context] = plan.hot.get(context, 0) + np.r_[k[i], r["weak_high"][i], r["weak_lower"][i]]
 
-    both = replies.unionByName(paired.where("kind = 'pairs'").select("kind", "bucket", "task", "chunk", "totals", "weak", "weak_kinds", "weak_high", "weak_lower"), allowMissingColumns=True)
+    both = replies.unionByName(paired.where("kind = 'pairs'").select("kind", "bucket", "chunk", "totals", "weak", "weak_kinds", "weak_high", "weak_lower"), allowMissingColumns=True)
     return Katz(path, plan, evaluate(chunks, both, plan))

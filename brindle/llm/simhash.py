@@ -120,28 +120,31 @@ def links(values: DataFrame, *, radius: int = 3, agree: int = 2) -> DataFrame:
     return pairs.unionByName(large.groupBy("choice", "bits", "low", "high").applyInPandas(compare, "a long, b long"))
 
 
-def classes(docs: DataFrame, *, width: int = 3, radius: int = 3, agree: int = 2) -> DataFrame:
-    """``(doc_id, row_text, fingerprint, root)`` of every row: rows with one root are linked.
+def _rooted(docs: DataFrame, first: Column, width: int, radius: int, agree: int) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(doc_id, row_text, fingerprint)``, and per distinct fingerprint its ``root`` and the ``first`` of its rows.
 
-    ``row_text`` is xxhash64 of the text, which tells apart rows that repeat a doc_id."""
+    ``row_text`` is xxhash64 of the text, which tells apart rows that repeat a doc_id. Rows meet in partial aggregates by
+    fingerprint only; components are shuffled as one row per fingerprint."""
     marked = fingerprints(docs.select("doc_id", "text"), width=width).select("doc_id", F.xxhash64("text").alias("row_text"), "fingerprint")
     marked = common.written(marked)
-    nodes = common.written(marked.select("fingerprint").distinct())
-    roots = components(links(nodes, radius=radius, agree=agree))
-    return marked.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    nodes = common.written(marked.groupBy("fingerprint").agg(first.alias("first")))
+    roots = components(links(nodes.select("fingerprint"), radius=radius, agree=agree)).withColumnRenamed("node", "fingerprint")
+    return marked, nodes.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 3, radius: int = 3, agree: int = 2) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` of every row: the smallest doc_id within reach of links."""
-    found = classes(docs, width=width, radius=radius, agree=agree)
-    named = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return found.join(named, "root").select("doc_id", "fingerprint", "component_id")
+    marked, nodes = _rooted(docs, F.min("doc_id"), width, radius, agree)
+    named = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
+    classes = nodes.join(named, "root").select("fingerprint", "component_id")
+    return marked.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def representatives(docs: DataFrame, *, width: int = 3, radius: int = 3, agree: int = 2) -> DataFrame:
     """The row with the smallest doc_id of each component, other columns kept; of equal rows one stays."""
     lowest = F.lit(-(1 << 63)).cast("long")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", lowest).alias("_sh_id"), F.col("row_text").alias("_sh_text"))).alias("first")
-    kept = classes(docs, width=width, radius=radius, agree=agree).groupBy("root").agg(first).select("first._sh_id", "first._sh_text")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", lowest).alias("_sh_id"), F.col("row_text").alias("_sh_text")))
+    _, nodes = _rooted(docs, first, width, radius, agree)
+    kept = nodes.groupBy("root").agg(F.min("first").alias("first")).select("first._sh_id", "first._sh_text")
     keyed = docs.withColumn("_sh_id", F.coalesce("doc_id", lowest)).withColumn("_sh_text", F.xxhash64("text"))
     return keyed.join(kept, ["_sh_id", "_sh_text"]).dropDuplicates(["_sh_id", "_sh_text"]).select(*docs.columns)
