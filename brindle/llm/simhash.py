@@ -6,17 +6,26 @@ shingles' XXH64 values (seed 42).
 
 Equal fingerprints are one node from the start, so copies cost one row. With ``radius`` r the 64 bits are cut into
 ``r + agree`` blocks: two fingerprints within the radius agree on at least ``agree`` of them, so every link shares the
-key of some ``agree`` blocks. A key with few fingerprints is joined with itself; one with many is dealt into slices that
-are compared pair by pair of slices in numpy, each task handing on only the links of a spanning forest, so no group is
-ever whole in one task and its pairs are never rows. The method is exact.
+key of some ``agree`` blocks. Any ``agree`` gives the same links; the default is the least whose keys have as many values
+as there are fingerprints, so that a key's company does not grow with the corpus. A key with few fingerprints is joined
+with itself; one with many is dealt into slices that are compared pair by pair of slices in numpy, each task handing on
+only the links of a spanning forest, so no group is ever whole in one task and its pairs are never rows. The links of
+fingerprints are exact.
+
+``representatives`` asks for more than close fingerprints: texts whose sets of ``width`` words have Jaccard similarity
+``similarity`` or more. Its fingerprints are ``prints`` independent ones of each text's set of words: an edited word is
+one word and ``width`` shingles, so words keep near copies within a small radius, and independent prints make up for the
+rest. Pairs within the radius in any print are verified by the exact similarity. In a key with many texts the pairs are
+those of a minimum spanning forest by the distance over all prints, which holds a path of close pairs wherever there is one.
 
 Null and empty texts have fingerprint zero and link like any other. Repeated rows share a component. A null doc_id never
-names a component unless the component has no other. Other columns are not read.
+names a component unless the component has no other. Other columns are not read. Texts are told apart by XXH64.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +40,7 @@ from brindle.llm.components import components
 
 #: Fingerprints of one key up to which the key is joined with itself, and in one slice of a larger key.
 SMALL, SLICE = 24, 1024
+_APART = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: bytes, width: int) -> int:
@@ -63,17 +73,47 @@ def fingerprints(docs: DataFrame, *, width: int = 3) -> DataFrame:
     return docs.mapInArrow(run, common.extended(docs.schema, fingerprint="long"))
 
 
-def block_keys(value: Column, radius: int, agree: int) -> Column:
-    """One long per choice of blocks: the choice's number and the blocks' bits."""
+def enough_blocks(count: int, radius: int) -> int:
+    """The least number of blocks in a key that gives keys as many values as there are fingerprints."""
+    agree = 1
+    while agree < 8 and 64 * agree / (radius + agree) < math.log2(max(count, 2)):
+        agree += 1
+    return agree
+
+
+def block_keys(value: Column, radius: int, agree: int, offset: int = 0) -> Column:
+    """For each choice of blocks: the choice's number, the blocks' bits, and the value itself."""
     cuts = [64 * i // (radius + agree) for i in range(radius + agree + 1)]
     keys = []
     for k, chosen in enumerate(itertools.combinations(range(radius + agree), agree)):
         mask = sum((1 << cuts[i + 1]) - (1 << cuts[i]) for i in chosen)
         signed = mask - (1 << 64) if mask >= 1 << 63 else mask
-        keys.append(F.struct(F.lit(k).alias("choice"), value.bitwiseAND(F.lit(signed)).alias("bits")))
+        keys.append(F.struct(F.lit(offset + k).alias("choice"), value.bitwiseAND(F.lit(signed)).alias("bits"), value.alias("value")))
     return F.array(*keys)
 
 
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """The rows of ``keyed(choice, bits, ...)`` whose key is not theirs alone, with the key's ``size``."""
+    sizes = keyed.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return common.shared_checkpoint(keyed.join(sizes, ["choice", "bits"]))
+
+
+def small_pairs(keyed: DataFrame, node: str, radius: int) -> DataFrame:
+    """Pairs ``(a, b)`` within the radius that share a key of at most ``SMALL`` rows."""
+    small = keyed.where(F.col("size") <= SMALL)
+    side = lambda x: small.select("choice", "bits", F.col(node).alias(x), F.col("value").alias(f"{x}_value"))
+    near = F.bit_count(F.col("a_value").bitwiseXOR(F.col("b_value"))) <= radius
+    return side("a").join(side("b"), ["choice", "bits"]).where((F.col("a") < F.col("b")) & near).select("a", "b")
+
+
+def slice_pairs(keyed: DataFrame, node: str, rows: int) -> DataFrame:
+    """Keys of over ``SMALL`` rows, dealt by ``node`` into slices of about ``rows``; a row for each pair of slices that it is in."""
+    slices = F.ceil(F.col("size") / rows).cast("long")
+    large = keyed.where(F.col("size") > SMALL).withColumn("slices", slices).withColumn("slice", F.pmod(F.xxhash64(node), F.col("slices")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("other")
+    return large.select("*", other).withColumn("low", F.least("slice", "other")).withColumn("high", F.greatest("slice", "other"))
+
+
 def forest(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     """Links of a spanning forest of what is within the radius, between two arrays of fingerprints."""
     parent = {int(x): int(x) for x in np.r_[a, b]}
@@ -94,57 +134,130 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def links(values: DataFrame, *, radius: int = 3, agree: int = 2) -> DataFrame:
+def links(values: DataFrame, *, radius: int = 3, agree: int | None = None) -> DataFrame:
     """Links ``(a, b)`` that give the components of ``values(fingerprint)`` (distinct) under Hamming distance ``radius``."""
+    agree = agree or enough_blocks(values.count(), radius)
     key = F.explode(block_keys(F.col("fingerprint"), radius, agree)).alias("key")
-    keyed = values.select("fingerprint", key).select("key.choice", "key.bits", "fingerprint")
-    sizes = keyed.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    keyed = common.shared_checkpoint(keyed.join(sizes, ["choice", "bits"]))
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
-
-    small = keyed.where(F.col("size") <= SMALL)
-    left, right = small.select("choice", "bits", F.col("fingerprint").alias("a")), small.select("choice", "bits", F.col("fingerprint").alias("b"))
-    pairs = left.join(right, ["choice", "bits"]).where((F.col("a") < F.col("b")) & near("a", "b")).select("a", "b")
+    keyed = shared_keys(values.select(key).select("key.*"))
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         first = part["slice"].to_numpy() == part["low"].to_numpy()
-        values = part["fingerprint"].to_numpy()
+        values = part["value"].to_numpy()
         a = values[first]
         b = a if part["low"].iloc[0] == part["high"].iloc[0] else values[~first]
         return pd.DataFrame(forest(a, b, radius), columns=["a", "b"])
 
-    slices = F.ceil(F.col("size") / SLICE).cast("long")
-    large = keyed.where(F.col("size") > SMALL).withColumn("slices", slices).withColumn("slice", F.pmod(F.xxhash64("fingerprint"), F.col("slices")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("other")
-    large = large.select("*", other).withColumn("low", F.least("slice", "other")).withColumn("high", F.greatest("slice", "other"))
-    return pairs.unionByName(large.groupBy("choice", "bits", "low", "high").applyInPandas(compare, "a long, b long"))
+    large = slice_pairs(keyed, "value", SLICE)
+    return small_pairs(keyed, "value", radius).unionByName(large.groupBy("choice", "bits", "low", "high").applyInPandas(compare, "a long, b long"))
 
 
-def _rooted(docs: DataFrame, first: Column, width: int, radius: int, agree: int) -> tuple[DataFrame, DataFrame]:
-    """Rows ``(doc_id, row_text, fingerprint)``, and per distinct fingerprint its ``root`` and the ``first`` of its rows.
+def near_duplicates(docs: DataFrame, *, width: int = 3, radius: int = 3, agree: int | None = None) -> DataFrame:
+    """``(doc_id, fingerprint, component_id)`` of every row: the smallest doc_id within reach of links.
 
-    ``row_text`` is xxhash64 of the text, which tells apart rows that repeat a doc_id. Rows meet in partial aggregates by
-    fingerprint only; components are shuffled as one row per fingerprint."""
-    marked = fingerprints(docs.select("doc_id", "text"), width=width).select("doc_id", F.xxhash64("text").alias("row_text"), "fingerprint")
-    marked = common.written(marked)
-    nodes = common.written(marked.groupBy("fingerprint").agg(first.alias("first")))
+    Rows meet in partial aggregates by fingerprint only; components are shuffled as one row per fingerprint."""
+    marked = common.written(fingerprints(docs.select("doc_id", "text"), width=width).select("doc_id", "fingerprint"))
+    nodes = common.written(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
     roots = components(links(nodes.select("fingerprint"), radius=radius, agree=agree)).withColumnRenamed("node", "fingerprint")
-    return marked, nodes.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-
-
-def near_duplicates(docs: DataFrame, *, width: int = 3, radius: int = 3, agree: int = 2) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)`` of every row: the smallest doc_id within reach of links."""
-    marked, nodes = _rooted(docs, F.min("doc_id"), width, radius, agree)
+    nodes = nodes.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     named = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = nodes.join(named, "root").select("fingerprint", "component_id")
     return marked.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def representatives(docs: DataFrame, *, width: int = 3, radius: int = 3, agree: int = 2) -> DataFrame:
-    """The row with the smallest doc_id of each component, other columns kept; of equal rows one stays."""
+def word_prints(texts: pa.Array, prints: int) -> np.ndarray:
+    """``prints`` independent fingerprints of each text's set of words, one row a text."""
+    data, offsets = common.utf8(texts)
+    starts, ends, doc = common.word_spans(data, offsets)
+    out = np.zeros((len(texts), prints), np.uint64)
+    if not len(starts):
+        return out
+    words = common.span_hashes(common.LOWER[data], starts, ends)
+    order = np.lexsort((words, doc))
+    doc, words = doc[order], words[order]
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (words[1:] != words[:-1])]
+    doc, words = doc[new], words[new]
+    begin = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    half = np.diff(np.r_[begin, len(doc)])[:, None] / 2
+    for k in range(prints):
+        bits = np.unpackbits(common.mix(words + np.uint64(k) * _APART).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        over = np.add.reduceat(bits, begin, axis=0, dtype=np.int32) > half
+        out[doc[begin], k] = np.packbits(over, axis=1).view(">u8").ravel()
+    return out
+
+
+def marks(docs: DataFrame, prints: int) -> DataFrame:
+    """``(doc_id, node, prints)`` of every row; ``node`` is xxhash64 of the text, null being empty."""
+    docs = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.pieces(batches, "text"):
+            found = pa.array(word_prints(part.column("text"), prints).view(np.int64).ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * prints), found)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), lists], ["doc_id", "node", "prints"])
+
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, prints array<long>")
+
+
+def spanning(nodes: np.ndarray, values: np.ndarray, prints: np.ndarray, radius: int) -> np.ndarray:
+    """The minimum spanning forest by distance over all ``prints`` of the pairs whose ``values`` are within the radius."""
+    n, far = len(nodes), 1 << 14
+    best, source, left = np.full(n, far, np.int16), np.zeros(n, np.int64), np.ones(n, bool)
+    out, at = [], 0
+    for _ in range(n - 1):
+        left[at] = False
+        distance = np.bitwise_count(prints ^ prints[at]).sum(axis=1, dtype=np.int16)
+        better = left & (distance < best) & (np.bitwise_count(values ^ values[at]) <= radius)
+        best[better], source[better] = distance[better], at
+        at = int(np.where(left, best, far + 1).argmin())
+        if best[at] < far:
+            out.append((nodes[source[at]], nodes[at]))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def candidates(values: DataFrame, *, prints: int, radius: int, agree: int | None = None) -> DataFrame:
+    """Pairs ``(a, b)`` of ``values(node, prints)`` (nodes distinct) within the radius in some print, those of large keys thinned to forests."""
+    agree = agree or enough_blocks(values.count(), radius)
+    choices = math.comb(radius + agree, agree)
+    keys = F.concat(*[block_keys(F.get("prints", F.lit(k)), radius, agree, k * choices) for k in range(prints)])
+    keyed = shared_keys(values.select("node", F.explode(keys).alias("key")).select("node", "key.*"))
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        found = np.stack(part["prints"].to_numpy()).view(np.uint64)
+        return pd.DataFrame(spanning(part["node"].to_numpy(), part["value"].to_numpy().view(np.uint64), found, radius), columns=["a", "b"])
+
+    large = slice_pairs(keyed.where(F.col("size") > SMALL).join(values, "node"), "node", 2 * SLICE)
+    pairs = small_pairs(keyed, "node", radius).unionByName(large.groupBy("choice", "bits", "low", "high").applyInPandas(compare, "a long, b long"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def shingle_set(text: Column, width: int) -> Column:
+    """Hashes of a text's distinct runs of ``width`` words, A-Z lower-cased; a shorter text is one run, one without words has none."""
+    plain = F.btrim(F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(" \t\n\x0b\f\r"))
+    words = F.transform(F.split(plain, common.WORD_BREAK), lambda w: F.xxhash64(w))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - width, F.lit(0))), lambda i: F.xxhash64(F.slice(words, i + 1, width)))
+    return F.when(plain == "", F.array().cast("array<long>")).otherwise(F.array_distinct(runs))
+
+
+def alike(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` of nodes whose texts are as similar as asked."""
+    pairs = common.shared_checkpoint(pairs)
+    linked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text").join(linked, "node", "left_semi").dropDuplicates(["node"])
+    sets = common.written(texts.select("node", shingle_set(F.col("text"), width).alias("set")))
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"{x}_set"))
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    whole = F.size("a_set") + F.size("b_set") - both
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(both >= similarity * whole).select("a", "b")
+
+
+def representatives(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, prints: int = 5, radius: int = 3, agree: int | None = None) -> DataFrame:
+    """The row with the smallest doc_id of each group of similar texts, other columns kept; of equal rows one stays."""
     lowest = F.lit(-(1 << 63)).cast("long")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", lowest).alias("_sh_id"), F.col("row_text").alias("_sh_text")))
-    _, nodes = _rooted(docs, first, width, radius, agree)
-    kept = nodes.groupBy("root").agg(F.min("first").alias("first")).select("first._sh_id", "first._sh_text")
-    keyed = docs.withColumn("_sh_id", F.coalesce("doc_id", lowest)).withColumn("_sh_text", F.xxhash64("text"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", lowest).alias("_sh_id"), F.col("node").alias("_sh_text"))
+    nodes = common.written(marks(docs, prints).groupBy("node").agg(F.min(place).alias("first"), F.first("prints").alias("prints")))
+    pairs = candidates(nodes.select("node", "prints"), prints=prints, radius=radius, agree=agree)
+    roots = components(alike(docs, pairs, width, similarity))
+    grouped = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    kept = grouped.select("first._sh_id", "first._sh_text")
+    keyed = docs.withColumn("_sh_id", F.coalesce("doc_id", lowest)).withColumn("_sh_text", F.xxhash64(F.coalesce("text", F.lit(""))))
     return keyed.join(kept, ["_sh_id", "_sh_text"]).dropDuplicates(["_sh_id", "_sh_text"]).select(*docs.columns)
