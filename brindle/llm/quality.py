@@ -4,9 +4,9 @@ Features of a text are its lower-case words, pairs of neighbouring words, the wo
 upper case, digits and each punctuation mark) and pairs of shapes with a mark for a repeated word. A feature's value
 is ``log(1 + count)`` over the text's Euclidean norm, so a score is one sparse dot product.
 
-Labelled rows are drawn by a hash of their id up to ``sample_rows`` (a documented bound), dealt to ``shards`` tasks
-that each run the updates over their share, and the shards' weights are averaged; only the weights, at most
-``2 ** bits`` numbers, reach the driver.
+Labelled rows are drawn by a hash of their id up to ``sample_rows`` (a documented bound), dealt to tasks of
+``shard_rows`` rows or more, ``shards`` at most, that each run the updates over their share, and the shards' weights are
+averaged; only the weights, at most ``2 ** bits`` numbers, reach the driver.
 
 Null and empty texts have no features and score by the bias alone. Null labels are left out; of several labels of one
 id the largest counts. Without labels every score is 0.5. Repeated rows score alike. Other columns are kept.
@@ -94,9 +94,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, h
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", held_out: Column | None = None, sample_rows: int = 6000, shards: int = 6, bits: int = 18, epochs: int = 4, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", held_out: Column | None = None, sample_rows: int = 6000, shards: int = 6, shard_rows: int = 1000, bits: int = 18, epochs: int = 4, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> QualityModel:
     """Fit on at most ``sample_rows`` labelled rows; rows where ``held_out`` (over ``labels``) holds are never read."""
     sample = labelled_sample(docs, labels, label, sample_rows, held_out)
+    shards = max(1, min(shards, min(labels.count(), sample_rows) // shard_rows))
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("draw", kind="stable")
