@@ -6,7 +6,7 @@ its first 4, 5 and 6 bytes and its two neighbours, hashed; transitions between t
 Token labels come from the labelled documents: a word in a toxic document is toxic if it, or a prefix of it, occurs in at
 least ``least`` toxic documents of the sample and ``odds`` times likelier there than in the others. At most
 ``sample_rows`` documents of each label are read (a documented bound), drawn by a hash of their id; they are dealt to
-``shards`` tasks that each fit by AdaGrad on the exact likelihood, and the weights are averaged.
+tasks of ``shard_rows`` rows or more, ``shards`` at most, that each fit by AdaGrad on the exact likelihood, and the weights are averaged.
 
 A document's score joins the marginals from forward and backward passes: one minus the product of ``1 - p`` over words with
 ``p >= 0.2``, or the largest ``p`` if there are none. Words with ``p >= 0.5`` are reported by code-point offsets, end
@@ -129,7 +129,7 @@ def fit(features: np.ndarray, labels: np.ndarray, begin: np.ndarray, bits: int,
     ends = np.r_[begin[1:], len(labels)]
     draw = np.random.default_rng(1)
     for _ in range(epochs):
-        for some in np.array_split(draw.permutation(len(begin)), max(1, len(begin) // 512)):
+        for some in np.array_split(draw.permutation(len(begin)), max(4, len(begin) // 512)):
             size = ends[some] - begin[some]
             first = np.r_[0, np.cumsum(size)[:-1]]
             words = np.repeat(begin[some] - first, size) + np.arange(size.sum())
@@ -158,7 +158,7 @@ def fit(features: np.ndarray, labels: np.ndarray, begin: np.ndarray, bits: int,
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", held_out: Column | None = None, sample_rows: int = 2400, shards: int = 6, bits: int = 18, epochs: int = 5, rate: float = 0.3, l2: float = 1e-3, least: int = 4, odds: float = 25.0) -> CrfModel:
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", held_out: Column | None = None, sample_rows: int = 2400, shards: int = 6, shard_rows: int = 400, bits: int = 18, epochs: int = 5, rate: float = 0.3, l2: float = 1e-3, least: int = 4, odds: float = 25.0) -> CrfModel:
     """Fit on at most ``sample_rows`` labelled rows of each label; rows where ``held_out`` (over ``labels``) holds are never read."""
     sample = common.written(labelled_sample(docs, labels, label, sample_rows, held_out, by_class=True))
 
@@ -172,6 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", held_out:
 
     counts = sample.select("text", "label").mapInArrow(occurring, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     sizes = sample.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("toxic"), F.coalesce(F.sum(1 - F.col("label")), F.lit(0)).alias("clean")).first()
+    shards = max(1, min(shards, (sizes["toxic"] + sizes["clean"]) // shard_rows))
     rate_of = lambda c: (F.col(c) + 0.1) / (sizes[c] + 0.2)
     # The sample is bounded, and so is what it says of each feature.
     seeds = counts.where((F.col("toxic") >= least) & (rate_of("toxic") >= odds * rate_of("clean"))).select("feature").toPandas()["feature"].to_numpy(np.int64)
