@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm import common
 from brindle.llm.components import components
+from brindle.llm.contamination import shingle_hashes, word_hashes
 
 #: Fingerprints of one key up to which the key is joined with itself, and in one slice of a larger key.
 SMALL, SLICE = 24, 1024
@@ -74,8 +75,8 @@ def fingerprints(docs: DataFrame, *, width: int = 3) -> DataFrame:
 
 
 def enough_blocks(count: int, radius: int) -> int:
-    """The least number of blocks in a key that gives keys as many values as there are fingerprints."""
-    agree = 1
+    """The least number of blocks in a key, two at least, that gives keys as many values as there are fingerprints."""
+    agree = 2
     while agree < 8 and 64 * agree / (radius + agree) < math.log2(max(count, 2)):
         agree += 1
     return agree
@@ -230,12 +231,18 @@ def candidates(values: DataFrame, *, prints: int, radius: int, agree: int | None
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def shingle_set(text: Column, width: int) -> Column:
-    """Hashes of a text's distinct runs of ``width`` words, A-Z lower-cased; a shorter text is one run, one without words has none."""
-    plain = F.btrim(F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(" \t\n\x0b\f\r"))
-    words = F.transform(F.split(plain, common.WORD_BREAK), lambda w: F.xxhash64(w))
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - width, F.lit(0))), lambda i: F.xxhash64(F.slice(words, i + 1, width)))
-    return F.when(plain == "", F.array().cast("array<long>")).otherwise(F.array_distinct(runs))
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """``(node, set)``: hashes of a text's distinct runs of ``width`` words; a shorter text is one run, one without words has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.pieces(batches, "text"):
+            words, cut = word_hashes(part.column("text"))
+            sets = [np.unique(shingle_hashes(words[a:b], max(1, min(width, b - a)))) for a, b in zip(cut, cut[1:])]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("node"), lists], ["node", "set"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, set array<long>")
 
 
 def alike(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -243,7 +250,7 @@ def alike(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> D
     pairs = common.shared_checkpoint(pairs)
     linked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text").join(linked, "node", "left_semi").dropDuplicates(["node"])
-    sets = common.written(texts.select("node", shingle_set(F.col("text"), width).alias("set")))
+    sets = common.written(shingle_sets(texts, width))
     side = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"{x}_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
     whole = F.size("a_set") + F.size("b_set") - both
