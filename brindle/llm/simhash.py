@@ -13,10 +13,11 @@ only the links of a spanning forest, so no group is ever whole in one task and i
 fingerprints are exact.
 
 ``representatives`` asks for more than close fingerprints: texts whose sets of ``width`` words have Jaccard similarity
-``similarity`` or more. Its fingerprints are ``prints`` independent ones of each text's set of words: an edited word is
-one word and ``width`` shingles, so words keep near copies within a small radius, and independent prints make up for the
-rest. Pairs within the radius in any print are verified by the exact similarity. In a key with many texts the pairs are
-those of a minimum spanning forest by the distance over all prints, which holds a path of close pairs wherever there is one.
+``similarity`` or more, which no small radius of a SimHash finds. Its candidates are pairs that share one of ``bands``
+hashes, each of ``rows`` minima of the set under independent hash functions: a pair of similarity s is missed with
+probability ``(1 - s ** rows) ** bands``, whatever the edit, which at 0.8 and the defaults is 1.3e-7. Candidates are
+verified by the exact similarity. In a key with many texts the pairs are those of a minimum spanning forest by the number
+of bands that differ.
 
 Null and empty texts have fingerprint zero and link like any other. Repeated rows share a component. A null doc_id never
 names a component unless the component has no other. Other columns are not read. Texts are told apart by XXH64.
@@ -41,7 +42,7 @@ from brindle.llm.contamination import shingle_hashes, word_hashes
 
 #: Fingerprints of one key up to which the key is joined with itself, and in one slice of a larger key.
 SMALL, SLICE = 24, 1024
-_APART = np.uint64(0x9E3779B97F4A7C15)
+_APART, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def fingerprint(text: bytes, width: int) -> int:
@@ -82,14 +83,14 @@ def enough_blocks(count: int, radius: int) -> int:
     return agree
 
 
-def block_keys(value: Column, radius: int, agree: int, offset: int = 0) -> Column:
+def block_keys(value: Column, radius: int, agree: int) -> Column:
     """For each choice of blocks: the choice's number, the blocks' bits, and the value itself."""
     cuts = [64 * i // (radius + agree) for i in range(radius + agree + 1)]
     keys = []
     for k, chosen in enumerate(itertools.combinations(range(radius + agree), agree)):
         mask = sum((1 << cuts[i + 1]) - (1 << cuts[i]) for i in chosen)
         signed = mask - (1 << 64) if mask >= 1 << 63 else mask
-        keys.append(F.struct(F.lit(offset + k).alias("choice"), value.bitwiseAND(F.lit(signed)).alias("bits"), value.alias("value")))
+        keys.append(F.struct(F.lit(k).alias("choice"), value.bitwiseAND(F.lit(signed)).alias("bits"), value.alias("value")))
     return F.array(*keys)
 
 
@@ -165,79 +166,83 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, radius: int = 3, agree:
     return marked.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def word_prints(texts: pa.Array, prints: int) -> np.ndarray:
-    """``prints`` independent fingerprints of each text's set of words, one row a text."""
-    data, offsets = common.utf8(texts)
-    starts, ends, doc = common.word_spans(data, offsets)
-    out = np.zeros((len(texts), prints), np.uint64)
-    if not len(starts):
+def signatures(sets: list[np.ndarray], count: int) -> np.ndarray:
+    """The least value of each set under each of ``count`` hash functions, one row a set; an empty set has the greatest value."""
+    out = np.full((len(sets), count), ~np.uint64(0))
+    full = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
+    if not len(full):
         return out
-    words = common.span_hashes(common.LOWER[data], starts, ends)
-    order = np.lexsort((words, doc))
-    doc, words = doc[order], words[order]
-    new = np.r_[True, (doc[1:] != doc[:-1]) | (words[1:] != words[:-1])]
-    doc, words = doc[new], words[new]
-    begin = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    half = np.diff(np.r_[begin, len(doc)])[:, None] / 2
-    for k in range(prints):
-        bits = np.unpackbits(common.mix(words + np.uint64(k) * _APART).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        over = np.add.reduceat(bits, begin, axis=0, dtype=np.int32) > half
-        out[doc[begin], k] = np.packbits(over, axis=1).view(">u8").ravel()
+    flat = np.concatenate([sets[i] for i in full])
+    begin = np.cumsum([0, *(len(sets[i]) for i in full[:-1])])
+    salts = common.mix(np.arange(1, count + 1, dtype=np.uint64) * _APART)
+    for k, salt in enumerate(salts):
+        x = (flat ^ salt) * _APART
+        x ^= x >> np.uint64(32)
+        x *= _ODD
+        out[full, k] = np.minimum.reduceat(x, begin)
     return out
 
 
-def marks(docs: DataFrame, prints: int) -> DataFrame:
-    """``(doc_id, node, prints)`` of every row; ``node`` is xxhash64 of the text, null being empty."""
+def marks(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
+    """``(doc_id, node, length, keys)`` of every row; ``node`` is xxhash64 of the text, null being empty, ``length`` its set's, ``keys`` a hash of each band."""
     docs = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.pieces(batches, "text"):
-            found = pa.array(word_prints(part.column("text"), prints).view(np.int64).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * prints), found)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), lists], ["doc_id", "node", "prints"])
+            sets = word_sets(part.column("text"), width)
+            least = signatures(sets, bands * rows).reshape(len(sets), bands, rows)
+            keys = np.zeros((len(sets), bands), np.uint64)
+            for k in range(rows):
+                keys = common.mix(keys * _APART + least[:, :, k])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(keys.view(np.int64).ravel()))
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), sizes, lists], ["doc_id", "node", "length", "keys"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, prints array<long>")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, length long, keys array<long>")
 
 
-def spanning(nodes: np.ndarray, values: np.ndarray, prints: np.ndarray, radius: int) -> np.ndarray:
-    """The minimum spanning forest by distance over all ``prints`` of the pairs whose ``values`` are within the radius."""
+def spanning(nodes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The minimum spanning forest by the number of ``keys`` that differ."""
     n, far = len(nodes), 1 << 14
     best, source, left = np.full(n, far, np.int16), np.zeros(n, np.int64), np.ones(n, bool)
     out, at = [], 0
     for _ in range(n - 1):
         left[at] = False
-        distance = np.bitwise_count(prints ^ prints[at]).sum(axis=1, dtype=np.int16)
-        better = left & (distance < best) & (np.bitwise_count(values ^ values[at]) <= radius)
+        distance = (keys != keys[at]).sum(axis=1, dtype=np.int16)
+        better = left & (distance < best)
         best[better], source[better] = distance[better], at
         at = int(np.where(left, best, far + 1).argmin())
-        if best[at] < far:
-            out.append((nodes[source[at]], nodes[at]))
+        out.append((nodes[source[at]], nodes[at]))
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def candidates(values: DataFrame, *, prints: int, radius: int, agree: int | None = None) -> DataFrame:
-    """Pairs ``(a, b)`` of ``values(node, prints)`` (nodes distinct) within the radius in some print, those of large keys thinned to forests."""
-    agree = agree or enough_blocks(values.count(), radius)
-    choices = math.comb(radius + agree, agree)
-    keys = F.concat(*[block_keys(F.get("prints", F.lit(k)), radius, agree, k * choices) for k in range(prints)])
-    keyed = shared_keys(values.select("node", F.explode(keys).alias("key")).select("node", "key.*"))
+def candidates(values: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of ``values(node, keys)`` (nodes distinct) that share a key, those of large keys thinned to forests."""
+    keyed = shared_keys(values.select("node", F.posexplode("keys").alias("choice", "bits")))
+    small = keyed.where(F.col("size") <= SMALL)
+    side = lambda x: small.select("choice", "bits", F.col("node").alias(x))
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        found = np.stack(part["prints"].to_numpy()).view(np.uint64)
-        return pd.DataFrame(spanning(part["node"].to_numpy(), part["value"].to_numpy().view(np.uint64), found, radius), columns=["a", "b"])
+        return pd.DataFrame(spanning(part["node"].to_numpy(), np.stack(part["keys"].to_numpy())), columns=["a", "b"])
 
     large = slice_pairs(keyed.where(F.col("size") > SMALL).join(values, "node"), "node", 2 * SLICE)
-    pairs = small_pairs(keyed, "node", radius).unionByName(large.groupBy("choice", "bits", "low", "high").applyInPandas(compare, "a long, b long"))
+    pairs = side("a").join(side("b"), ["choice", "bits"]).where("a < b").select("a", "b")
+    pairs = pairs.unionByName(large.groupBy("choice", "bits", "low", "high").applyInPandas(compare, "a long, b long"))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def word_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """Sorted hashes of each text's distinct runs of ``width`` words; a shorter text is one run, one without words has none."""
+    words, cut = word_hashes(texts)
+    return [np.unique(shingle_hashes(words[a:b], max(1, min(width, b - a)))) for a, b in zip(cut, cut[1:])]
+
+
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
-    """``(node, set)``: hashes of a text's distinct runs of ``width`` words; a shorter text is one run, one without words has none."""
+    """``(node, set)`` of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.pieces(batches, "text"):
-            words, cut = word_hashes(part.column("text"))
-            sets = [np.unique(shingle_hashes(words[a:b], max(1, min(width, b - a)))) for a, b in zip(cut, cut[1:])]
+            sets = word_sets(part.column("text"), width)
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column("node"), lists], ["node", "set"])
@@ -257,12 +262,13 @@ def alike(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> D
     return pairs.join(side("a"), "a").join(side("b"), "b").where(both >= similarity * whole).select("a", "b")
 
 
-def representatives(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, prints: int = 5, radius: int = 3, agree: int | None = None) -> DataFrame:
+def representatives(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, bands: int = 40, rows: int = 5) -> DataFrame:
     """The row with the smallest doc_id of each group of similar texts, other columns kept; of equal rows one stays."""
     lowest = F.lit(-(1 << 63)).cast("long")
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", lowest).alias("_sh_id"), F.col("node").alias("_sh_text"))
-    nodes = common.written(marks(docs, prints).groupBy("node").agg(F.min(place).alias("first"), F.first("prints").alias("prints")))
-    pairs = candidates(nodes.select("node", "prints"), prints=prints, radius=radius, agree=agree)
+    nodes = marks(docs, width, bands, rows).groupBy("node").agg(F.min(place).alias("first"), F.first("length").alias("length"), F.first("keys").alias("keys"))
+    nodes = common.written(nodes)
+    pairs = candidates(nodes.select("node", "keys"))
     roots = components(alike(docs, pairs, width, similarity))
     grouped = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = grouped.select("first._sh_id", "first._sh_text")

@@ -176,6 +176,34 @@ def test_representatives_in_small_and_large_keys(docs_of, monkeypatch):
         assert sorted(r.doc_id for r in simhash.representatives(docs_of(texts)).collect()) == [0, 1, 2, 4, 9, 69, 70]
 
 
+def brute_similar(texts, least=0.8):
+    """The smallest number of each component of texts whose sets of five words have that Jaccard similarity."""
+    sets = [shingles(t, 5) for t in texts]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if jaccard(sets[a], sets[b]) >= least and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    return sorted(set(root))
+
+
+def test_representatives_find_every_kind_of_edit(docs_of):
+    rnd = random.Random(12)
+    texts = []
+    for k in range(120):
+        base = [word(rnd) for _ in range(150)]
+        share = rnd.uniform(0.1, 0.2)
+        scattered = list(base)
+        for i in rnd.sample(range(150), rnd.randint(1, 4)):
+            scattered[i] = word(rnd)
+        copy = (scattered, base[: round(150 * (1 - share))], base + [word(rnd) for _ in range(round(150 * share))])[k % 3]
+        texts += [" ".join(base), " ".join(copy)]
+    wanted = brute_similar(texts)
+    assert 120 <= len(wanted) < 150
+    assert sorted(r.doc_id for r in simhash.representatives(docs_of(texts)).collect()) == wanted
+
+
 def test_simhash_edges(edge_docs):
     got = simhash.near_duplicates(edge_docs)
     by = {r.doc_id: r.component_id for r in got.collect()}
