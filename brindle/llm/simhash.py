@@ -16,8 +16,9 @@ fingerprints are exact.
 ``similarity`` or more, which no small radius of a SimHash finds. Its candidates are pairs that share one of ``bands``
 hashes, each of ``rows`` minima of the set under independent hash functions: a pair of similarity s is missed with
 probability ``(1 - s ** rows) ** bands``, whatever the edit, which at 0.8 and the defaults is 1.3e-7. Candidates are
-verified by the exact similarity. In a key with many texts the pairs are those of a minimum spanning forest by the number
-of bands that differ.
+verified by the exact similarity. First each text is compared with the least of its key; pairs of one component are
+then settled, all others are compared: as rows where the key is small, and otherwise by slices whose tasks hold the sets
+themselves and hand on only verified links.
 
 Null and empty texts have fingerprint zero and link like any other. Repeated rows share a component. A null doc_id never
 names a component unless the component has no other. Other columns are not read. Texts are told apart by XXH64.
@@ -201,36 +202,6 @@ def marks(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, length long, keys array<long>")
 
 
-def spanning(nodes: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """The minimum spanning forest by the number of ``keys`` that differ."""
-    n, far = len(nodes), 1 << 14
-    best, source, left = np.full(n, far, np.int16), np.zeros(n, np.int64), np.ones(n, bool)
-    out, at = [], 0
-    for _ in range(n - 1):
-        left[at] = False
-        distance = (keys != keys[at]).sum(axis=1, dtype=np.int16)
-        better = left & (distance < best)
-        best[better], source[better] = distance[better], at
-        at = int(np.where(left, best, far + 1).argmin())
-        out.append((nodes[source[at]], nodes[at]))
-    return np.array(out, np.int64).reshape(-1, 2)
-
-
-def candidates(values: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of ``values(node, keys)`` (nodes distinct) that share a key, those of large keys thinned to forests."""
-    keyed = shared_keys(values.select("node", F.posexplode("keys").alias("choice", "bits")))
-    small = keyed.where(F.col("size") <= SMALL)
-    side = lambda x: small.select("choice", "bits", F.col("node").alias(x))
-
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(spanning(part["node"].to_numpy(), np.stack(part["keys"].to_numpy())), columns=["a", "b"])
-
-    large = slice_pairs(keyed.where(F.col("size") > SMALL).join(values, "node"), "node", 2 * SLICE)
-    pairs = side("a").join(side("b"), ["choice", "bits"]).where("a < b").select("a", "b")
-    pairs = pairs.unionByName(large.groupBy("choice", "bits", "low", "high").applyInPandas(compare, "a long, b long"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def word_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """Sorted hashes of each text's distinct runs of ``width`` words; a shorter text is one run, one without words has none."""
     words, cut = word_hashes(texts)
@@ -250,26 +221,76 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, set array<long>")
 
 
-def alike(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` of nodes whose texts are as similar as asked."""
-    pairs = common.shared_checkpoint(pairs)
-    linked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text").join(linked, "node", "left_semi").dropDuplicates(["node"])
-    sets = common.written(shingle_sets(texts, width))
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` of nodes whose ``sets(node, set)`` are as similar as asked."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"{x}_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
     whole = F.size("a_set") + F.size("b_set") - both
     return pairs.join(side("a"), "a").join(side("b"), "b").where(both >= similarity * whole).select("a", "b")
 
 
+def similar_forest(nodes: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, similarity: float) -> np.ndarray:
+    """Links that join the ``groups`` of texts at ``first`` and ``second`` wherever two of their sets are as similar as asked."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    ends = np.cumsum(sizes)
+    known, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    group, held, out = np.unique(groups, return_inverse=True)[1], np.zeros(len(known), bool), []
+    for x in first:
+        other = second[(group[second] != group[x]) & (np.minimum(sizes[second], sizes[x]) >= similarity * np.maximum(sizes[second], sizes[x]))]
+        if not len(other):
+            continue
+        mine = shingle[ends[x] - sizes[x] : ends[x]]
+        held[mine] = True
+        upto = np.r_[0, np.cumsum(held[shingle])]
+        held[mine] = False
+        both = upto[ends[other]] - upto[ends[other] - sizes[other]]
+        for y in other[both >= similarity * (sizes[other] + sizes[x] - both)]:
+            if group[x] != group[y]:
+                group[group == group[y]] = group[x]
+                out.append((nodes[x], nodes[y]))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def similar_links(docs: DataFrame, values: DataFrame, *, width: int, similarity: float) -> DataFrame:
+    """Links ``(a, b)``, all verified, that give the components of ``values(node, length, keys)`` (nodes distinct)."""
+    keyed = shared_keys(values.select("node", "length", F.posexplode("keys").alias("choice", "bits")))
+    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
+    texts = texts.join(keyed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    sets = common.written(shingle_sets(texts, width))
+    least = keyed.groupBy("choice", "bits").agg(F.min(F.struct("node", "length")).alias("least"))
+    near = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b)
+    stars = keyed.join(least, ["choice", "bits"]).where((F.col("node") > F.col("least.node")) & near("length", "least.length"))
+    found = common.written(alike(stars.select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct(), sets, similarity))
+
+    rest = keyed.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_keys = rest.groupBy("choice", "bits").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum("length").alias("volume")).where("low < high").drop("low", "high")
+    rest = common.shared_checkpoint(rest.join(open_keys, ["choice", "bits"]))
+    small = rest.where(F.col("size") <= SMALL)
+    side = lambda x: small.select("choice", "bits", F.col("node").alias(x), F.col("length").alias(f"{x}_length"), F.col("root").alias(f"{x}_root"))
+    apart = (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & near("a_length", "b_length")
+    pairs = side("a").join(side("b"), ["choice", "bits"]).where(apart).select("a", "b").distinct()
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        place, one = np.arange(len(part)), part["low"].iloc[0] == part["high"].iloc[0]
+        low = (part["slice"] == part["low"]).to_numpy()
+        first, second = place[low], place if one else place[~low]
+        got = similar_forest(part["node"].to_numpy(), part["root"].to_numpy(), list(part["set"]), first, second, similarity)
+        return pd.DataFrame(got, columns=["a", "b"])
+
+    # Slices follow the rows of a key, or its shingles where the texts are long.
+    large = rest.where(F.col("size") > SMALL).withColumn("size", F.greatest("size", F.ceil(F.col("volume") / 512)))
+    large = slice_pairs(large.select("choice", "bits", "node", "root", "size"), "node", SLICE).join(sets, "node")
+    compared = large.groupBy("choice", "bits", "low", "high").applyInPandas(compare, "a long, b long")
+    return found.unionByName(alike(pairs, sets, similarity)).unionByName(compared)
+
+
 def representatives(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, bands: int = 40, rows: int = 5) -> DataFrame:
     """The row with the smallest doc_id of each group of similar texts, other columns kept; of equal rows one stays."""
     lowest = F.lit(-(1 << 63)).cast("long")
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", lowest).alias("_sh_id"), F.col("node").alias("_sh_text"))
     nodes = marks(docs, width, bands, rows).groupBy("node").agg(F.min(place).alias("first"), F.first("length").alias("length"), F.first("keys").alias("keys"))
     nodes = common.written(nodes)
-    pairs = candidates(nodes.select("node", "keys"))
-    roots = components(alike(docs, pairs, width, similarity))
+    roots = components(similar_links(docs, nodes.select("node", "length", "keys"), width=width, similarity=similarity))
     grouped = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = grouped.select("first._sh_id", "first._sh_text")
     keyed = docs.withColumn("_sh_id", F.coalesce("doc_id", lowest)).withColumn("_sh_text", F.xxhash64(F.coalesce("text", F.lit(""))))

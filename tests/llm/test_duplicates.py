@@ -204,6 +204,38 @@ def test_representatives_find_every_kind_of_edit(docs_of):
     assert sorted(r.doc_id for r in simhash.representatives(docs_of(texts)).collect()) == wanted
 
 
+def test_representatives_are_exact_in_large_keys(docs_of, monkeypatch):
+    rnd = random.Random(13)
+    base = [word(rnd) for _ in range(200)]
+    texts = []
+    for _ in range(90):
+        copy = list(base)
+        for i in rnd.sample(range(200), rnd.randint(2, 5)):
+            copy[i] = word(rnd)
+        texts.append(" ".join(copy))
+    wanted = brute_similar(texts)
+    assert len(wanted) == 39
+    for small, slice_rows in ((24, 1024), (4, 8)):
+        monkeypatch.setattr(simhash, "SMALL", small)
+        monkeypatch.setattr(simhash, "SLICE", slice_rows)
+        assert sorted(r.doc_id for r in simhash.representatives(docs_of(texts)).collect()) == wanted
+
+
+def test_nearer_texts_do_not_hide_a_similar_one(spark, docs_of, monkeypatch):
+    rnd = random.Random(14)
+    a = [word(rnd) for _ in range(200)]
+    texts = [" ".join(a), " ".join(a[:190]), " ".join(a[:100] + [word(rnd) for _ in range(100)])] + [sentence(rnd, 50) for _ in range(27)]
+    keys = [[0, 1, 10], [0, 2, 20], [0, 1, 20]] + [[0, 100 + i, 200 + i] for i in range(27)]
+    hand = spark.createDataFrame(list(enumerate(keys)), "doc_id long, keys array<long>")
+
+    def marks(docs, width, bands, rows):
+        found = docs.select("doc_id", F.xxhash64("text").alias("node"), F.size(F.split("text", " ")).cast("long").alias("length"))
+        return found.join(hand, "doc_id")
+
+    monkeypatch.setattr(simhash, "marks", marks)
+    assert sorted(r.doc_id for r in simhash.representatives(docs_of(texts)).collect()) == [0, *range(2, 30)]
+
+
 def test_simhash_edges(edge_docs):
     got = simhash.near_duplicates(edge_docs)
     by = {r.doc_id: r.component_id for r in got.collect()}
