@@ -1,11 +1,11 @@
-"""Line dedup: winnowed fingerprints of line runs find repeats, which are extended line by line and deleted.
+"""Line dedup: fingerprints of line windows find repeats, which are extended line by line and deleted.
 
-Lines are compared by a 64-bit hash of their trimmed text; lines without words are passed over. From each line a gram
-runs until it holds ``gram_words`` words; among grams that start within ``min_words - gram_words + 1`` words of a line,
-the smallest hash is selected (winnowing). A repeated run of ``min_words`` words holds a whole such window, so both of its
-copies select the same gram: no such run is missed. Each selected gram is joined with its previous occurrence in the same
-text, or else its first occurrence in all texts, by (doc_id, text, line); the match is extended both ways to the
-longest run of equal lines, and a run of at least ``min_words`` words is deleted from the later place.
+Lines are compared by a 64-bit hash of their trimmed text; lines without words are passed over. Windows are the least
+runs of lines with ``min_words`` words from each line onward, and from each line back. A repeated run of ``min_words``
+words is covered by the windows inside it, each of which is whole in all of the run's copies: so a window's first
+occurrence always matches in full, and no part of such a run is missed. Each window is joined with its previous
+occurrence in the same text, or else its first in all texts, by (doc_id, text, line); the match is extended both ways to
+the longest run of equal lines, which is deleted from the later place.
 
 The earliest copy of every run stays. Null and empty texts have no lines and stay as they are. Rows that repeat both
 doc_id and text are one document and share its deletions; a null doc_id counts as the smallest. Other columns are kept
@@ -41,20 +41,21 @@ def lines(docs: DataFrame) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order).cast("long")).withColumn("before", before)
 
 
-def anchors(found: DataFrame, min_words: int, gram_words: int) -> DataFrame:
-    """The selected grams of each document: hash and rank of the first line."""
-    ahead = lambda words: Window.partitionBy(*_DOC).orderBy("before").rangeBetween(0, words - 1)
-    whole = lambda words: F.sum("words").over(ahead(words)) >= words
-    gram = F.when(whole(gram_words), F.xxhash64(F.collect_list("hash").over(ahead(gram_words))))
-    grams = found.select(*_DOC, "rank", "before", "words", gram.alias("gram"))
-    least = F.when(whole(min_words), F.min(F.when(F.col("gram").isNotNull(), F.struct("gram", "rank"))).over(ahead(min_words - gram_words + 1)))
-    return grams.select(*_DOC, least.alias("least")).where("least is not null").select(*_DOC, "least.gram", "least.rank").dropDuplicates([*_DOC, "gram", "rank"])
+def anchors(found: DataFrame, min_words: int) -> DataFrame:
+    """The windows of each document: hash and rank of the first line."""
+    ends = found.withColumn("end", F.col("before") + F.col("words"))
+    document = Window.partitionBy(*_DOC)
+    ahead = document.orderBy("before").rangeBetween(0, min_words - 1)
+    back = document.orderBy("end").rangeBetween(1 - min_words, 0)
+    window = lambda over: F.when(F.sum("words").over(over) >= min_words, F.struct(F.xxhash64(F.collect_list("hash").over(over)).alias("gram"), F.min("rank").over(over).alias("rank")))
+    both = ends.select(*_DOC, F.array(window(ahead), window(back)).alias("windows")).select(*_DOC, F.explode("windows").alias("window"))
+    return both.where("window is not null").select(*_DOC, "window.gram", "window.rank").dropDuplicates([*_DOC, "gram", "rank"])
 
 
-def repeated_runs(docs: DataFrame, *, min_words: int = 50, gram_words: int = 45) -> DataFrame:
+def repeated_runs(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
     """Runs to delete, ``(_ld_id, _ld_text, first_line, last_line)``, of the later copies."""
     found = common.shared_checkpoint(lines(docs))
-    marks = anchors(found, min_words, gram_words)
+    marks = anchors(found, min_words)
     earlier = F.lag("rank").over(Window.partitionBy(*_DOC, "gram").orderBy("rank"))
     marks = marks.withColumn("earlier", earlier)
     place = F.struct(*_DOC, "rank")
@@ -76,9 +77,9 @@ def repeated_runs(docs: DataFrame, *, min_words: int = 50, gram_words: int = 45)
     return runs.where(F.col("words") >= min_words).select(*_DOC, "first_line", "last_line").distinct()
 
 
-def dedup_lines(docs: DataFrame, *, min_words: int = 50, gram_words: int = 45) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
     """``docs`` with later repeated runs cut out of ``text`` and the cut lines listed in ``removed`` (first, last)."""
-    runs = repeated_runs(docs, min_words=min_words, gram_words=gram_words)
+    runs = repeated_runs(docs, min_words=min_words)
     cuts = runs.groupBy(*_DOC).agg(F.sort_array(F.collect_list(F.struct("first_line", "last_line"))).alias("_ld_cuts"))
     # Filling the gaps between runs needs no text; only documents with cuts are split again.
     joined = _keyed(docs.drop("removed")).join(cuts, _DOC, "left")

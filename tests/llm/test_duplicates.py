@@ -304,6 +304,17 @@ def test_line_dedup_matches_brute_force(spark, sf_dir, docs_of):
     assert result_cuts(got) == wanted and sum(map(len, wanted.values())) > 50
 
 
+def test_line_dedup_sees_past_an_earlier_part_of_a_run(docs_of):
+    rnd = random.Random(15)
+    part, more, other = sentence(rnd, 46), sentence(rnd, 5), sentence(rnd, 46)
+    lead, tail = sentence(rnd, 60), sentence(rnd, 20)
+    texts = [part, other, f"{part}\n{more}", f"x\n{part}\n{more}\ny", f"{part}\n{other}", f"z\n{part}\n{other}", f"{part}\nq\n{part}\n{more}", lead, f"{lead}\n{tail}", f"u\n{lead}\n{tail}"]
+    docs = docs_of(texts)
+    got = linededup.dedup_lines(docs).join(docs.select("doc_id", F.col("text").alias("before")), "doc_id")
+    cuts = result_cuts(got)
+    assert cuts == brute_cuts(dict(enumerate(texts))) and cuts[3] == {1, 2} and cuts[5] == {1, 2} and cuts[6] == {2, 3} and cuts[9] == {1, 2}
+
+
 def test_line_dedup_edges(edge_docs, docs_of):
     out = linededup.dedup_lines(edge_docs)
     assert out.count() == 11 and out.where("doc_id = 5 and size(removed) = 0").count() == 1
