@@ -2,12 +2,14 @@
 
 Base kinds, leftmost and not overlapping within a kind: ``assign`` (a password-like name, ``:`` or ``=``, and a value of
 at least 8 characters), ``access`` (``AKIA`` and 12 or more capitals or digits) and ``hex`` (32 or more digits). Base
-matches are reported as they are. Candidates in base64 or hex are decoded and reported only if the bytes parse:
+matches are reported as they are. Candidates in base64 (16 characters or more, on one line or wrapped over several) or in
+hex of either case (28 digits or more) are decoded and reported only if the bytes parse:
 
 * ``jwt``  three dot-separated parts whose first is base64url JSON with an ``alg`` and whose second is JSON;
 * ``key``  DER whose nested lengths add up to a private or public key (PKCS#1, PKCS#8, SEC 1, SPKI), or an OpenSSH key
-  whose length-prefixed fields fill the bytes; within a PEM frame the lines are joined first;
-* ``nested``  printable text that itself holds a base match or a key.
+  whose length-prefixed fields fill the bytes; within a PEM frame the lines are joined first, and a body whose headers
+  say that it is encrypted is a key if it decodes to whole cipher blocks;
+* ``nested``  printable text that itself holds any span, decoded up to ``DEPTH`` times.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans. Repeated rows give repeated results. Whole
 texts are read; plain substring tests skip the patterns of texts that cannot match, without changing a result.
@@ -31,8 +33,14 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
-_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*(?:KEY|CERTIFICATE)-----([A-Za-z0-9+/=\s\\]+)-----END [A-Z0-9 ]*-----")
+_ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{28,}")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+_BREAK = r"[\x20\t]*(?:\r?\n|\\r\\n|\\n)[\x20\t>#*]*"
+_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]+(?:{_BREAK}[A-Za-z0-9+/_-]+)+={{0,2}}")
+_PIECE = re.compile(rf"(?:^|{_BREAK})([A-Za-z0-9+/_-]+={{0,2}})")
+_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*(?:KEY|CERTIFICATE)-----((?:(?:\s|\\[nr])*[A-Za-z0-9-]+:\x20[^\n\\]*(?:\r?\n|\\r\\n|\\n))*)([A-Za-z0-9+/=\s\\]+)-----END [A-Z0-9 ]*-----")
+#: How often decoded text is searched and decoded in turn.
+DEPTH = 4
 _NAMES = ("passw", "secret", "token", "api")
 Span = tuple[str, int, int]
 
@@ -95,9 +103,10 @@ def is_key(data: bytes) -> bool:
     pkcs1 = len(tags) >= 8 and all(t == 0x02 for t in tags[:9]) and inside[0][1] in (b"\0", b"\1")
     pkcs8 = tags[:3] == [0x02, 0x30, 0x04] and bool(inside[1][2]) and inside[1][2][0][0] == 0x06
     sec1 = tags[:2] == [0x02, 0x04] and inside[0][1] == b"\1"
+    encrypted = tags == [0x30, 0x04] and bool(inside[0][2]) and inside[0][2][0][0] == 0x06
     spki = tags == [0x30, 0x03] and bool(inside[0][2]) and inside[0][2][0][0] == 0x06
     public1 = tags == [0x02, 0x02] and len(inside[0][1]) >= 64
-    return pkcs1 or pkcs8 or sec1 or spki or public1
+    return pkcs1 or pkcs8 or sec1 or encrypted or spki or public1
 
 
 def _fields(data: bytes, least: int, whole: bool = False) -> bool:
@@ -119,16 +128,41 @@ def is_signed_token(text: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
 
-def holds_secret(data: bytes) -> bool:
-    """Whether decoded bytes are printable text with a base match."""
+def holds_secret(data: bytes, depth: int = DEPTH) -> bool:
+    """Whether decoded bytes are printable text with a span of any kind."""
     try:
-        text = data.decode("ascii")
+        text = data.decode()
     except UnicodeDecodeError:
         return False
-    return all(c.isprintable() or c in "\t\r\n" for c in text) and bool(base_spans(text))
+    return all(c.isprintable() or c in "\t\r\n" for c in text) and bool(spans(text, depth - 1) if depth > 1 else base_spans(text))
 
 
-def spans(text: str) -> list[Span]:
+def decoded_kinds(data: bytes | None, depth: int) -> list[str]:
+    """What decoded bytes are: ``key``, ``nested`` or neither."""
+    return ["key"] * is_key(data) + ["nested"] * holds_secret(data, depth) if data else []
+
+
+def is_encrypted(headers: str, data: bytes) -> bool:
+    """Whether PEM headers say that the body is encrypted, and it is whole cipher blocks."""
+    return "ENCRYPTED" in headers and "DEK-Info:" in headers and len(data) % 8 == 0
+
+
+def wrapped_runs(pieces: list[str]) -> Iterator[tuple[int, int]]:
+    """First and past last of the pieces that may be one wrapped text: equal lengths, but for the first and a shorter last."""
+    at = 0
+    while at < len(pieces):
+        end = at + 1
+        while end < len(pieces) and len(pieces[end]) == len(pieces[at]) and not pieces[end - 1].endswith("="):
+            end += 1
+        last = end < len(pieces) and len(pieces[end].rstrip("=")) <= len(pieces[at]) and not pieces[end - 1].endswith("=")
+        for low in (at - 1, at) if at and not pieces[at - 1].endswith("=") else (at,):
+            for high in (end + 1, end) if last else (end,):
+                if high - low > 1:
+                    yield low, high
+        at = end
+
+
+def spans(text: str, depth: int = DEPTH) -> list[Span]:
     """All spans by start, then kind in the order of ``KINDS``."""
     out = base_spans(text)
     if "eyJ" in text:
@@ -137,18 +171,30 @@ def spans(text: str) -> list[Span]:
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
             framed.append(m.span())
-            data = unbase64(re.sub(r"\\[nr]|\s", "", m[1]))
-            if data and is_key(data):
+            data = unbase64(re.sub(r"\\[nr]|\s", "", m[2]))
+            if data and (is_key(data) or is_encrypted(m[1], data)):
                 out.append(("key", *m.span()))
-    for _, start, end in [s for s in out if s[0] == "hex"]:
+    for start, end in {m.span() for pattern in (_HEX, _ANY_HEX) for m in pattern.finditer(text)}:
         data = bytes.fromhex(text[start : end - (end - start) % 2])
-        out += [("key", start, end)] * is_key(data) + [("nested", start, end)] * holds_secret(data)
+        out += [(kind, start, end) for kind in decoded_kinds(data, depth)]
+    within = lambda at: any(a <= at < b for a, b in framed)
     for m in _BASE64.finditer(text):
-        if any(a <= m.start() < b for a, b in framed):
-            continue
-        data = unbase64(m[0])
-        if data:
-            out += [("key", *m.span())] * is_key(data) + [("nested", *m.span())] * holds_secret(data)
+        if not within(m.start()):
+            out += [(kind, *m.span()) for kind in decoded_kinds(unbase64(m[0]), depth)]
+    if "\n" in text or "\\n" in text:
+        for m in _WRAPPED.finditer(text):
+            if within(m.start()):
+                continue
+            found = list(_PIECE.finditer(m[0]))
+            pieces, past = [p[1] for p in found], 0
+            for low, high in wrapped_runs(pieces):
+                whole = "".join(pieces[low:high])
+                if low < past or len(whole) < 16:
+                    continue
+                kinds = decoded_kinds(unbase64(whole), depth)
+                if kinds:
+                    out += [(kind, m.start() + found[low].start(1), m.start() + found[high - 1].end(1)) for kind in kinds]
+                    past = high
     return sorted(set(out), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

@@ -143,6 +143,22 @@ def test_secret_spans(docs_of, edge_docs):
     assert secrets.scan(edge_docs.limit(0)).count() == 0
 
 
+def test_secrets_in_every_encoding():
+    b64 = lambda b: base64.b64encode(b).decode()
+    lines = lambda x, n: "\n".join(x[i : i + n] for i in range(0, len(x), n))
+    url = lambda o: base64.urlsafe_b64encode(json.dumps(o).encode()).decode().rstrip("=")
+    key, head = rsa_like(), "-----BEGIN RSA PRIVATE KEY-----\n"
+    pem = head + lines(b64(key), 64) + "\n-----END RSA PRIVATE KEY-----\n"
+    token = f"{url({'alg': 'HS256'})}.{url({'sub': 'someone'})}.c2lnbmF0dXJl"
+    locked = head + "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011223344556677\n\n" + lines(b64(bytes(range(64))), 64) + "\n-----END RSA PRIVATE KEY-----"
+    cases = [("nested", b64(b"AKIAABCDEFGHIJKL")), ("nested", b64(b"password=Secret123")), ("nested", b64(pem.encode())), ("nested", b64(b64(key).encode())), ("nested", b64(token.encode()))]
+    cases += [("key", key.hex().upper()), ("nested", b"password=Secret123".hex().upper()), ("nested", b"token=Secret12".hex()), ("key", lines(b64(key), 76)), ("nested", lines(b64(b"some words and password=Secret123 here"), 20)), ("key", locked)]
+    for kind, inside in cases:
+        text = f"data: {inside}\nend of it"
+        assert (kind, 6, 6 + len(inside)) in secrets.spans(text), (kind, inside)
+    assert secrets.spans("internationalization of\nan_ordinary_identifier\nABCDEFGHIJKLMNOPQRSTUVWX " + b64(b"nothing to be found in here")) == []
+
+
 def test_der_lengths_must_add_up():
     good = rsa_like()
     assert secrets.is_key(good) and not secrets.is_key(good[:-1]) and not secrets.is_key(good + b"\0") and not secrets.is_key(b"")
