@@ -1,4 +1,4 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact similarity.
+"""Benchmark decontamination: an index of item shingles, a bound for each window, exact similarity.
 
 A text is compared with each item in windows as long as the item (in words, A-Z lower-cased). A shingle is ``width``
 words and weighs by how rare it is among the items: ``1 + ln(items / items that hold it)``. Similarity is the weight of
@@ -6,13 +6,11 @@ the shared shingles (as multisets) over the weight of all, and a window at ``thr
 
 Per text:
 
-1. Rolling shingle hashes are looked up in the items' shingles. A window that is at the threshold holds at least one, so
-   only windows over such positions are looked at: nothing else can pass, and nothing is sampled.
-2. Each candidate window of each item's length gets a weighted SimHash of its item shingles, and the items whose
-   fingerprint is within ``radius`` are found through an index of ``radius + 1`` blocks of the 64 bits (two fingerprints
-   within the radius agree on a block). Weights of words outside all items lower a window's similarity but are left out
-   of its fingerprint, so a leak's fingerprint is that of the shared part.
-3. Candidates are verified by the exact similarity over all of the window's shingles.
+1. Rolling shingle hashes are looked up in the items' shingles, and the items that hold them in an index. An item whose
+   distinct shingles in the text weigh less than the threshold allows cannot leak in any of its windows.
+2. For each other item, a window at the threshold holds shingles of that item that weigh ``threshold`` times the item at
+   least. Only windows over such shingles are looked at: nothing else can pass, and nothing is sampled.
+3. These windows are verified by the exact similarity over all of their shingles.
 
 The benchmark is broadcast only after its size is checked against ``max_items`` and ``max_bytes``; a larger one raises an
 error that says to split it and union the results, which are the same. Null and empty texts and items have no windows; items
@@ -54,56 +52,48 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Benchmark:
-    """Items with their shingles, weights and the block index of their fingerprints."""
+    """Items with their shingles, weights and the index from shingles to items."""
 
     ids: list[int]
     length: np.ndarray
     shingles: list[np.ndarray]
     known: np.ndarray  # sorted distinct shingles
     weight: np.ndarray
-    prints: np.ndarray
     width: int
-    radius: int
     threshold: float
 
     @classmethod
-    def build(cls, ids: list[int], texts: list[str], width: int, radius: int, threshold: float) -> Benchmark:
+    def build(cls, ids: list[int], texts: list[str], width: int, threshold: float) -> Benchmark:
         words, cut = word_hashes(pa.array(texts, pa.large_string()))
         items = [(i, words[a:b]) for i, a, b in zip(ids, cut, cut[1:]) if b > a]
         shingles = [shingle_hashes(w, min(width, len(w))) for _, w in items]
         known, holders = np.unique(np.concatenate([np.unique(s) for s in shingles] or [np.zeros(0, np.uint64)]), return_counts=True)
         weight = 1 + np.log(max(len(items), 1) / holders)
-        self = cls([i for i, _ in items], np.array([len(w) for _, w in items], np.int64), shingles, known, weight, np.zeros(0, np.uint64), width, radius, threshold)
-        self.prints = np.array([self.print_of(s) for s in shingles], np.uint64)
-        cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-        self.masks = [np.uint64((1 << b) - (1 << a)) for a, b in zip(cuts, cuts[1:])]
-        self.blocks: list[dict[int, list[int]]] = []
-        for mask in self.masks:
-            block: dict[int, list[int]] = {}
-            for k, p in enumerate(self.prints):
-                block.setdefault(int(p & mask), []).append(k)
-            self.blocks.append(block)
+        self = cls([i for i, _ in items], np.array([len(w) for _, w in items], np.int64), shingles, known, weight, width, threshold)
+        counted = [np.unique(self.places(s), return_counts=True) for s in shingles]
+        self.whole = np.array([(self.weight[p] * n).sum() for p, n in counted])
+        item, place, times = np.repeat(np.arange(len(items)), [len(p) for p, _ in counted]), *(np.concatenate([c[k] for c in counted] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        order = np.argsort(place, kind="stable")
+        self.holder, self.times = item[order], times[order]
+        self.start = np.searchsorted(place[order], np.arange(len(known) + 1))
+        self.shape = np.minimum(width, self.length)
         self.shapes = sorted({(int(n), min(width, int(n))) for n in self.length})
-        self.by_shape = {shape: [k for k, n in enumerate(self.length) if (int(n), min(width, int(n))) == shape] for shape in self.shapes}
-        self.bits_of = self.signs(known) * weight[:, None] if len(known) else np.zeros((0, 64))
         self.filter = np.zeros(1 << 22, bool)
         self.filter[(known >> np.uint64(42)).astype(np.int64)] = True
         return self
 
-    @staticmethod
-    def signs(hashes: np.ndarray) -> np.ndarray:
-        return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32) * 2 - 1
-
     def places(self, shingles: np.ndarray) -> np.ndarray:
         """Index of each shingle among the items', -1 for others."""
         at = np.minimum(np.searchsorted(self.known, shingles), max(len(self.known) - 1, 0))
         return np.where(self.known[at] == shingles, at, -1) if len(self.known) else np.full(len(shingles), -1)
 
-    def print_of(self, shingles: np.ndarray) -> int:
-        at = self.places(shingles)
-        at = at[at >= 0]
-        total = (self.signs(self.known[at]) * self.weight[at][:, None]).sum(axis=0)
-        return int.from_bytes(np.packbits(total > 0).tobytes(), "big")
+    def possible(self, found: np.ndarray, width: int) -> list[int]:
+        """Items of one shingle width whose shingles among ``found`` (distinct places) weigh enough for the threshold."""
+        total = np.zeros(len(self.ids))
+        for p in found.tolist():
+            low, high = self.start[p], self.start[p + 1]
+            total[self.holder[low:high]] += self.weight[p] * self.times[low:high]
+        return np.flatnonzero((total > 0) & (total >= self.whole * self.threshold - 1e-9) & (self.shape == width)).tolist()
 
     def similarity(self, item: int, window: np.ndarray) -> float:
         """Weighted multiset Jaccard similarity of a window's shingles and an item's."""
@@ -122,44 +112,35 @@ class Benchmark:
 
         hits: for each shingle width, the positions that hold an item's shingle and which."""
         best: dict[int, tuple[float, int]] = {}
-        for length, width in self.shapes:
-            at, which = hits[width]
+        for width, (at, which) in hits.items():
             if len(words) < width or not len(at):
                 continue
-            size = min(length, len(words))  # a shorter text is one window
-            span = size - width  # shingle starts in a window: first to first + span
-            first = np.unique(np.clip((at[:, None] - np.arange(span + 1)[None, :]).ravel(), 0, len(words) - size))
-            # A window at the threshold has a shingle count that allows it; fingerprints by prefix sums over the hits.
-            low, high = np.searchsorted(at, first), np.searchsorted(at, first + span, side="right")
-            enough = high > low
-            first, low, high = first[enough], low[enough], high[enough]
-            heavy = np.r_[0, np.cumsum(self.weight[which])]
-            least = np.array([(self.weight[self.places(self.shingles[k])]).sum() for k in self.by_shape[length, width]]).min() * self.threshold
-            enough = heavy[high] - heavy[low] >= least - 1e-9
-            first, low, high = first[enough], low[enough], high[enough]
-            if not len(first):
-                continue
-            sums = np.vstack([np.zeros((1, 64)), np.cumsum(self.bits_of[which], axis=0)])
-            prints = np.packbits(sums[high] - sums[low] > 1e-6, axis=1).view(">u8").ravel().astype(np.uint64)
-            wanted = set(self.by_shape[length, width])
-            for p, f in zip(prints.tolist(), first.tolist()):
-                near = {k for mask, block in zip(self.masks, self.blocks) for k in block.get(p & int(mask), ()) if k in wanted}
-                for k in near:
-                    if (p ^ int(self.prints[k])).bit_count() <= self.radius:
-                        got = self.similarity(k, shingle_hashes(words[f : f + size], width))
-                        if got >= self.threshold - 1e-12 and got > best.get(k, (0.0, 0))[0]:
-                            best[k] = (got, f)
+            for k in self.possible(np.unique(which), width):
+                mine = np.isin(which, self.places(self.shingles[k]))
+                places, heavy = at[mine], np.r_[0, np.cumsum(self.weight[which[mine]])]
+                size = min(int(self.length[k]), len(words))  # a shorter text is one window
+                span = size - width  # shingle starts in a window: first to first + span
+                least = self.whole[k] * self.threshold - 1e-9
+                # A window at the threshold weighs enough from some hit onward, so windows over lighter hits are passed over.
+                weight = heavy[np.searchsorted(places, places + span, side="right")] - heavy[np.searchsorted(places, places)]
+                places_in = places[weight >= least]
+                first = np.unique(np.clip((places_in[:, None] - np.arange(span + 1)[None, :]).ravel(), 0, len(words) - size))
+                enough = heavy[np.searchsorted(places, first + span, side="right")] - heavy[np.searchsorted(places, first)] >= least
+                for f in first[enough].tolist():
+                    got = self.similarity(k, shingle_hashes(words[f : f + size], width))
+                    if got >= self.threshold - 1e-12 and got > best.get(k, (0.0, 0))[0]:
+                        best[k] = (got, f)
         return [(k, f, min(f + int(self.length[k]), len(words)), s) for k, (s, f) in sorted(best.items())]
 
 
-def load(benchmark: DataFrame, *, width: int = 5, radius: int = 12, threshold: float = 0.8, max_items: int = 200_000, max_bytes: int = 64 << 20) -> Benchmark:
+def load(benchmark: DataFrame, *, width: int = 5, threshold: float = 0.8, max_items: int = 200_000, max_bytes: int = 64 << 20) -> Benchmark:
     """The benchmark as a broadcast value, after its size is checked."""
     known = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
     rows, size = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     if rows > max_items or size > max_bytes:
         raise ValueError(f"the benchmark has {rows} items of {size} bytes, over {max_items} or {max_bytes}: split it by item_id and union the results")
     found = known.orderBy("item_id", "text").collect()
-    return Benchmark.build([r[0] for r in found], [r[1] for r in found], width, radius, threshold)
+    return Benchmark.build([r[0] for r in found], [r[1] for r in found], width, threshold)
 
 
 def find_leaks(docs: DataFrame, items: Benchmark) -> DataFrame:

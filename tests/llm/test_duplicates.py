@@ -390,6 +390,22 @@ def test_altered_leaks_and_edges(spark, docs_of, edge_docs):
         contamination.load(table, max_items=3)
 
 
+def test_leaks_just_over_the_threshold_are_all_found(spark, docs_of):
+    rnd = random.Random(16)
+    items = {i: sentence(rnd, 60) for i in range(120)}
+    texts = []
+    for i, item in items.items():
+        words = item.split()
+        if i < 20:
+            words[0] = words[30] = "changed"
+            texts.append(" ".join(words + items[i + 1].split()[:25]))
+        else:
+            texts.append(" ".join(words[: rnd.randint(49, 51)]))
+    got = {(r.doc_id, r.item_id) for r in contamination.find_leaks(docs_of(texts), contamination.load(spark.createDataFrame(list(items.items()), "item_id long, text string"))).collect()}
+    assert got == brute_leaks(dict(enumerate(texts)), items)
+    assert len(got) > 100
+
+
 # ---- pipeline ------------------------------------------------------------------------------------------------------
 
 
