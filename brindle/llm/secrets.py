@@ -5,7 +5,7 @@ at least 8 characters), ``access`` (``AKIA`` and 12 or more capitals or digits)
 matches are reported as they are. Candidates in base64 (16 characters or more, on one line or wrapped over several) or in
 hex of either case (28 digits or more) are decoded and reported only if the bytes parse:
 
-* ``jwt``  three dot-separated parts whose first is base64url JSON with an ``alg`` and whose second is JSON;
+* ``jwt``  three dot-separated parts whose first ends in base64url JSON with an ``alg`` and whose second is JSON;
 * ``key``  DER whose nested lengths add up to a private or public key (PKCS#1, PKCS#8, SEC 1, SPKI), or an OpenSSH key
   whose length-prefixed fields fill the bytes; within a PEM frame the lines are joined first, and a body whose headers
   say that it is encrypted is a key if it decodes to whole cipher blocks;
@@ -32,13 +32,15 @@ KINDS = ("assign", "access", "hex", "jwt", "key", "nested")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+_PARTS = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)(?=\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]*+))")
 _ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{28,}")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _BREAK = r"[\x20\t]*(?:\r?\n|\\r\\n|\\n)[\x20\t>#*]*"
 _WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]+(?:{_BREAK}[A-Za-z0-9+/_-]+)+={{0,2}}")
 _PIECE = re.compile(rf"(?:^|{_BREAK})([A-Za-z0-9+/_-]+={{0,2}})")
 _PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*(?:KEY|CERTIFICATE)-----((?:(?:\s|\\[nr])*[A-Za-z0-9-]+:\x20[^\n\\]*(?:\r?\n|\\r\\n|\\n))*)([A-Za-z0-9+/=\s\\]+)-----END [A-Z0-9 ]*-----")
+_LEAST = 14  # characters of {"alg":""} in base64
+_HEADER, _JSON = re.compile("(?=eyJ)"), json.JSONDecoder()
 #: How often decoded text is searched and decoded in turn.
 DEPTH = 4
 _NAMES = ("passw", "secret", "token", "api")
@@ -119,13 +121,52 @@ def _fields(data: bytes, least: int, whole: bool = False) -> bool:
     return count >= least and (not whole or at == len(data))
 
 
-def is_signed_token(text: str) -> bool:
-    head, body, _ = text.split(".", 2)
+class _Uncounted(str):
+    """Text whose line breaks the JSON decoder does not count for each error: that would read the whole text each time."""
+
+    def count(self, *_) -> int:
+        return 0
+
+    def rfind(self, *_) -> int:
+        return 0
+
+
+def token_start(head: str, body: str) -> int | None:
+    """Where in ``head`` the header of a signed token begins that ends with it, the body being JSON; null if nowhere.
+
+    The header is decoded once for each of the four alignments that its begin can have."""
     try:
-        head, body = json.loads(unbase64(head) or b""), json.loads(unbase64(body) or b"")
+        if not isinstance(json.loads(unbase64(body) or b""), dict):
+            return None
     except (ValueError, RecursionError):
-        return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
+        return None
+    decoded: dict[int, str | None] = {}
+    for m in _HEADER.finditer(head):
+        shift = m.start() % 4
+        if shift not in decoded:
+            data = unbase64(head[shift:])
+            whole = data.decode("latin-1").rstrip(" \t\r\n") if data else ""
+            decoded[shift] = _Uncounted(whole) if whole.endswith("}") else None
+        if decoded[shift] is None:
+            continue
+        try:
+            found, end = _JSON.raw_decode(decoded[shift], m.start() // 4 * 3)
+        except (ValueError, RecursionError):
+            continue
+        if end == len(decoded[shift]) and isinstance(found, dict) and isinstance(found.get("alg"), str):
+            return m.start()
+    return None
+
+
+def signed_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of signed tokens: three parts at dots, each part read once."""
+    past = 0
+    for m in _PARTS.finditer(text):
+        if m.start() >= past and len(m[1]) >= _LEAST and "eyJ" in m[1]:
+            at = token_start(m[1], m[2])
+            if at is not None:
+                past = m.end(3)
+                yield m.start() + at, past
 
 
 def holds_secret(data: bytes, depth: int = DEPTH) -> bool:
@@ -166,7 +207,7 @@ def spans(text: str, depth: int = DEPTH) -> list[Span]:
     """All spans by start, then kind in the order of ``KINDS``."""
     out = base_spans(text)
     if "eyJ" in text:
-        out += [("jwt", m.start(), m.end()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
+        out += [("jwt", *span) for span in signed_tokens(text)]
     framed = []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):

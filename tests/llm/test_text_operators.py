@@ -8,6 +8,7 @@ import math
 import random
 import re
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -160,6 +161,52 @@ def test_secrets_in_every_encoding():
     assert secrets.spans("internationalization of\nan_ordinary_identifier\nABCDEFGHIJKLMNOPQRSTUVWX " + b64(b"nothing to be found in here")) == []
 
 
+def test_tokens_after_other_characters_and_parts():
+    url = lambda o: base64.urlsafe_b64encode(json.dumps(o).encode()).decode().rstrip("=")
+    token = f"{url({'alg': 'HS256', 'typ': 'JWT'})}.{url({'sub': '1'})}.sig-x_1"
+    for text in (token, f"id_{token}", f"a.b.{token}", f"{token} {token}", f"{token}.{token}"):
+        found = [(a, b) for kind, a, b in secrets.spans(text) if kind == "jwt"]
+        assert found == [(m.start(), m.end()) for m in re.finditer(re.escape(token), text)]
+    assert secrets.spans(token[:-20].replace("eyJ", "eyK", 1)) == []
+
+
+def test_adverse_texts_take_linear_time():
+    n = 5_000_000
+    nest = base64.urlsafe_b64encode(b'{"a":' * (n // 7)).decode().rstrip("=")
+    header = base64.urlsafe_b64encode(b'{"alg":"x"').decode()[:13]
+    for text in ("eyJ" * (n // 3), "eyJ." * (n // 4), f"{nest}.e30.", header * (n // 13) + ".e30.", "A" * n, "password=" * (n // 9), "abcd\n" * (n // 5)):
+        began = time.process_time()
+        secrets.spans(text)
+        assert time.process_time() - began < 15, text[:20]
+
+
+def test_op4_query_matches_brute_force(spark, sf_dir):
+    kinds = [("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?(?P<v>[A-Za-z0-9+/_.=-]+)""", 8), ("access", "(?P<v>AKIA[A-Z0-9]+)", 16), ("hex", "(?P<v>[0-9a-f]+)", 32)]
+    got = {r.doc_id: r for r in registry.op4_secrets(spark, sf_dir).collect()}
+    docs = registry.documents(spark, sf_dir).collect()
+    assert len(got) == len(docs)
+    for r in docs:
+        found, text = [], r.text or ""
+        for order, (kind, pattern, least) in enumerate(kinds):
+            of = [m for m in re.compile(pattern, re.A).finditer(text) if len(m["v"]) >= least]
+            found += [(m.start(), order, f"{kind}:{m.start()}:{m.end()}") for m in of]
+            assert got[r.doc_id][f"n_{kind}"] == len(of)
+        base = [x for *_, x in sorted(found)]
+        assert got[r.doc_id].base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        every = got[r.doc_id].spans.split(",") if got[r.doc_id].spans else []
+        assert [s for s in every if s.split(":")[0] in ("assign", "access", "hex")] == base
+        # What the method adds: each candidate parses, and every run of text that decodes to a base match is among the spans.
+        added = {tuple(s.split(":")) for s in every} - {tuple(s.split(":")) for s in base}
+        for m in re.finditer("(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}", text):
+            data = secrets.unbase64(m[0])
+            try:
+                inside = data.decode() if data else ""
+            except UnicodeDecodeError:
+                continue
+            if inside.isprintable() and any(len(x["v"]) >= least for _, p, least in kinds for x in re.compile(p, re.A).finditer(inside)):
+                assert any(int(a) <= m.start() and m.end() <= int(b) for _, a, b in added)
+
+
 def test_der_lengths_must_add_up():
     good = rsa_like()
     assert secrets.is_key(good) and not secrets.is_key(good[:-1]) and not secrets.is_key(good + b"\0") and not secrets.is_key(b"")
