@@ -25,9 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the one that all executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder in the one that all executors share.
+
+    Only a session on one machine may leave the setting out: there it is a folder of that machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = "file:///tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(shared)
     return f"{shared.rstrip('/')}/brindle-{uuid.uuid4().hex}"

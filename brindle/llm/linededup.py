@@ -77,16 +77,16 @@ def repeated_runs(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
     return runs.where(F.col("words") >= min_words).select(*_DOC, "first_line", "last_line").distinct()
 
 
-def dedup_lines(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
-    """``docs`` with later repeated runs cut out of ``text`` and the cut lines listed in ``removed`` (first, last)."""
+def dedup_lines(docs: DataFrame, *, min_words: int = 50, name: str = "removed") -> DataFrame:
+    """``docs`` with later repeated runs cut out of ``text`` and the cut lines (first, last) listed in a column of that name."""
     runs = repeated_runs(docs, min_words=min_words)
     cuts = runs.groupBy(*_DOC).agg(F.sort_array(F.collect_list(F.struct("first_line", "last_line"))).alias("_ld_cuts"))
     # Filling the gaps between runs needs no text; only documents with cuts are split again.
-    joined = _keyed(docs.drop("removed")).join(cuts, _DOC, "left")
+    joined = _keyed(docs.drop(name)).join(cuts, _DOC, "left")
     cut = lambda i: F.exists("_ld_cuts", lambda c: (c["first_line"] <= i) & (i <= c["last_line"]))
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~cut(i)), "\n")
     removed = F.coalesce("_ld_cuts", F.array().cast("array<struct<first_line:int,last_line:int>>"))
-    out = joined.withColumn("text", F.when(F.col("_ld_cuts").isNull(), F.col("text")).otherwise(kept)).withColumn("removed", removed)
+    out = joined.withColumn("text", F.when(F.col("_ld_cuts").isNull(), F.col("text")).otherwise(kept)).withColumn(name, removed)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_ld_cuts").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.drop(*_DOC, "_ld_cuts").select(*[c for c in docs.columns if c != "removed"], "removed")
+    return out.drop(*_DOC, "_ld_cuts").select(*[c for c in docs.columns if c != name], name)

@@ -124,9 +124,9 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", held_ou
     return QualityModel(weights, bias, bits)
 
 
-def score(docs: DataFrame, model: QualityModel, *, threshold: float = 0.5) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted``; columns of those names are replaced."""
-    docs = docs.drop("score", "predicted")
+def score(docs: DataFrame, model: QualityModel, *, threshold: float = 0.5, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with two more columns, a score (0 to 1) and whether it is over the threshold; columns of their names are replaced."""
+    docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,7 @@ def score(docs: DataFrame, model: QualityModel, *, threshold: float = 0.5) -> Da
         for part in common.pieces(batches, "text"):
             doc, index, value = features(part.column("text"), m.bits)
             margin = np.bincount(doc, m.weights[index] * value, minlength=part.num_rows) + m.bias
-            yield part.append_column("score", pa.array(1 / (1 + np.exp(-np.clip(margin, -500, 500)))))
+            yield part.append_column(names[0], pa.array(1 / (1 + np.exp(-np.clip(margin, -500, 500)))))
 
-    scored = docs.mapInArrow(run, common.extended(docs.schema, score="double"))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    scored = docs.mapInArrow(run, common.extended(docs.schema, **{names[0]: "double"}))
+    return scored.withColumn(names[1], (F.col(names[0]) >= threshold).cast("int"))

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -38,6 +39,18 @@ def test_components_of_chains_stars_and_loops(spark):
     assert got[501] == 500 and got[900] == 900 and components(edges.limit(0)).count() == 0
 
 
+def test_components_with_a_hub(spark, monkeypatch):
+    monkeypatch.setattr("brindle.llm.components.HOT", 5)
+    rnd = random.Random(9)
+    edges = [(0, i) for i in range(1, 300)] + [(rnd.randrange(300, 600), rnd.randrange(300, 600)) for _ in range(150)] + [(299, 900), (900, 901)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    parent = {x: x for e in edges for x in e}
+    for _ in range(700):
+        for a, b in edges:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    assert got == parent
+
+
 # ---- minhash -------------------------------------------------------------------------------------------------------
 
 
@@ -221,6 +234,46 @@ def test_representatives_are_exact_in_large_keys(docs_of, monkeypatch):
         assert sorted(r.doc_id for r in simhash.representatives(docs_of(texts)).collect()) == wanted
 
 
+def test_a_key_of_over_a_thousand_near_copies(docs_of):
+    rnd = random.Random(41)
+    base = [word(rnd) for _ in range(120)]
+    texts = []
+    for i in range(1500):
+        words = list(base)
+        if i % 3:
+            words[rnd.randrange(120)] = word(rnd)
+        texts.append(" ".join(words[: 120 - i % 5]))
+    texts += [sentence(rnd, 120) for _ in range(100)]
+    kept = {r.doc_id for r in simhash.representatives(docs_of(texts)).collect()}
+    assert kept == {0, *range(1500, 1600)}
+
+
+def test_no_pair_is_missed_on_a_larger_table(spark):
+    folder = Path("/root/testdata/sf0.01")
+    if not folder.exists():
+        pytest.skip("no larger table")
+    docs = common.table(spark, str(folder), "documents")
+    sets = {r.doc_id: shingles(re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""), 5) for r in docs.collect()}
+    of = collections.defaultdict(set)
+    for i, s in sets.items():
+        for g in s:
+            of[g].add(i)
+    rows = [(a, b) for a, s in sets.items() for b, n in collections.Counter(x for g in s for x in of[g] if x < a).items() if n >= 0.8 * (len(s) + len(sets[b]) - n)]
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    empty = [i for i, s in sets.items() if not s]
+    for a, b in rows + [(i, empty[0]) for i in empty]:
+        p, q = sorted((find(a), find(b)))
+        root[q] = p
+    kept = {r.doc_id for r in simhash.representatives(docs).collect()}
+    assert kept == {i for i in sets if find(i) == i} and sum(sets[a] != sets[b] for a, b in rows) >= 3
+
+
 def test_nearer_texts_do_not_hide_a_similar_one(spark, docs_of, monkeypatch):
     rnd = random.Random(14)
     a = [word(rnd) for _ in range(200)]
@@ -439,6 +492,25 @@ def test_leaks_just_over_the_threshold_are_all_found(spark, docs_of):
 # ---- pipeline ------------------------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_keep_other_columns_and_handle_edges(spark, sf_dir, edge_docs, name, stage):
+    got = stage(spark, edge_docs, sf_dir)
+    empty = stage(spark, edge_docs.limit(0), sf_dir)
+    assert empty.count() == 0
+    if name == "tokens":
+        assert got.count() == 11 and got.where("not round_trip").count() == 0
+        return
+    assert got.columns == edge_docs.columns == empty.columns
+    rows, before = got.collect(), edge_docs.collect()
+    assert rows and all(r[c] == "mine" for r in rows for c in edge_docs.columns[5:])
+    assert not collections.Counter((r.doc_id, r.text) for r in rows) - collections.Counter((r.doc_id, r.text) for r in before)
+    if name == "near_duplicates":
+        kept = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in rows)
+        assert [k[1] for k in kept] == [1, 2, 5, 7, 8, 8, 0] and len({k[2] for k in kept}) == 7
+    if name in ("line_dedup", "decontamination"):
+        assert len(rows) == 11
+
+
 def test_pipeline(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
     columns = docs.columns
