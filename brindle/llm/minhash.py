@@ -13,6 +13,10 @@ names beginning ``_mh`` are the operator's own.
 
 from __future__ import annotations
 
+import collections
+import math
+
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +27,18 @@ BINS = 1 << LOG_BINS
 _BLANKS = " \t\n\x0b\f\r"
 
 
+#: The greatest hash of a bin stands for an empty one.
+_NONE = (1 << (63 - LOG_BINS)) - 1
+
+
 def _bin(value: Column) -> Column:
-    return F.shiftright(value, 63 - LOG_BINS).cast("int")
+    return F.shiftright(value, 63 - LOG_BINS)
+
+
+def _probes() -> list[int]:
+    """The bins that each bin looks at when empty, ``PROBES`` a bin: Spark's xxhash64 of the bin and the probe's number."""
+    four = lambda x: x.to_bytes(4, "little")
+    return [xxhash.xxh64_intdigest(four(k), xxhash.xxh64_intdigest(four(b), 42)) % BINS for b in range(BINS) for k in range(PROBES)]
 
 
 def signature(docs: DataFrame, text: str, out: str) -> DataFrame:
@@ -33,24 +47,23 @@ def signature(docs: DataFrame, text: str, out: str) -> DataFrame:
     docs = docs.withColumn("_mh_words", F.transform(words, lambda w: F.xxhash64(w)))
     blank = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(_BLANKS)) == ""
     h, n = F.col("_mh_words"), F.size("_mh_words")
-    run = lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(h, i + k) for k in range(WIDTH)]), 1)
-    shingles = F.when(n >= WIDTH, F.transform(F.sequence(F.lit(0), n - WIDTH), run)).otherwise(F.array(F.shiftrightunsigned(F.xxhash64(h), 1)))
-    docs = docs.withColumn("_mh_hashes", F.sort_array(F.when(~blank, shingles)))
+    run = lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(h, i, WIDTH)), 1)
+    shingles = F.when(n >= WIDTH, F.transform(F.sequence(F.lit(1), n - WIDTH + 1), run)).otherwise(F.array(F.shiftrightunsigned(F.xxhash64(h), 1)))
+    ends = F.array(*[F.lit((b << (63 - LOG_BINS)) | _NONE).cast("long") for b in range(BINS)])
+    docs = docs.withColumn("_mh_hashes", F.sort_array(F.when(~blank, F.concat(shingles, ends))))
     s = F.col("_mh_hashes")
-    # In sorted order a bin's smallest hash is the first of its run.
-    docs = docs.withColumn("_mh_least", F.filter(s, lambda x, i: (i == 0) | (_bin(x) != _bin(F.get(s, i - 1)))))
-    docs = docs.withColumn("_mh_full", F.transform("_mh_least", _bin)).drop("_mh_words", "_mh_hashes")
-    least, full = F.col("_mh_least"), F.col("_mh_full")
-    every = F.sequence(F.lit(0), F.lit(BINS - 1))
-    docs = docs.withColumn("_mh_bins", F.when(least.isNotNull(), F.transform(every, lambda b: F.get(least, F.array_position(full, b).cast("int") - 1))))
-    bins = F.col("_mh_bins")
+    # In sorted order a bin's smallest hash is the first of its run; each bin has its greatest hash at least.
+    first = F.filter(s, lambda x, i: (i == 0) | (_bin(x) != _bin(F.get(s, i - 1))))
+    docs = docs.withColumn("_mh_bins", F.transform(first, lambda x: F.when(x.bitwiseAND(F.lit(_NONE)) != _NONE, x))).drop("_mh_words", "_mh_hashes")
+    bins, table = F.col("_mh_bins"), F.array(*[F.lit(p) for p in _probes()])
+    docs = docs.withColumn("_mh_full", F.filter(bins, lambda x: x.isNotNull()))
 
-    def filled(b: Column) -> Column:
-        probes = [F.get(bins, F.pmod(F.xxhash64(b, F.lit(k)), F.lit(BINS)).cast("int")) for k in range(PROBES)]
-        ranked = F.array_min(F.transform(least, lambda x: F.struct(F.xxhash64(b, _bin(x)).alias("rank"), x.alias("value"))))
-        return F.coalesce(F.get(bins, b), *probes, ranked["value"]).bitwiseAND(F.lit(255)).cast("short")
+    def filled(x: Column, b: Column) -> Column:
+        probes = [F.get(bins, F.get(table, b * PROBES + k)) for k in range(PROBES)]
+        ranked = F.array_min(F.transform("_mh_full", lambda y: F.struct(F.xxhash64(b, _bin(y).cast("int")).alias("rank"), y.alias("value"))))
+        return F.coalesce(x, *probes, ranked["value"]).bitwiseAND(F.lit(255)).cast("short")
 
-    return docs.withColumn(out, F.when(least.isNotNull(), F.transform(every, filled))).drop("_mh_least", "_mh_full", "_mh_bins")
+    return docs.withColumn(out, F.transform(bins, filled)).drop("_mh_full", "_mh_bins")
 
 
 def packed(bits: Column) -> Column:
@@ -74,40 +87,51 @@ def fingerprints(docs: DataFrame, *, text: str = "text") -> DataFrame:
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``docs(doc_id, text, ...)`` with ``_mh_next``: the given columns of the next row by descending doc_id.
 
-    The first row follows the last; equal ids go by text, null ids come last. The id range is cut at approximate
-    quantiles; each range is one window partition, and the first row of a range is also dealt to the range before it,
-    so no task sees more than a range. Only the cuts and each range's top id reach the driver: a number of rows set by
-    the shuffle partitions."""
+    The first row follows the last; equal ids go by a hash of the text, then the text; null ids come last. The id range is
+    cut at approximate quantiles, and an id that fills several ranges (or the null ids) by the text's hash. Each range is
+    one window partition, and the first row of a range is also dealt to the range before it, so no task sees more than a
+    range, but for rows that repeat both id and text. Only the cuts and each range's top reach the driver or a broadcast:
+    a number of rows set by the shuffle partitions, whatever the input."""
     spark = docs.sparkSession
     ranges = 6 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]
-    cuts = sorted(set(cuts or []))
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
+    cuts, total, known = ids.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 20 * ranges), F.count(F.lit(1)), F.count("id")).first()
+    times = collections.Counter(cuts or [])
+    cuts = sorted(times)
+    shared = {v: n for v, n in times.items() if n > 1}  # ids that fill a range and more
+    of_null = -(-(total - known) * ranges // max(total, 1))
+    hashed = F.shiftrightunsigned(F.xxhash64("text"), 1)
+    deal = F.lit(1)
+    if shared or of_null > 1:
+        deal = F.when(F.col("doc_id").isNull(), F.lit(max(of_null, 1)))
+        if shared:
+            deal = deal.otherwise(F.coalesce(F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in shared.items() for x in pair]), F.col("doc_id").cast("long")), F.lit(1)))
+        deal = F.coalesce(deal, F.lit(1)).cast("long")
+        rank = F.when(deal > 1, hashed).otherwise(0)
+        deal = F.shiftright(F.shiftright(rank, 32) * deal, 31)
+    else:
+        rank = deal = F.lit(0).cast("long")
     place = F.lit(0)
     if cuts:
-        # Halving the sorted cuts keeps the search logarithmic and in generated code.
-        def search(low: int, high: int) -> Column:
-            if low == high:
-                return F.lit(low)
-            middle = (low + high) // 2
-            return F.when(F.col("doc_id") > F.lit(cuts[middle]), search(middle + 1, high)).otherwise(search(low, middle))
-
-        place = F.when(F.col("doc_id").isNull(), -1).otherwise(search(0, len(cuts)))
-    docs = docs.withColumn("_mh_range", place)
-    tops = sorted(docs.select("doc_id", "_mh_range").groupBy("_mh_range").agg(F.max("doc_id").alias("top")).collect(), reverse=True)
-    before = {r["top"]: tops[i - 1]["_mh_range"] for i, r in enumerate(tops)}
-    copy_to = F.lit(None).cast("int")
-    if before:
-        known = {t: r for t, r in before.items() if t is not None}
-        if known:
-            to = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-            copy_to = F.when(F.col("doc_id").isin(list(known)), F.element_at(to, F.col("doc_id")))
-        if None in before:
-            copy_to = F.coalesce(copy_to, F.when(F.col("doc_id").isNull(), before[None]))
-    spots = F.array(F.struct(F.col("_mh_range").alias("at"), F.lit(0).alias("copy")), F.struct(copy_to.alias("at"), F.lit(1).alias("copy")))
-    dealt = docs.withColumn("_mh_spot", F.explode(F.filter(spots, lambda s: s["at"].isNotNull())))
-    order = Window.partitionBy("_mh_spot.at").orderBy("_mh_spot.copy", F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last())
+        # Two short lists find the range: which block of cuts, then which of the block's.
+        step = math.isqrt(len(cuts)) + 1
+        longs = lambda values: F.array(*[F.lit(c) for c in values]).cast("array<long>")
+        blocks = F.array(*[longs(cuts[i : i + step]) for i in range(0, len(cuts) + 1, step)])
+        under = lambda a: F.size(F.filter(a, lambda c: c < F.col("doc_id")))
+        block = under(longs(cuts[step - 1 :: step]))
+        place = F.when(F.col("doc_id").isNull(), -1).otherwise(block * step + under(F.get(blocks, block)))
+    docs = docs.withColumn("_mh_range", place.cast("long") * (ranges + 1) + deal).withColumn("_mh_rank", rank)
+    tops = docs.groupBy("_mh_range").agg(F.max(F.struct(F.col("doc_id").cast("long").alias("id"), F.col("_mh_rank").alias("rank"))).alias("top")).collect()
+    tops = sorted(((r["_mh_range"], r["top"]["id"], r["top"]["rank"]) for r in tops), reverse=True)
+    dealt_to = [(at, top, rank, tops[i - 1][0]) for i, (at, top, rank) in enumerate(tops)]
+    known = spark.createDataFrame(dealt_to, "_mh_range long, _mh_top long, _mh_most long, _mh_before long")
+    docs = docs.join(F.broadcast(known), "_mh_range")
+    first = F.col("doc_id").cast("long").eqNullSafe(F.col("_mh_top")) & (F.col("_mh_rank") == F.col("_mh_most"))
+    spots = F.array(F.struct(F.col("_mh_range").alias("at"), F.lit(0).alias("copy")), F.when(first, F.struct(F.col("_mh_before").alias("at"), F.lit(1).alias("copy"))))
+    dealt = docs.withColumn("_mh_spot", F.explode(F.filter(spots, lambda s: s.isNotNull())))
+    order = Window.partitionBy("_mh_spot.at").orderBy("_mh_spot.copy", F.col("doc_id").desc_nulls_last(), hashed.desc(), F.col("text").desc_nulls_last())
     followed = dealt.withColumn("_mh_next", F.lead(F.struct(*columns)).over(order))
-    return followed.where("_mh_spot.copy = 0").drop("_mh_spot", "_mh_range")
+    return followed.where("_mh_spot.copy = 0").drop("_mh_spot", "_mh_range", "_mh_rank", "_mh_top", "_mh_most", "_mh_before")
 
 
 def neighbours(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Fingerprints, near-duplicates, repeated lines, benchmark leaks and the pipeline: brute force on small tables."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -64,7 +65,8 @@ def jaccard(a, b):
 
 
 def check_neighbours(rows, got):
-    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, r[1] or ""), reverse=True)
+    mark = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) >> 1
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, mark(r[1] or ""), r[1] or ""), reverse=True)
     wanted = collections.defaultdict(list)
     for i, (doc_id, text) in enumerate(ordered):
         text, after = text or "", ordered[(i + 1) % len(ordered)][1] or ""
@@ -97,6 +99,42 @@ def test_fingerprint_edges(edge_docs, docs_of):
     assert alone.near_next == 1.0
 
 
+def plain_fingerprint(text):
+    """One-permutation MinHash with the same hashes, bin by bin."""
+    h64 = lambda data, seed=42: xxhash.xxh64_intdigest(data, seed)
+    chain = lambda parts: functools.reduce(lambda seed, x: h64(x, seed), parts, 42)
+    words = [h64(w.encode()).to_bytes(8, "little") for w in re.split("[\x20\x09-\x0d]+", text.strip("\x20\t\n\x0b\x0c\r")) if w]
+    if not words:
+        return "00" * 128
+    bins = {}
+    for x in (chain(words[i : i + 5]) >> 1 for i in range(max(1, len(words) - 4))):
+        bins[x >> 56] = min(x, bins.get(x >> 56, x))
+    signed = lambda x: x - (x >> 63 << 64)
+    four = lambda x: x.to_bytes(4, "little")
+    out = []
+    for b in range(128):
+        order = [b] + [signed(chain([four(b), four(k)])) % 128 for k in range(12)] + [min(bins, key=lambda x: signed(chain([four(b), four(x)])))]
+        out.append(next(bins[x] for x in order if x in bins) & 255)
+    return bytes(out).hex()
+
+
+def test_op2_fingerprints_match_plain_minhash(spark, sf_dir):
+    texts = {r.doc_id: r.text or "" for r in registry.documents(spark, sf_dir).collect()}
+    ids = sorted(texts, reverse=True)
+    for r in registry.op2_fingerprints(spark, sf_dir).collect():
+        text, after = texts[r.doc_id], texts[ids[(ids.index(r.doc_id) + 1) % len(ids)]]
+        half = len(text) // 2
+        assert r.fingerprint == plain_fingerprint(text)
+        assert r.edited_fingerprint == plain_fingerprint(text[: len(text) - half] + after[:half])
+
+
+def test_next_rows_of_hot_and_null_ids(docs_of):
+    texts = [f"text {i * 7919 % 300} of some words" for i in range(300)]
+    ids = [None if i % 3 == 0 else 5 if i % 3 == 1 else i for i in range(300)]
+    rows = list(zip(ids, texts))
+    assert max(check_neighbours(rows, minhash.neighbours(docs_of(texts, ids)).collect())) < 0.3
+
+
 def test_minhash_is_unbiased_for_short_texts(spark, docs_of):
     rnd = random.Random(2)
     texts = []
