@@ -255,7 +255,8 @@ def similar_links(docs: DataFrame, values: DataFrame, *, width: int, similarity:
     """Links ``(a, b)``, all verified, that give the components of ``values(node, length, keys)`` (nodes distinct)."""
     keyed = shared_keys(values.select("node", "length", F.posexplode("keys").alias("choice", "bits")))
     texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
-    texts = texts.join(keyed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    # Copies meet in partial aggregates before they are dealt by node.
+    texts = texts.dropDuplicates(["node"]).join(keyed.select("node").distinct(), "node", "left_semi")
     sets = common.written(shingle_sets(texts, width))
     least = keyed.groupBy("choice", "bits").agg(F.min(F.struct("node", "length")).alias("least"))
     near = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b)
