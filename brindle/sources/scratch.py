@@ -8,6 +8,10 @@ from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new path under the cluster's checkpoint folder, or under a local one where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """A new path under the cluster's checkpoint folder; only a session on one machine may leave that unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = "file:///tmp/checkpoints"
     return f"{shared.rstrip('/')}/brindle-core-{uuid.uuid4().hex}"
