@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from brindle.functions import scalars
 from brindle.functions import semantics as S
+from brindle.sources import scratch
 
 METHODS = ("minmax", "zscore", "logscale", "binning")
 
@@ -66,6 +67,18 @@ def dictionary(df: DataFrame, f: T.StructField, limit: int | None = None) -> lis
     return [r["v"] for r in rows]
 
 
+def dense_ranks(values: DataFrame, column: str, rank: str) -> DataFrame:
+    """Distinct values with their rank from 0, sorted in ranges; the ranges' sizes are one row a partition."""
+    path = scratch.folder(values.sparkSession)
+    values.repartitionByRange(column).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    dealt = values.sparkSession.read.parquet(path)
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = dealt.join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(column))
+    return placed.select(column, (F.col("_before") + inside - 1).cast("double").alias(rank))
+
+
 def one_hot(df: DataFrame, columns: list[str], method: str = "oneHot", hash_bits: int = 10) -> DataFrame:
     """Encode categories: a 0/1 column per value (at most 200), the rank in the sorted dictionary, or a hash bucket."""
     fields = [f for c in columns if (f := S.field(df, c)) is not None]
@@ -76,10 +89,7 @@ def one_hot(df: DataFrame, columns: list[str], method: str = "oneHot", hash_bits
     if method == "ordinal":
         out = df
         for i, f in enumerate(fields):
-            # Ranks come from the distinct values, never from a sort of all rows.
-            values = df.select(F.lower(S.key(f)).alias(f"_k{i}")).distinct()
-            ranks = values.withColumn(f"_r{i}", (F.row_number().over(Window.orderBy(f"_k{i}")) - 1).cast("double"))
-            out = out.join(ranks, F.lower(S.key(f)) == F.col(f"_k{i}"), "left")
+            out = out.join(dense_ranks(df.select(F.lower(S.key(f)).alias(f"_k{i}")).distinct(), f"_k{i}", f"_r{i}"), F.lower(S.key(f)) == F.col(f"_k{i}"), "left")
         ranked = {f.name: F.col(f"_r{i}").alias(f.name) for i, f in enumerate(fields)}
         return out.select(*[ranked.get(f.name, S.col(f)) for f in df.schema.fields])
     gone = {f.name for f in fields}

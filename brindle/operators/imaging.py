@@ -9,6 +9,7 @@ import math
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,7 +70,11 @@ def splat_rows(cloud: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            out = [struct.pack("<6f8B", *row) for row in zip(p.px, p.py, p.pz, p.sx, p.sy, p.sz, p.r, p.g, p.b, p.a, p.qw, p.qx, p.qy, p.qz)]
+            records = np.empty(len(p), [("place", "<f4", 6), ("colour", "u1", 8)])
+            records["place"] = p[["px", "py", "pz", "sx", "sy", "sz"]].to_numpy()
+            records["colour"] = p[["r", "g", "b", "a", "qw", "qx", "qy", "qz"]].to_numpy()
+            raw = records.tobytes()
+            out = [raw[i : i + 32] for i in range(0, len(raw), 32)]
             yield pd.DataFrame({"image": p.image, "y": p.y, "x": p.x, "bytes": out})
 
     kind = cloud.schema["image"].dataType.simpleString()
