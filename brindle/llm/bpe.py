@@ -5,7 +5,7 @@ same two tokens. A pair is checked by walking both tokens' merge trees down alon
 across the seam has a lower rank than the merges that built the parts it would join. All pairs of a batch of new words
 are checked at once in numpy; only words with a failing pair are merged step by step.
 
-Texts are cut by the tokenizer file's own pattern; a special token's string is one token, as the file says. Null is
+Texts are cut by the byte-level pattern stated below, which the tokenizer file asks for; a special token's string is one token, as the file says. Null is
 empty text. Decoding joins the tokens' bytes and reads them as UTF-8 with U+FFFD for what is not. Words are kept by
 worker up to ``KEEP_WORDS``; the cache is then emptied, so memory stays bounded.
 """
