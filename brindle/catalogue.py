@@ -569,6 +569,50 @@ def l4_classified_in_batches(spark, d):
     return completions.apply(part, completions.classify("p_name", categories="long\nshort"), _echo).select("p_partkey", "Category")
 
 
+def _replies(answer: Callable[[str], dict]):
+    """A client that gives each numbered input its own answer: deterministic, for tests."""
+
+    def client(system: str, user: str, provider: str, temperature: float) -> str:
+        import json
+        import re
+
+        return json.dumps([answer(x) for x in re.findall(r"^\d+\. (.*)$", user, re.M)])
+
+    return client
+
+
+@query("select p_partkey, case when row_number() over (order by p_partkey) <= 10 then case when length(p_name) > 25 then 'long' else 'short' end end as \"Category\" from part")
+def l0_first_rows_only(spark, d):
+    part = _t(spark, d, "part").select("p_partkey", "p_name")
+    return completions.apply(part, completions.classify("p_name", categories="long\nshort"), _echo, completions.Settings(max_rows=10), "p_partkey").select("p_partkey", "Category")
+
+
+@query("select c_custkey, lower(c_mktsegment) as segment from customer")
+def l1_reformatted(spark, d):
+    c = _t(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    return completions.apply(c, completions.reformat("c_mktsegment", "segment", "lower case"), _replies(lambda x: {"segment": x.lower()})).select("c_custkey", "segment")
+
+
+@query("select p_partkey, upper(p_name) as p_name from part")
+def l2_cleansed_in_place(spark, d):
+    part = _t(spark, d, "part").select("p_partkey", "p_name")
+    return completions.apply(part, completions.cleanse("p_name"), _replies(lambda x: {"p_name": x.upper()})).select("p_partkey", "p_name")
+
+
+@query("select p_partkey, case when length(p_name) % 2 = 0 then 'positive' else 'negative' end as \"Sentiment\", '0.5' as \"SentimentScore\" from part")
+def l3_sentiment(spark, d):
+    part = _t(spark, d, "part").select("p_partkey", "p_name")
+    answer = lambda x: {"Sentiment": "negative" if len(x) % 2 else "positive", "SentimentScore": 0.5}
+    return completions.apply(part, completions.sentiment("p_name"), _replies(answer)).select("p_partkey", "Sentiment", "SentimentScore")
+
+
+@query("select p_partkey, split_part(p_name, ' ', 1) as kind, nullif(split_part(p_name, ' ', 2), '') as thing from part")
+def l5_extracted(spark, d):
+    part = _t(spark, d, "part").select("p_partkey", "p_name")
+    answer = lambda x: dict(zip(("kind", "thing"), x.split(" ")))
+    return completions.apply(part, completions.extract("p_name", "kind\nthing"), _replies(answer)).select("p_partkey", "kind", "thing")
+
+
 def _add_total(part):
     part["total"] = part["l_quantity"] * 2
     return part
@@ -591,6 +635,38 @@ def u4_expression_script(spark, d):
     return li.select("l_orderkey", "l_linenumber", "net")
 
 
+# ---- readers' helpers ----------------------------------------------------------------------------------------------
+
+
+@query("select * from (values ('a.csv', 'Csv'), ('b.TSV', 'Tsv'), ('c.tab', 'Tsv'), ('d.json', 'Json'), ('e.ndjson', 'Json'), ('f.parquet', 'Parquet'), ('g', 'Csv')) v(name, format)")
+def s9_format_guess(spark, d):
+    names = ["a.csv", "b.TSV", "c.tab", "d.json", "e.ndjson", "f.parquet", "g"]
+    return spark.createDataFrame([(n, readers.guess_format(n)) for n in names], "name string, format string")
+
+
+@query("select 25::bigint as rows")
+def s11_preview(spark, d):
+    return readers.preview(_t(spark, d, "lineitem")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("select r_regionkey as key, r_name as \"Name\", case when r_regionkey % 2 = 0 then r_regionkey::double end as even from region")
+def s14_rows_from_dictionaries(spark, d):
+    rows = [{"key": r.r_regionkey, "Name": r.r_name} | ({"even": r.r_regionkey} if r.r_regionkey % 2 == 0 else {}) for r in _t(spark, d, "region").collect()]  # five regions
+    df = readers.from_dictionaries(spark, rows)
+    return df.select(F.col("key").cast("int").alias("key"), "Name", F.col("even").cast("double").alias("even"))
+
+
+@query("select doc_id, case when length(text) > 100 then left(text, 100) || chr(10) || '... (' || length(text) || ' characters in all)' else text end as shown from documents")
+def sc5_truncated(spark, d):
+    return _t(spark, d, "documents").select("doc_id", scalars.truncated(F.col("text"), 100).alias("shown"))
+
+
+@query("select 7::bigint as hours")
+def sc10_now_in_zone(spark, d):
+    there, here = scalars.now_in("Asia/Jakarta"), scalars.now_in("UTC")
+    return spark.range(1).select(F.timestamp_diff("HOUR", here, there).alias("hours"))
+
+
 # ---- scalar functions ----------------------------------------------------------------------------------------------
 
 
@@ -712,6 +788,28 @@ def g4_g5_points(spark, d):
     return imaging.points(_pixels(spark)).select("image", "x", "y", F.round("pz", 8).alias("pz"))
 
 
+def _lanczos_sql(axis: str, source: int, target: int) -> str:
+    """Every weight of one axis, straight from the kernel's definition."""
+    fold = max(1.0, source / target)
+    t = f"((o + 0.5) * {source / target!r} - 0.5 - i) / {fold!r}"
+    return f"(select i as {axis}, o as {axis}o, case when abs({t}) < 1e-9 then 1.0 when abs({t}) >= 3 then 0.0 else sin(pi() * {t}) / (pi() * {t}) * sin(pi() * {t} / 3) / (pi() * {t} / 3) end as {axis}w from range({source}) s(i), range({target}) q(o))"
+
+
+def _resized_sql(width: int, height: int) -> str:
+    shown = ", ".join(f"least(greatest(round(round(sum(xw * yw * {c}) / sum(xw * yw), 6)), 0), 255)::int as {c}" for c in "rgba")
+    return f"select image::int as image, xo::int as x, yo::int as y, {shown} from {_PIXELS} join {_lanczos_sql('x', 20, width)} using (x) join {_lanczos_sql('y', 16, height)} using (y) group by 1, 2, 3"
+
+
+@query(_resized_sql(10, 8))
+def g2_resized_smaller(spark, d):
+    return imaging.resize(_pixels(spark), 80)
+
+
+@query(_resized_sql(35, 28))
+def g2_resized_larger(spark, d):
+    return imaging.resize(_pixels(spark), 1000)
+
+
 @query("select count(*) as n, (count(*) * 32)::bigint as bytes from " + _PIXELS + " where a >= 8")
 def g6_splat_records(spark, d):
     return imaging.splat_rows(imaging.points(_pixels(spark))).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("bytes")).alias("bytes"))
@@ -859,6 +957,14 @@ def m14_least_squares_closed_form(spark, d):
     return training.score(t, df).select(*_IDS, F.round(F.col("Score") / 100).alias("predicted"))
 
 
+@query("with f as (select regr_slope(l_extendedprice, l_quantity) as a, regr_intercept(l_extendedprice, l_quantity) as b, regr_r2(l_extendedprice, l_quantity) as r2 from lineitem) select round(sqrt(avg((l_extendedprice - a * l_quantity - b) ** 2)), 2) as rmse, round(any_value(r2), 6) as r2 from lineitem, f")
+def e7_e8_scored_and_evaluated(spark, d):
+    df = _t(spark, d, "lineitem").select(*_IDS, "l_quantity", F.col("l_extendedprice").alias("Label"))
+    t = training.train(spec("algo.reg.ols", l2Regularization=0.0), df, "Label", ["l_quantity"])
+    found = training.evaluate(training.score(t, df))
+    return spark.createDataFrame([(round(found["rmse"], 2), round(found["r2"], 6))], "rmse double, r2 double")
+
+
 @query("select count(*) as rows, true as tighter from embeddings")
 def m21_k_means_check(spark, d):
     df = _kinds(spark, d)

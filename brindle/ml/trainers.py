@@ -64,11 +64,11 @@ DEFAULTS: dict[str, dict] = {
     "algo.reg.sgd": {"learningRate": 0.1, "numberOfIterations": 20},
     "algo.cluster.kmeans": {"numberOfClusters": 3, "maximumNumberOfIterations": 100, "initialization": "kmeansPlusPlus"},
     "algo.anomaly.pca": {"rank": 5, "oversampling": 20},
-    "algo.anomaly.spike": {"column": None, "confidence": 95, "pvalueHistoryLength": 30},
+    "algo.anomaly.spike": {"column": None, "confidence": 95, "pvalueHistoryLength": 30, "orderBy": "", "groupBy": ""},
     "algo.rec.matrixFactorization": {"userColumn": None, "itemColumn": None, "approximationRank": 32, "numberOfIterations": 20, "learningRate": 0.1},
     "algo.vision.imageClassification": {"imagePathColumn": None, "imageFolder": None, "epochs": 50, "batchSize": 10},
     "algo.nlp.textClassification": {"textColumn": None, "epochs": 3, "batchSize": 32},
-    "algo.forecast.ssa": {"column": None, "horizon": 7, "windowSize": 14, "seriesLength": 60},
+    "algo.forecast.ssa": {"column": None, "horizon": 7, "windowSize": 14, "seriesLength": 60, "orderBy": "", "groupBy": ""},
 }
 _TASK_OF = {"bin": "Binary", "multi": "Multiclass", "reg": "Regression", "cluster": "Clustering", "anomaly": "AnomalyDetection", "rec": "Recommendation", "vision": "ImageClassification", "nlp": "TextClassification", "forecast": "Forecasting"}
 TASKS = {a: _TASK_OF[a.split(".")[1]] for a in DEFAULTS}

@@ -31,6 +31,7 @@ class Trained:
     features: list[str]
     positive: str = "1"
     notes: dict = field(default_factory=dict)
+    data: DataFrame | None = field(default=None, repr=False, compare=False)
 
 
 def train(s: TrainerSpec, df: DataFrame, label: str | None = None, features: list[str] | None = None, order: str | list[str] | None = None) -> Trained:
@@ -67,7 +68,7 @@ def train(s: TrainerSpec, df: DataFrame, label: str | None = None, features: lis
             notes["p_values"] = [float(p) for p in summary.pValues]
         except Exception as e:  # singular designs have none
             notes["p_values_missing"] = str(e).splitlines()[0]
-    return Trained(model, s, label, used, positive, notes)
+    return Trained(model, s, label, used, positive, notes, df)
 
 
 def _recommend(s: TrainerSpec, df: DataFrame, label: str | None) -> Trained:
@@ -76,7 +77,7 @@ def _recommend(s: TrainerSpec, df: DataFrame, label: str | None) -> Trained:
     ready = df.withColumn("_user", S.key(user)).withColumn("_item", S.key(item)).withColumn("label", S.to_number(S.required(df, label)).cast("float"))
     stages = [StringIndexer(inputCol="_user", outputCol="_u", handleInvalid="keep"), StringIndexer(inputCol="_item", outputCol="_i", handleInvalid="keep")]
     als = ALS(userCol="_u", itemCol="_i", ratingCol="label", rank=int(p["approximationRank"]), maxIter=int(p["numberOfIterations"]), regParam=0.1, coldStartStrategy="nan", seed=42)
-    return Trained(Pipeline(stages=[*stages, als]).fit(ready.where("label is not null")), s, label, [user.name, item.name])
+    return Trained(Pipeline(stages=[*stages, als]).fit(ready.where("label is not null")), s, label, [user.name, item.name], data=df)
 
 
 def score(t: Trained, df: DataFrame, append_original: bool = True) -> DataFrame:

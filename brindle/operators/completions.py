@@ -114,14 +114,20 @@ def answers(prompts: list[str], ask: Ask, client: Client, settings: Settings) ->
 
 
 def apply(df: DataFrame, ask: Ask, client: Client, settings: Settings = Settings(), order: str | list[str] | None = None) -> DataFrame:
-    """``df`` with the answer's columns, which replace columns of those names. With ``max_rows``, later rows are left untouched."""
+    """``df`` with the answer's columns, which replace columns of those names.
+
+    With ``max_rows``, rows after the first ones by ``order`` (ties and no order: as scanned) are left untouched: all
+    other rows are compared with the last answered one, so they stay where they are."""
     size = min(max(settings.batch_size, 1), 200)
     wide = df.withColumn("_prompt", rendered_prompts(df, ask))
     done, rest = wide, None
     if settings.max_rows > 0:
         ordered, row = S.row_order(wide, order)
-        done = ordered.orderBy(row).limit(settings.max_rows).drop(row)
-        rest = ordered.orderBy(row).offset(settings.max_rows).drop(row, "_prompt")
+        ordered = ordered.withColumn(row, F.struct(F.col(row).alias("by"), F.monotonically_increasing_id().alias("at")))
+        first = ordered.orderBy(row).limit(settings.max_rows)
+        last = first.agg(F.max(row).alias("_last"))
+        done = first.drop(row)
+        rest = ordered.crossJoin(F.broadcast(last)).where(F.col(row) > F.col("_last")).drop(row, "_last", "_prompt")  # one row
     answered = [o for o in ask.outputs]
     lowered = {o.lower() for o in answered}
     kept = [f for f in df.schema.fields if f.name.lower() not in lowered]

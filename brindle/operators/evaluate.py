@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import semantics as S
+from brindle.sources import scratch
 
 # What counts as a label that is not the positive class, and as true.
 NEGATIVE = ("0", "false", "False", "no")
@@ -78,15 +79,22 @@ def running_sums(df: DataFrame, by: str, columns: list[str], descending: bool =
 
 
 def roc_points(df: DataFrame, label: str, probability: str, positive: str = "1", order: str | list[str] | None = None, points: int = 100) -> DataFrame:
-    """ROC points by falling score (ties by ``order``): every ``n / points``-th row and the last, with both corners."""
+    """ROC points by falling score (ties by ``order``): every ``n / points``-th row and the last, with both corners.
+
+    Rows are dealt in ranges of score and order, so a score that most rows share is split; the ranges' sums are one row a
+    partition."""
     y = is_positive(S.key(S.required(df, label)), positive)
     ordered, row = S.row_order(df, order)
     rows = ordered.select(S.to_number(S.required(df, probability)).alias("p"), y.cast("long").alias("y"), F.col(row).alias("_order")).where("p is not null")
-    counts = rows.groupBy("p").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
-    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.sum("pos"), F.lit(0)).alias("all_pos"))
-    based = running_sums(counts, "p", ["n", "pos"], descending=True).select("p", "before_n", "before_pos")
-    inside = Window.partitionBy("p").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
-    seen = rows.join(based, "p").crossJoin(F.broadcast(totals))
+    path = scratch.folder(df.sparkSession)
+    rows.repartitionByRange(F.desc("p"), "_order").withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    dealt = df.sparkSession.read.parquet(path)
+    sums = dealt.groupBy("_range").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    total = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    based = sums.select("_range", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"before_{c}") for c in ("n", "pos")], F.sum("n").over(total).alias("all"), F.sum("pos").over(total).alias("all_pos"))
+    inside = Window.partitionBy("_range").orderBy(F.desc("p"), "_order").rowsBetween(Window.unboundedPreceding, 0)
+    seen = dealt.join(F.broadcast(based), "_range")
     seen = seen.select("p", (F.col("before_n") + F.count(F.lit(1)).over(inside)).alias("k"), (F.col("before_pos") + F.sum("y").over(inside)).alias("tp"), "all", "all_pos")
     stride = F.greatest(F.lit(1), F.floor(F.col("all") / points))
     kept = seen.where((F.pmod(F.col("k") - 1, stride) == 0) | (F.col("k") == F.col("all")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.functions import semantics as S
+from brindle.operators.profile import upper_medians
 
 FILTER_OPS = ("eq", "ne", "gt", "gte", "lt", "lte", "contains", "notEmpty")
 
@@ -46,10 +47,13 @@ def fill_values(df: DataFrame, columns: list[T.StructField], strategy: str, orde
     """What fills each column's gaps by mean, median or mode: one job for the numbers, one more per column that needs its mode."""
     names = {f.name: f"v{i}" for i, f in enumerate(columns)}
     found: dict[str, object] = {}
-    if strategy in ("mean", "median") and columns:
+    if strategy == "median" and columns:
+        cells = F.explode(F.array(*[F.struct(F.lit(f.name).alias("column"), S.to_number(f).alias("number")) for f in columns])).alias("c")
+        numbers = df.select(cells).select("c.*").where("number is not null")
+        found = {r["column"]: r["median"] for r in upper_medians(numbers).collect()}  # one row per column
+    elif strategy == "mean" and columns:
         numbers = df.select(*[S.to_number(f).alias(names[f.name]) for f in columns])
-        ask = {"mean": "avg(`{0}`)", "median": "percentile_disc(0.5) within group (order by `{0}` desc)"}[strategy]
-        row = numbers.agg(*[F.expr(ask.format(n)).alias(n) for n in names.values()]).first()
+        row = numbers.agg(*[F.avg(n).alias(n) for n in names.values()]).first()
         found = {f.name: row[names[f.name]] for f in columns if row[names[f.name]] is not None}
     rest = [f for f in columns if f.name not in found]
     if rest:
@@ -142,8 +146,8 @@ def filter_rows(df: DataFrame, column: str, op: str = "eq", value: str = "") ->
 def split_data(df: DataFrame, fraction: float = 0.8, stratify: str | None = None, seed: int = 42, ids: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Two parts of exactly round-half-even(n * fraction) rows and the rest, of each stratum if asked.
 
-    Rows are ordered by the md5 of the seed and ``ids`` (or all columns). Without strata the cut is found by counting the
-    hash's first digits, then ranking only the rows of the one prefix it falls in, so no task sees the whole table."""
+    Rows are ordered by the md5 of the seed and ``ids`` (or all columns). The cut is found by counting the hash's
+    first digits, then ranking only the rows of the one prefix it falls in, so no task sees a whole table or stratum."""
     fraction = min(max(fraction, 0.05), 0.95)
     fields = [S.required(df, c) for c in ids] if ids else df.schema.fields
     name = S.free_name(df.columns, "_draw")
@@ -154,10 +158,17 @@ def split_data(df: DataFrame, fraction: float = 0.8, stratify: str | None = None
         rows, groups = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
         if groups and rows / groups < 4:
             raise ValueError(f"'{stratify}' has {groups} distinct values for {rows} rows; stratify by a column with fewer.")
-        window = Window.partitionBy(S.key(f)).orderBy(name, *[S.col(g) for g in fields])
-        size = F.count(F.lit(1)).over(Window.partitionBy(S.key(f)))
-        marked = drawn.withColumn("_first", F.row_number().over(window) <= F.bround(size * F.lit(fraction)))
-        return marked.where("_first").select(*df.columns), marked.where("not _first").select(*df.columns)
+        k, edge, left = (S.free_name(drawn.columns, c) for c in ("_stratum", "_edge", "_left"))
+        prefix = F.substring(name, 1, 4)
+        counts = drawn.groupBy(S.key(f).alias(k), prefix.alias(edge)).agg(F.count(F.lit(1)).alias("n"))  # 65,536 rows a stratum at most
+        before = F.coalesce(F.sum("n").over(Window.partitionBy(k).orderBy(edge).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        wanted = F.bround(F.sum("n").over(Window.partitionBy(k)) * F.lit(fraction))
+        cuts = counts.select(k, edge, "n", (wanted - before).alias(left)).where((F.col(left) > 0) & (F.col(left) <= F.col("n"))).drop("n")
+        placed = drawn.join(cuts, S.key(f) == F.col(k), "left")
+        ranked = placed.where(prefix == F.col(edge)).withColumn("_place", F.row_number().over(Window.partitionBy(k).orderBy(name, *[S.col(g) for g in fields])))
+        first = placed.where(prefix < F.col(edge)).select(*df.columns).unionByName(ranked.where(F.col("_place") <= F.col(left)).select(*df.columns))
+        rest = placed.where(F.col(edge).isNull() | (prefix > F.col(edge))).select(*df.columns)
+        return first, rest.unionByName(ranked.where(F.col("_place") > F.col(left)).select(*df.columns))
     digits = drawn.groupBy(F.substring(name, 1, 4).alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()  # 65,536 rows at most
     total = sum(r["n"] for r in digits)
     left = round(total * fraction)

@@ -13,7 +13,9 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from brindle.functions import semantics as S
 from brindle.ml import custom, training
 from brindle.ml.trainers import DEFAULTS, TASKS, TrainerSpec, spec
 from brindle.operators import aggregates, completions, features, joins, scripts, transforms
@@ -131,19 +133,21 @@ def _train(c: Context, v: Values, i: list) -> list:
 
 @dataclass
 class _Series:
-    """Spikes and forecasts have nothing to fit: the model is its parameters."""
+    """Spikes and forecasts have nothing to fit: the model is its parameters.
+
+    ``groupBy`` names the columns that tell series apart, ``orderBy`` those that order one; unset, all rows are one series
+    in the order of the scan, which is one task."""
 
     spec: TrainerSpec
 
     def apply(self, df: DataFrame, order: str | None = None) -> DataFrame:
         p = self.spec.parameters
-        from pyspark.sql import functions as F
-
-        if order is None:
-            df, order = df.withColumn("_row", F.monotonically_increasing_id()), "_row"
+        names = lambda key: [S.required(df, x.strip()).name for x in re.split(r"[,\n;]", str(p[key])) if x.strip()]
+        by, listed = names("groupBy") or None, [order] if order else names("orderBy")
+        df = df.withColumn("_row", F.struct(*listed) if listed else F.monotonically_increasing_id())
         if self.spec.algorithm == "algo.anomaly.spike":
-            return custom.spikes(df, p["column"], order, float(p["confidence"]), int(p["pvalueHistoryLength"])).drop("_row")
-        return custom.forecast(df, p["column"], order, int(p["horizon"]), int(p["windowSize"]), int(p["seriesLength"]))
+            return custom.spikes(df, p["column"], "_row", float(p["confidence"]), int(p["pvalueHistoryLength"]), by).drop("_row")
+        return custom.forecast(df, p["column"], "_row", int(p["horizon"]), int(p["windowSize"]), int(p["seriesLength"]), by)
 
 
 def _score(c: Context, v: Values, i: list) -> list:
@@ -187,8 +191,7 @@ def _save(c: Context, v: Values, i: list) -> list:
 
 def _register(c: Context, v: Values, i: list) -> list:
     t = i[0]
-    empty = c.spark.createDataFrame([], ", ".join(f"`{f}` string" for f in t.features))
-    c.workspace.register_model(t.model, v.need("name"), empty, t.features, t.label, t.spec.task, v.text("description") or "")
+    c.workspace.register_model(t.model, v.need("name"), t.data, t.features, t.label, t.spec.task, v.text("description") or "")
     return []
 
 
@@ -254,7 +257,10 @@ def compile_graph(spark: SparkSession, graph: Graph, tables: Callable[[str], Dat
 
 
 def run(spark: SparkSession, graph: Graph, tables: Callable[[str], DataFrame] | None = None, timeout: float = 1800, **context) -> Run:
-    """Run a graph node by node: failures are recorded, their dependants skipped, figures gathered (the first of a name stays)."""
+    """Run a graph node by node: failures are recorded, their dependants skipped, figures gathered (the first of a name stays).
+
+    A frame's node has succeeded when its plan is made: what rows make fail shows in the nodes that act on them (training,
+    figures, sinks) or when the frame is used. Frames with several readers are kept while the graph runs, no longer."""
     c, outputs, results, figures = Context(spark, tables=tables, **context), {}, [], {}
     until, lost = time.monotonic() + timeout, set()
     try:

@@ -80,14 +80,17 @@ def read(spark: SparkSession, path: str, format: str | None = None, limit: int =
 
 
 def read_sql(spark: SparkSession, query: str, provider: str = "Sqlite", connection: str | None = None, **options: str) -> DataFrame:
-    """A query passed through over JDBC, or run on this session's views when there is no connection."""
+    """A query passed through over JDBC, or run on this session's views when there is no connection.
+
+    ``options`` are the JDBC source's own; with ``partitionColumn``, bounds and ``numPartitions`` the read is split."""
     if not connection:
         return spark.sql(query)
     driver = DRIVERS.get(provider.lower())
     if driver is None:
         raise ValueError(f"Unknown database provider '{provider}'.")
     url = connection if connection.startswith("jdbc:") else f"jdbc:{provider.lower()}:{connection}"
-    return spark.read.format("jdbc").options(url=url, query=query, driver=driver, **options).load()
+    asked = {"dbtable": f"({query}) asked"} if "partitionColumn" in options else {"query": query}
+    return spark.read.format("jdbc").options(url=url, driver=driver, **asked, **options).load()
 
 
 def parse_headers(text: str | None) -> dict[str, str]:

@@ -164,3 +164,36 @@ def test_streaming(spark, tmp_path):
     q = E.file_queue(spark, str(src), "k long, ts timestamp, v double", lambda df, n: seen.append(df.count()), (tmp_path / "cp").as_uri())
     q.awaitTermination(120)
     assert sum(seen) == 200 and time.time() > 0
+
+
+def test_registered_model_has_an_example(spark, tmp_path):
+    from brindle.sources.catalogue import Workspace
+
+    g = Graph()
+    rows = g.add("data.manual", csv="x,y\n1,2\n2,4\n3,6\n4,8")
+    algorithm, model = g.add("algo.reg.ols"), g.add("train.model", labelColumn="y")
+    out = g.add("out.registerModel", name="line")
+    g.connect(algorithm, model)
+    g.connect(rows, model, 0, 1)
+    g.connect(model, out)
+    w = Workspace(spark, str(tmp_path))
+    assert run(spark, g, workspace=w).status == "succeeded"
+    kept = w.model_versions("line").first()
+    assert kept.version == 1 and kept.example == {"x": "1"}
+
+
+def test_series_of_a_graph_are_told_apart(spark):
+    lines = "\n".join(f"{s},{i},{900 if (s, i) == ('a', 25) else (i % 3) + (500 if s == 'b' else 0)}" for i in reversed(range(40)) for s in "ab")
+    g = Graph()
+    rows = g.add("data.manual", csv=f"s,i,v\n{lines}")
+    spikes = g.add("algo.anomaly.spike", column="v", groupBy="s", orderBy="i", confidence="99")
+    model, scored = g.add("train.model", labelColumn="v"), g.add("score.model")
+    g.connect(spikes, model)
+    g.connect(rows, model, 0, 1)
+    g.connect(model, scored)
+    g.connect(rows, scored, 0, 1)
+    r = run(spark, g)
+    assert r.status == "succeeded", r.results
+    out = r.outputs[scored, 0]
+    assert out.columns == ["s", "i", "v", "spike_score", "p_value", "alert"]
+    assert [(x.s, int(x.i)) for x in out.where("alert = 1 and i > 5").collect()] == [("a", 25)]

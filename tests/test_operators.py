@@ -289,3 +289,60 @@ def test_spike_is_found(spark):
     assert found == {75}
     with pytest.raises(Exception, match="window"):
         custom.forecast(df.limit(10), "nilai", "i", 7, 14).collect()
+
+
+def test_upper_medians_of_many_ties_and_few_rows(spark):
+    import random
+
+    rnd = random.Random(3)
+    groups = {"one": [5.0], "two": [1.0, 2.0], "ties": [1.0] * 400 + [2.0] * 401, "even": [float(i) for i in range(100)], "any": [rnd.gauss(0, 1) for _ in range(5001)]}
+    rows = [(k, v) for k, vs in groups.items() for v in rnd.sample(vs, len(vs))]
+    found = {r["column"]: r["median"] for r in profile.upper_medians(spark.createDataFrame(rows, "column string, number double")).collect()}
+    assert found == {k: sorted(vs)[len(vs) // 2] for k, vs in groups.items()}
+
+
+def test_split_keeps_shares_of_small_hot_and_null_strata(spark):
+    rows = [(i, "hot") for i in range(1000)] + [(i, None) for i in range(1000, 1007)] + [(i, "few") for i in range(2000, 2004)]
+    df = spark.createDataFrame(rows, "i int, s string")
+    a, b = transforms.split_data(df, 0.75, "s", ids=["i"])
+    assert {r.s: r["count"] for r in a.groupBy("s").count().collect()} == {"hot": 750, None: 5, "few": 3}
+    assert a.union(b).exceptAll(df).count() == 0 and a.count() + b.count() == 1011
+
+
+def test_roc_of_one_score_follows_the_order(spark):
+    rows = [(i, int(i % 3 == 0), 0.5) for i in range(1000)]
+    found = evaluate.roc_points(spark.createDataFrame(rows, "i int, y int, p double"), "y", "p", order="i", points=10)
+    got = sorted((round(r.fpr, 6), round(r.tpr, 6)) for r in found.where("threshold = 0.5").collect())
+    places = [k for k in range(1, 1001) if (k - 1) % 100 == 0 or k == 1000]
+    hits = lambda k: sum(i % 3 == 0 for i in range(k))
+    assert got == sorted((round((k - hits(k)) / 666, 6), round(hits(k) / 334, 6)) for k in places)
+
+
+def test_sql_source_over_jdbc(spark, monkeypatch):
+    monkeypatch.setitem(readers.DRIVERS, "derby", "org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    url = "jdbc:derby:memory:brindle;create=true"
+    spark.range(20).selectExpr("id", "id % 3 as k").write.jdbc(url, "numbers", "overwrite", {"driver": readers.DRIVERS["derby"]})
+    whole = readers.read_sql(spark, "select \"id\" from numbers where \"k\" = 1", "derby", url)
+    assert sorted(r.id for r in whole.collect()) == [i for i in range(20) if i % 3 == 1]
+    parts = readers.read_sql(spark, "select \"id\" from numbers", "derby", url, partitionColumn="id", lowerBound="0", upperBound="20", numPartitions="4")
+    assert parts.rdd.getNumPartitions() == 4 and parts.count() == 20
+
+
+def test_mesh_container_and_engine_names():
+    data = imaging.glb([(0, 0, 0), (1, 0, 0), (0, 1, 0)], [(0, 1, 2)])
+    assert imaging.is_glb(data) and len(data) % 4 == 0 and not imaging.is_glb(data[:-1])
+    assert imaging.resolve_engine(" GPU ") == "gpu" and imaging.resolve_engine("nothing") == "local"
+
+
+def test_perceptron_leaps_equal_single_steps():
+    rnd = np.random.default_rng(0)
+    x = rnd.normal(size=(300, 5))
+    y = (x @ rnd.normal(size=5) + rnd.normal(size=300) > 0).astype(float)
+    w, b, sums, sum_bias = np.zeros(5), 0.0, np.zeros(5), 0.0
+    for row, wanted in zip(x, y):
+        sign = 1.0 if wanted > 0 else -1.0
+        if sign * (w @ row + b) <= 0:
+            w, b = w + 0.1 * sign * row, b + 0.1 * sign
+        sums, sum_bias = sums + w, sum_bias + b
+    got = custom.AveragedPerceptron._step(np.zeros(5), 0.0, x, y, 0.1, 0)
+    assert all(np.allclose(g, e) for g, e in zip(got, (w, b, sums, sum_bias)))
