@@ -928,10 +928,10 @@ for _name, _algorithm, _frame, _columns, _keys, _more in [
     ("m3_boosted_trees", "algo.bin.fastTree", _flags, _FEATURES, _IDS, _few),
     ("m4_forest", "algo.bin.fastForest", _flags, _FEATURES, _IDS, _few),
     ("m5_leafy_trees", "algo.bin.lightGbm", _flags, _FEATURES, _IDS, _few),
-    ("m6_perceptron", "algo.bin.perceptron", _flags, _FEATURES, _IDS, {"numberOfIterations": 2}),
+    ("m6_perceptron", "algo.bin.perceptron", _flags, _FEATURES, _IDS, {}),
     ("m7_svm", "algo.bin.svm", _flags, _FEATURES, _IDS, {}),
     ("m8_sdca_multiclass", "algo.multi.sdca", _kinds, ["embedding"], ["vec_id"], {}),
-    ("m9_lbfgs_multiclass", "algo.multi.lbfgs", _kinds, ["embedding"], ["vec_id"], {"maximumNumberOfIterations": 20}),
+    ("m9_lbfgs_multiclass", "algo.multi.lbfgs", _kinds, ["embedding"], ["vec_id"], {}),
     ("m12_naive_bayes", "algo.multi.naiveBayes", _kinds, ["embedding"], ["vec_id"], {}),
     ("m13_sdca_regression", "algo.reg.sdca", _price, _FEATURES, _IDS, {}),
     ("m14_least_squares", "algo.reg.ols", _price, _FEATURES, _IDS, {}),
@@ -939,9 +939,9 @@ for _name, _algorithm, _frame, _columns, _keys, _more in [
     ("m16_forest_regression", "algo.reg.fastForest", _price, _FEATURES, _IDS, _few),
     ("m17_leafy_regression", "algo.reg.lightGbm", _price, _FEATURES, _IDS, _few),
     ("m18_tweedie", "algo.reg.tweedie", _price, _FEATURES, _IDS, {}),
-    ("m19_poisson", "algo.reg.poisson", _price, _FEATURES, _IDS, {"maximumNumberOfIterations": 10}),
-    ("m20_sgd_regression", "algo.reg.sgd", _price, _FEATURES, _IDS, {"numberOfIterations": 2}),
-    ("m21_k_means", "algo.cluster.kmeans", _kinds, ["embedding"], ["vec_id"], {"maximumNumberOfIterations": 10}),
+    ("m19_poisson", "algo.reg.poisson", _price, _FEATURES, _IDS, {}),
+    ("m20_sgd_regression", "algo.reg.sgd", _price, _FEATURES, _IDS, {}),
+    ("m21_k_means", "algo.cluster.kmeans", _kinds, ["embedding"], ["vec_id"], {}),
     ("m22_pca_anomaly", "algo.anomaly.pca", _kinds, ["embedding"], ["vec_id"], {"rank": 3}),
 ]:
     _learn(_name, _algorithm, "Label", _frame, _columns, _keys, **_more)
@@ -1022,7 +1022,7 @@ def m25_forecast(spark, d):
 @query()
 def m27_text_classes(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("Label"))
-    t = training.train(spec("algo.nlp.textClassification", textColumn="text", epochs=1), docs, "Label")
+    t = training.train(spec("algo.nlp.textClassification", textColumn="text"), docs, "Label")
     return training.score(t, docs).select("doc_id", "PredictedLabel")
 
 
@@ -1051,4 +1051,4 @@ def e5_automatic_search(spark, d):
 def e16_feature_importance(spark, d):
     df = _flags(spark, d).select(*_FEATURES[:3], "Label")
     t = training.train(spec("algo.bin.logistic", l1Regularization=0.0, l2Regularization=0.001, maximumNumberOfIterations=10), df, "Label")
-    return spark.createDataFrame(training.feature_importance(t, df, 1), "feature string, importance double")
+    return spark.createDataFrame(training.feature_importance(t, df), "feature string, importance double")

@@ -281,25 +281,35 @@ def auto_ml(df: DataFrame, label: str, task: str, max_seconds: int = 60, validat
     return [{"rank": i, **r} for i, r in enumerate(rows, 1)], best[1]
 
 
+#: Rows that a task deals anew in ``feature_importance``, about.
+DEALT = 500_000
+
+
 def feature_importance(t: Trained, df: DataFrame, permutations: int = 5, seed: int = 42) -> list[dict]:
     """Mean drop of the headline metric when one column's values are dealt anew, largest first.
 
-    Values are permuted within hash partitions by pairing two orders of the same rows, so no task sorts the whole column."""
-    base = headline(t.spec.task, evaluate(score(t, df), t.spec.task, t.label, t.positive if t.spec.task == "Binary" else None))
-    rows = []
+    Rows are put in hash order within hash partitions, whose number follows the rows, and each takes the values of the next
+    one, the last those of the first: one shuffle a permutation for all columns, and no join. A table of one row keeps its values."""
     from pyspark.sql import Window
 
-    for name in t.features:
-        drops = []
-        for k in range(permutations):
-            keyed = df.withColumn("_id", F.monotonically_increasing_id())
-            part = F.pmod(F.xxhash64("_id", F.lit(seed + k)), F.lit(64))
-            one = keyed.withColumn("_p", part).withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy("_id")))
-            other = one.select("_p", F.col(name).alias("_v"), F.xxhash64("_id", F.lit(seed), F.lit(k)).alias("_h"), "_id").withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy("_h", "_id"))).select("_p", "_n", "_v")
-            mixed = one.join(other, ["_p", "_n"]).withColumn(name, F.col("_v").alias(name, metadata=df.schema[name].metadata or {})).select(*df.columns)
-            drops.append(base - headline(t.spec.task, evaluate(score(t, mixed), t.spec.task, t.label, t.positive if t.spec.task == "Binary" else None)))
-        rows.append({"feature": name, "importance": sum(drops) / len(drops)})
-    return sorted(rows, key=lambda r: -r["importance"])
+    def measured(frame: DataFrame) -> float:
+        return headline(t.spec.task, evaluate(score(t, frame), t.spec.task, t.label, t.positive if t.spec.task == "Binary" else None))
+
+    base, parts = measured(df), max(1, df.count() // DEALT)
+    drops: dict[str, list[float]] = {name: [] for name in t.features}
+    values = F.struct(*[F.col(name).alias(f"v{i}") for i, name in enumerate(t.features)])
+    ring = Window.partitionBy("_fi_part").orderBy("_fi_place")
+    for k in range(permutations):
+        placed = df.withColumn("_fi_place", F.xxhash64(F.monotonically_increasing_id(), F.lit(seed + k))).withColumn("_fi_part", F.pmod(F.xxhash64("_fi_place"), F.lit(parts)))
+        first = F.first(values).over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        dealt = placed.select(*df.columns, F.coalesce(F.lead(values).over(ring), first).alias("_fi_next")).persist()
+        try:
+            for i, name in enumerate(t.features):
+                mixed = dealt.withColumn(name, F.col(f"_fi_next.v{i}").alias(name, metadata=df.schema[name].metadata or {})).select(*df.columns)
+                drops[name].append(base - measured(mixed))
+        finally:
+            dealt.unpersist()
+    return sorted(({"feature": name, "importance": sum(d) / len(d)} for name, d in drops.items()), key=lambda r: -r["importance"])
 
 
 def score_rows(t: Trained, spark, rows: list[dict]) -> list[dict]:
