@@ -197,3 +197,14 @@ def test_series_of_a_graph_are_told_apart(spark):
     out = r.outputs[scored, 0]
     assert out.columns == ["s", "i", "v", "spike_score", "p_value", "alert"]
     assert [(x.s, int(x.i)) for x in out.where("alert = 1 and i > 5").collect()] == [("a", 25)]
+
+
+def test_importance_ranks_the_planted_column(spark, monkeypatch):
+    rows = [(float(i % 2), float(i % 7), i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "signal double, noise double, Label int")
+    t = training.train(spec("algo.bin.logistic", l1Regularization=0.0), df, "Label")
+    monkeypatch.setattr(training, "DEALT", 100)  # several partitions
+    found = training.feature_importance(t, df, 2)
+    assert [r["feature"] for r in found] == ["signal", "noise"]
+    assert found[0]["importance"] > 0.3 and abs(found[1]["importance"]) < 0.1
+    assert df.columns == ["signal", "noise", "Label"]
