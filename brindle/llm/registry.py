@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, common, contamination, katz, licenses, linededup, minhash, quality, secrets, simhash, toxicity
+from brindle.llm import bpe, common, contamination, katz, licenses, linededup, minhash, quality, secrets, sharding, simhash, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,9 +69,17 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(documents(spark, sf_dir), bpe.load(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op11_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    slim = documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    dealt = sharding.deal(slim, [1.0] * 24)
+    grown = sharding.grown_shard_of(F.col("doc_id"), [1.0] * 24, [1.0])
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", grown.alias("grown_shard"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_quality, op2_fingerprints, op3_simhash, op4_secrets, op5_licenses, op6_language_model, op7_toxicity, op8_line_dedup, op9_decontamination, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_fingerprints, op3_simhash, op4_secrets, op5_licenses, op6_language_model, op7_toxicity, op8_line_dedup, op9_decontamination, op10_bpe, op11_rendezvous)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_rendezvous": sharding.oracle(24)}
