@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, common, contamination, katz, licenses, linededup, minhash, quality, secrets, sharding, simhash, toxicity
+from brindle.llm import bpe, common, contamination, katz, licenses, linededup, minhash, quality, secrets, sharding, simhash, toxicity, whitening
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +77,18 @@ def op11_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", grown.alias("grown_shard"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding").where(whitening.finite(F.col("embedding")))
+    whole = lambda c: F.greatest(F.least(F.floor(F.lit(64.0) * c.cast("double")), F.lit(1 << 40)), F.lit(-(1 << 40))).cast("long") + 1_000_000
+    x = rows.select("vec_id", F.transform("embedding", whole).alias("x"))
+    found = whitening.whiten(x, "x", whitening.fit(x, "x", 32), deviation=True)
+    error = whitening.identity_error(found)
+    each = found.select("vec_id", "n", "deviation", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "of"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "of.whitened", "of.explained", F.lit(error).alias("identity_error"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_quality, op2_fingerprints, op3_simhash, op4_secrets, op5_licenses, op6_language_model, op7_toxicity, op8_line_dedup, op9_decontamination, op10_bpe, op11_rendezvous)}
+    return {f.__name__: f for f in (op1_quality, op2_fingerprints, op3_simhash, op4_secrets, op5_licenses, op6_language_model, op7_toxicity, op8_line_dedup, op9_decontamination, op10_bpe, op11_rendezvous, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
