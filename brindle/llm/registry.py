@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, common, contamination, katz, licenses, linededup, minhash, quality, secrets, sharding, simhash, toxicity, whitening
+from brindle.llm import bpe, common, contamination, katz, licenses, linededup, minhash, negatives, quality, secrets, sharding, simhash, toxicity, whitening
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,22 @@ def op11_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", grown.alias("grown_shard"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.table(spark, sf_dir, "embeddings").where(whitening.finite(F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda c: F.floor(F.lit(256.0) * c.cast("double")))
+    return negatives.mine(rows.select("vec_id", label.alias("label"), whole.alias("x")), F.col("id") % 100 == 0)
+
+
+_HARD_NEGATIVES = """with e as materialized (select vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end) as label, list_transform(embedding, lambda c: floor(256 * c::double)) as x from embeddings
+    where label is not null and embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+  s as materialized (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_inner_product(a.x, b.x)::bigint as score from e a, e b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+  p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+  select anchor_id, positive_id, row_number() over w::int as rank, vec_id as negative_id, positive_score, score as negative_score from p join s using (anchor_id)
+    where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+    window w as (partition by anchor_id, positive_id order by score desc, vec_id) qualify rank <= 10"""
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding").where(whitening.finite(F.col("embedding")))
     whole = lambda c: F.greatest(F.least(F.floor(F.lit(64.0) * c.cast("double")), F.lit(1 << 40)), F.lit(-(1 << 40))).cast("long") + 1_000_000
@@ -88,8 +104,8 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_quality, op2_fingerprints, op3_simhash, op4_secrets, op5_licenses, op6_language_model, op7_toxicity, op8_line_dedup, op9_decontamination, op10_bpe, op11_rendezvous, op13_whitening)}
+    return {f.__name__: f for f in (op1_quality, op2_fingerprints, op3_simhash, op4_secrets, op5_licenses, op6_language_model, op7_toxicity, op8_line_dedup, op9_decontamination, op10_bpe, op11_rendezvous, op12_hard_negatives, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_rendezvous": sharding.oracle(24)}
+    return {"op11_rendezvous": sharding.oracle(24), "op12_hard_negatives": _HARD_NEGATIVES}
