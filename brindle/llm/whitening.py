@@ -129,11 +129,11 @@ def _tridiagonal(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     a, d = a.copy(), len(a)
     q = np.eye(d)
     for k in range(d - 2):
-        v = a[k + 1 :, k].copy()
-        size = math.sqrt(float(v @ v))
+        size = float(np.abs(a[k + 1 :, k]).max())
         if size == 0:
             continue
-        v[0] += math.copysign(size, v[0])
+        v = a[k + 1 :, k] / size  # so that squares of leftovers of rounding don't underflow
+        v[0] += math.copysign(math.sqrt(float(v @ v)), v[0])
         v /= math.sqrt(float(v @ v))
         rest = a[k + 1 :, k + 1 :]
         p = rest @ v
