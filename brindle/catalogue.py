@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -938,7 +938,7 @@ for _name, _algorithm, _frame, _columns, _keys, _more in [
     ("m15_boosted_regression", "algo.reg.fastTree", _price, _FEATURES, _IDS, _few),
     ("m16_forest_regression", "algo.reg.fastForest", _price, _FEATURES, _IDS, _few),
     ("m17_leafy_regression", "algo.reg.lightGbm", _price, _FEATURES, _IDS, _few),
-    ("m18_tweedie", "algo.reg.tweedie", _price, _FEATURES, _IDS, {}),
+    ("m18_tweedie", "algo.reg.tweedie", _price, _FEATURES, _IDS, {"numberOfTrees": 10, "numberOfLeaves": 16}),
     ("m19_poisson", "algo.reg.poisson", _price, _FEATURES, _IDS, {}),
     ("m20_sgd_regression", "algo.reg.sgd", _price, _FEATURES, _IDS, {}),
     ("m21_k_means", "algo.cluster.kmeans", _kinds, ["embedding"], ["vec_id"], {}),
@@ -950,6 +950,79 @@ _check("m10_one_against_all", "algo.multi.oneVsAll", _kinds, ["embedding"], numb
 _check("m11_leafy_multiclass", "algo.multi.lightGbm", _kinds, ["embedding"], numberOfTrees=2, numberOfLeaves=4)
 
 
+# Learners against planted rules: fitted on the orders whose key isn't divisible by 5, compared row by row on the others.
+
+
+def _planted(name: str, algorithm: str, rule: str, kept: str, features_: list[str], answer: str, **parameters) -> None:
+    """``<name>``: predictions for held-out line items must be what the rule says, which SQL works out by itself."""
+    column, rounding = ("PredictedLabel", "cast({} as varchar)") if answer == "class" else ("Score", "round(cast({} as double), " + answer + ")")
+
+    def run(spark, d):
+        rows = _t(spark, d, "lineitem").where(kept).select(*_IDS, *features_, F.expr(rule).alias("Label"))
+        t = training.train(spec(algorithm, **parameters), rows.where("l_orderkey % 5 <> 0"), "Label", features_)
+        shown = F.col(column).cast("string") if answer == "class" else F.round(column, int(answer))
+        return training.score(t, rows.where("l_orderkey % 5 = 0")).select(*_IDS, shown.alias("predicted"))
+
+    run.__name__ = name
+    query(f"select l_orderkey, l_linenumber, {rounding.format(rule)} as predicted from lineitem where ({kept}) and l_orderkey % 5 = 0")(run)
+
+
+_LEAF_FEATURES = ["l_quantity", "l_discount", "l_linenumber"]
+_BOX = "case when l_quantity > 20 and l_discount > 0.045 or l_linenumber = 1 then 1 else 0 end"
+_KINDS = "case when l_linenumber < 3 then 'first' when l_quantity > 30 then 'bulk' else 'rest' end"
+_STEPS = "case when l_linenumber > 5 then 7.0 when l_quantity > 40 then 90.0 when l_quantity > 15 then 35.0 when l_discount > 0.045 then 12.0 else 20.0 end"
+_planted("m5_leafy_planted_box", "algo.bin.lightGbm", _BOX, "true", _LEAF_FEATURES, "class", numberOfTrees=4, numberOfLeaves=8)
+_planted("m11_leafy_planted_kinds", "algo.multi.lightGbm", _KINDS, "true", _LEAF_FEATURES, "class", numberOfTrees=3, numberOfLeaves=4)
+_planted("m17_leafy_planted_steps", "algo.reg.lightGbm", _STEPS, "true", _LEAF_FEATURES, "6", numberOfTrees=1, numberOfLeaves=12, learningRate=1.0)
+_planted("m18_tweedie_planted_steps", "algo.reg.tweedie", _STEPS, "true", _LEAF_FEATURES, "6", numberOfTrees=1, numberOfLeaves=12, learningRate=1.0)
+_SLOPE = "l_quantity / 50 + 4 * l_discount"
+_planted("m1_logistic_planted_line", "algo.bin.logistic", f"case when {_SLOPE} > 0.7 then 1 else 0 end", f"abs({_SLOPE} - 0.7) > 0.15", _LEAF_FEATURES, "class", l1Regularization=0.0, l2Regularization=0.0001)
+_planted("m2_sdca_planted_line", "algo.bin.sdca", f"case when {_SLOPE} > 0.7 then 1 else 0 end", f"abs({_SLOPE} - 0.7) > 0.15", _LEAF_FEATURES, "class", l1Regularization=0.0, l2Regularization=0.001, maximumNumberOfIterations=15)
+_planted("m7_svm_planted_line", "algo.bin.svm", f"case when {_SLOPE} > 0.7 then 1 else 0 end", f"abs({_SLOPE} - 0.7) > 0.15", _LEAF_FEATURES, "class", numberOfIterations=50, **{"lambda": 0.0001})
+_BANDS = "case when l_quantity < 16 then 'low' when l_quantity < 34 then 'mid' else 'high' end"
+_APART = "l_quantity < 12 or l_quantity between 20 and 29 or l_quantity > 37"
+_planted("m8_sdca_planted_bands", "algo.multi.sdca", _BANDS, _APART, ["l_quantity"], "class", l1Regularization=0.0, l2Regularization=0.0001, maximumNumberOfIterations=30)
+_planted("m9_lbfgs_planted_bands", "algo.multi.lbfgs", _BANDS, _APART, ["l_quantity"], "class", l1Regularization=0.0, l2Regularization=0.0001)
+
+
+_GAINS = """with t as (select l_quantity as q, count(*) as n, sum(l_extendedprice::double) as s from lineitem group by 1), c as (select q, sum(n) over (order by q) as nl, sum(s) over (order by q) as sl, sum(n) over () as nt, sum(s) over () as st from t),
+  a as (select q, sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) as gain from c where nl < nt), first as (select arg_max(q, gain) as cut from a)
+  select case when l_quantity <= cut then 'left' else 'right' end as leaf, count(*) as rows, round(avg(l_extendedprice::double), 4) as value from lineitem, first group by 1"""
+
+
+@query(_GAINS)
+def m17_leafy_first_split(spark, d):
+    """The split that lessens the squares most and its leaves' means."""
+    df = _t(spark, d, "lineitem").select(*_IDS, "l_quantity", F.col("l_extendedprice").alias("Label"))
+    scored = training.score(training.train(spec("algo.reg.lightGbm", numberOfTrees=1, numberOfLeaves=2, learningRate=1.0), df, "Label", ["l_quantity"]), df)
+    leaves = scored.groupBy("Score").agg(F.count(F.lit(1)).alias("rows"), F.min("l_quantity").alias("q"))
+    side = F.when(F.col("q") == F.min("q").over(Window.partitionBy()), "left").otherwise("right")
+    return leaves.select(side.alias("leaf"), "rows", F.round("Score", 4).alias("value"))
+
+
+_RIDGE = "sign(covar_pop(x, y)) * greatest(abs(covar_pop(x, y)) - {l1}, 0) / (var_pop(x) + {l2})"
+
+
+@query(f"with s as (select min(l_quantity)::double as lo, max(l_quantity)::double as hi from lineitem), r as (select (l_quantity - lo) / (hi - lo) as x, (l_quantity * (1 + l_discount))::double as y from lineitem, s) select 'l2' as penalty, round({_RIDGE.format(l1=0, l2=0.01)}, 1) as slope from r union all select 'l1 and l2', round({_RIDGE.format(l1=1, l2=0.02)}, 1) from r union all select 'large l1', round({_RIDGE.format(l1=100, l2=0.02)}, 1) from r")
+def m13_sdca_closed_form(spark, d):
+    """Slopes over the scaled quantity: ridge regression's, and the soft-thresholded ones of elastic nets."""
+    df = _t(spark, d, "lineitem").select("l_quantity", F.expr("l_quantity * (1 + l_discount)").alias("Label"))
+    rows = []
+    for name, l1, l2 in (("l2", 0.0, 0.01), ("l1 and l2", 1.0, 0.02), ("large l1", 100.0, 0.02)):
+        t = training.train(spec("algo.reg.sdca", l1Regularization=l1, l2Regularization=l2, tolerance=1e-10), df, "Label", ["l_quantity"])
+        rows.append((name, round(t.model.stages[-1].getOrDefault("weights")[0], 1)))
+    return spark.createDataFrame(rows, "penalty string, slope double")
+
+
+@query("select l_orderkey, l_linenumber, round(avg(l_quantity::double) over (partition by l_returnflag = 'R'), 3) as predicted from lineitem union all select l_orderkey, -l_linenumber, round(avg(l_quantity::double) over (), 3) from lineitem")
+def m19_poisson_closed_form(spark, d):
+    """Means of two groups without a penalty; with a large l1 no weight is left and the mean of all (negative numbers)."""
+    df = _t(spark, d, "lineitem").select(*_IDS, F.expr("cast(l_returnflag = 'R' as int)").alias("returned"), F.col("l_quantity").alias("Label"))
+    fit = lambda l1: training.score(training.train(spec("algo.reg.poisson", l1Regularization=l1, l2Regularization=0.0), df, "Label", ["returned"]), df)
+    shown = F.round("Score", 3).alias("predicted")
+    return fit(0.0).select(*_IDS, shown).unionByName(fit(1e6).select("l_orderkey", (-F.col("l_linenumber")).alias("l_linenumber"), shown))
+
+
 @query("with f as (select regr_slope(l_extendedprice, l_quantity) as a, regr_intercept(l_extendedprice, l_quantity) as b from lineitem) select l_orderkey, l_linenumber, round((a * l_quantity + b) / 100) as predicted from lineitem, f")
 def m14_least_squares_closed_form(spark, d):
     df = _t(spark, d, "lineitem").select(*_IDS, "l_quantity", F.col("l_extendedprice").alias("Label"))

@@ -1,7 +1,7 @@
 """Algorithm modules as unfitted Spark estimators, and the features they are fed.
 
-Parameters keep the modules' names. Leaves become a depth that holds as many, trees become iterations or trees, the rate the
-step size, (l1, l2) an elastic net. MLlib grows trees by depth, not leaf by leaf; a boosted Tweedie becomes the linear one.
+Parameters keep the modules' names. (l1, l2) become an elastic net, trees become iterations or trees, the rate the step size.
+MLlib's own trees take the depth that holds so many leaves; those of ``boosting`` are grown leaf by leaf.
 """
 
 from __future__ import annotations
@@ -94,28 +94,30 @@ def estimator(s: TrainerSpec, n_features: int, seed: int = 42) -> Estimator:
     net = {"regParam": l1 + l2, "elasticNetParam": l1 / (l1 + l2) if l1 + l2 else 0.0, "maxIter": int(p.get("maximumNumberOfIterations", 100))}
     boost = lambda: {"maxDepth": depth_of(int(p["numberOfLeaves"])), "maxIter": int(p["numberOfTrees"]), "minInstancesPerNode": int(p["minimumExampleCountPerLeaf"]), "stepSize": float(p["learningRate"]), "seed": seed}
     forest = lambda: {"maxDepth": depth_of(int(p["numberOfLeaves"])), "numTrees": int(p["numberOfTrees"]), "minInstancesPerNode": int(p["minimumExampleCountPerLeaf"]), "seed": seed}
-    from brindle.ml import custom
+    ascent = lambda loss: dual.DualAscent(loss=loss, l1=l1, l2=l2, rounds=net["maxIter"], tolerance=float(p.get("tolerance", 1e-4)))
+    leafy = lambda loss: boosting.LeafwiseBoosting(loss=loss, trees=int(p["numberOfTrees"]), leaves=int(p["numberOfLeaves"]), leastRows=int(p["minimumExampleCountPerLeaf"]), rate=float(p["learningRate"]))
+    from brindle.ml import boosting, custom, dual, orthant
 
     make = {
         "algo.bin.logistic": lambda: C.LogisticRegression(family="binomial", **net),
-        "algo.bin.sdca": lambda: C.LogisticRegression(family="binomial", **net),
+        "algo.bin.sdca": lambda: ascent("two"),
         "algo.bin.fastTree": lambda: C.GBTClassifier(**boost()),
         "algo.bin.fastForest": lambda: C.RandomForestClassifier(**forest()),
-        "algo.bin.lightGbm": lambda: C.GBTClassifier(**boost()),
+        "algo.bin.lightGbm": lambda: leafy("logistic"),
         "algo.bin.perceptron": lambda: custom.AveragedPerceptron(rate=float(p["learningRate"]), epochs=int(p["numberOfIterations"])),
         "algo.bin.svm": lambda: C.LinearSVC(maxIter=int(p["numberOfIterations"]), regParam=float(p["lambda"])),
-        "algo.multi.sdca": lambda: C.LogisticRegression(family="multinomial", **net),
+        "algo.multi.sdca": lambda: ascent("many"),
         "algo.multi.lbfgs": lambda: C.LogisticRegression(family="multinomial", **net),
         "algo.multi.oneVsAll": lambda: C.OneVsRest(classifier=C.GBTClassifier(**boost())),
-        "algo.multi.lightGbm": lambda: C.OneVsRest(classifier=C.GBTClassifier(**boost())),
+        "algo.multi.lightGbm": lambda: leafy("softmax"),
         "algo.multi.naiveBayes": lambda: Pipeline(stages=[X.Binarizer(threshold=0.0, inputCol="features", outputCol="binary"), C.NaiveBayes(modelType="bernoulli", featuresCol="binary")]),
-        "algo.reg.sdca": lambda: R.LinearRegression(**net),
+        "algo.reg.sdca": lambda: ascent("squares"),
         "algo.reg.ols": lambda: R.LinearRegression(solver="normal", regParam=float(p["l2Regularization"])),
         "algo.reg.fastTree": lambda: R.GBTRegressor(**boost()),
         "algo.reg.fastForest": lambda: R.RandomForestRegressor(**forest()),
-        "algo.reg.lightGbm": lambda: R.GBTRegressor(**boost()),
-        "algo.reg.tweedie": lambda: R.GeneralizedLinearRegression(family="tweedie", variancePower=1.5, linkPower=0.0),
-        "algo.reg.poisson": lambda: R.GeneralizedLinearRegression(family="poisson", link="log", regParam=l2, maxIter=net["maxIter"]),
+        "algo.reg.lightGbm": lambda: leafy("squared"),
+        "algo.reg.tweedie": lambda: leafy("tweedie"),
+        "algo.reg.poisson": lambda: orthant.PoissonRegression(l1=l1, l2=l2, iterations=net["maxIter"]),
         "algo.reg.sgd": lambda: custom.SgdRegression(rate=float(p["learningRate"]), epochs=int(p["numberOfIterations"])),
         "algo.cluster.kmeans": lambda: K.KMeans(k=int(p["numberOfClusters"]), maxIter=int(p["maximumNumberOfIterations"]), initMode="random" if p["initialization"] == "random" else "k-means||", seed=seed),
         "algo.anomaly.pca": lambda: custom.PcaAnomaly(rank=min(int(p["rank"]), max(1, n_features))),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
@@ -15,3 +15,17 @@ def folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = "file:///tmp/checkpoints"
     return f"{shared.rstrip('/')}/brindle-core-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a table in a new folder, and the folder: its lineage ends there, and it outlives any executor."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str | None) -> None:
+    """Delete a folder of ``stored``."""
+    if path:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
