@@ -10,14 +10,17 @@ Candidate places that touch are one block. A block is compressed with every temp
 (the others share no such run with it and cannot be confirmed), and templates are ranked by the size reduction
 ``1 - with / without``. All are confirmed or refuted by the exact differences in wording; of confirmed ones that overlap,
 the one with the most words unchanged wins, then the fewest differences, then the greater reduction, then the name, then
-the first place. So a block can hold several licenses, and a full text wins over its own opening.
+the first place. So a block can hold several licenses, and a full text wins over its own opening. A template's places come
+from one pass over the block, however often it stands there.
 
-Null and empty texts have no blocks. Repeated rows give repeated results. Offsets are code points, ends exclusive. Other
+No rows, null and empty texts have no blocks. Repeated rows give repeated results. Offsets are code points, ends exclusive. Other
 columns of the documents are not kept but for the doc_id. Whole texts of any length are read.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -106,6 +109,20 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
     ),
 )
+#: Headings of the full texts, tags of source files, and notices by name.
+HEADINGS = (
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+)
+TAGGED = ("AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense", "Zlib")
+NAMED = (("Apache-2.0", "Apache License, Version 2.0"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("BSL-1.0", "Boost Software License, Version 1.0"), ("GPL-2.0", "GNU General Public License v2.0"), ("GPL-3.0", "GNU General Public License v3.0"), ("ISC", "ISC License"), ("MIT", "MIT License"), ("MPL-2.0", "Mozilla Public License 2.0"))
+TEMPLATES += HEADINGS
+TEMPLATES += tuple((name, f"SPDX-License-Identifier: {name}") for name in TAGGED)
+TEMPLATES += tuple((name, f"{how} under the {title}") for name, title in NAMED for how in ("Distributed", "Licensed") if (name, how) != ("Apache-2.0", "Licensed"))
 #: Lengths of the word runs that candidates are found by; a template uses the longest that its unbroken run allows.
 WIDTHS = (1, 3, 5, 8)
 _APART = np.ones(256, bool)
@@ -174,18 +191,32 @@ def distances(masks: dict[int, int], size: int, words: list[int], anchored: bool
 
 
 def places(template: Template, words: list[int]) -> list[tuple[int, int, int]]:
-    """``(first, past last, differences)`` of the template's confirmed runs, none overlapping; the nearest come first, then the earliest."""
-    out, parts, size = [], [(0, len(words))], len(template.words)
-    while parts:
-        low, high = parts.pop()
-        found = min(((d, i) for i, d in enumerate(distances(template.masks, size, words[low:high], False))), default=(size, 0))
-        if found[0] > template.allowed or high - low < size - template.allowed:
+    """``(first, past last, differences)`` of the template's confirmed runs, none overlapping; the nearest come first, then the earliest.
+
+    One pass finds every end at which the template may stand. Ends are taken by differences, then place; one whose run would
+    reach into a run taken before is measured anew from that run's end on, so its differences only grow, and it is
+    given up when they are too many. Each end is looked back from over a template's length, however long the text is."""
+    size, reach = len(template.words), len(template.words) + template.allowed
+    waiting = [(d, i + 1, 0) for i, d in enumerate(distances(template.masks, size, words, False)) if d <= template.allowed]
+    heapq.heapify(waiting)
+    begins: list[int] = []
+    ends: list[int] = []
+    out = []
+    while waiting:
+        d, end, measured = heapq.heappop(waiting)
+        at = bisect.bisect_left(begins, end)  # runs that begin before this end
+        low = ends[at - 1] if at else 0
+        if low >= end or end - low < size - template.allowed:
+            continue
+        back = list(distances(template.backward, size, words[max(low, end - reach) : end][::-1], True))
+        if low > measured and min(back) > d:
+            if min(back) <= template.allowed:
+                heapq.heappush(waiting, (min(back), end, low))
             continue
-        end = low + found[1] + 1
-        back = distances(template.backward, size, words[low:end][::-1], True)
-        start = end - 1 - next(i for i, d in enumerate(back) if d == found[0])
-        out.append((start, end, found[0]))
-        parts += [(low, start), (end, high)]
+        start = end - 1 - back.index(d)
+        begins.insert(at, start)
+        ends.insert(at, end)
+        out.append((start, end, d))
     return sorted(out)
 
 
@@ -241,10 +272,13 @@ class Scanner:
                     first = min(f[0] for f in place)
                     for a, b, d in places(T, words.hashes[first : max(f[1] for f in place)].tolist()):
                         seen.append((d - len(T.words), d, -reduction[k], T.name, first + a, first + b, k))
-            taken: list[tuple[int, int]] = []
+            begins: list[int] = []
+            ends: list[int] = []
             for _, d, gain, _, a, b, k in sorted(seen):
-                if all(b <= x or y <= a for x, y in taken):
-                    taken.append((a, b))
+                at = bisect.bisect_left(begins, b)
+                if not at or ends[at - 1] <= a:
+                    begins.insert(at, a)
+                    ends.insert(at, b)
                     yield a, b, k, d, -gain
 
 

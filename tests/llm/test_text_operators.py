@@ -278,12 +278,60 @@ def test_whole_wrapped_and_neighbouring_licenses(docs_of):
     assert got == {0: [("MIT", 0)], 1: [("BSD-3-Clause", 0)], 2: [("BSD-2-Clause", 0)], 3: [("GPL-3.0", 0)], 4: [("MIT", 0), ("Apache-2.0", 0), ("All-Rights-Reserved", 0)], 5: [("ISC", 0), ("Apache-2.0", 0)], 6: [("MIT", 0)]}
 
 
+def test_tags_headings_and_names_are_licenses(docs_of):
+    texts = ["# SPDX-License-Identifier: MIT", "Distributed under the MIT license", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C)", "Apache License\n   Version 2.0, January 2004\n http://www.apache.org/licenses/", "// SPDX-License-Identifier: GPL-3.0-or-later"]
+    got = {r.doc_id: r.licenses for r in licenses.by_document(docs_of(texts)).collect()}
+    assert got == {0: ["MIT"], 1: ["MIT"], 2: ["GPL-3.0"], 3: ["Apache-2.0"], 4: ["GPL-3.0"]}
+
+
+def test_repeated_notices_take_linear_time():
+    import time
+
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.9, 12)
+    for notice, kept in (("Released under the MIT License. ", 1), (next(t for n, t in licenses.TEMPLATES if n == "Zlib") + " ", 1)):
+        times = 1_000_000 // len(notice)
+        words = licenses.Words.of(pa.array([notice * times], pa.large_string()))
+        began = time.time()
+        found = list(scanner.confirmed(words, scanner.candidates(words)[0]))
+        assert len(found) == times * kept and time.time() - began < 15
+
+
+def plain_places(template, words):
+    """The nearest run, then what is left and right of it, each searched anew."""
+    out, parts, size = [], [(0, len(words))], len(template.words)
+    while parts:
+        low, high = parts.pop()
+        d, i = min(((d, i) for i, d in enumerate(licenses.distances(template.masks, size, words[low:high], False))), default=(size, 0))
+        if d > template.allowed or high - low < size - template.allowed:
+            continue
+        end = low + i + 1
+        start = end - 1 - next(i for i, b in enumerate(licenses.distances(template.backward, size, words[low:end][::-1], True)) if b == d)
+        out.append((start, end, d))
+        parts += [(low, start), (end, high)]
+    return sorted(out)
+
+
+def test_places_of_one_pass_equal_those_searched_anew():
+    rnd = random.Random(11)
+    for _ in range(1_500):
+        size = rnd.randint(1, 9)
+        t = licenses.Template("t", "", [rnd.randint(0, 3) for _ in range(size)], rnd.randint(0, max(0, size // 2 - 1)), 1)
+        words = []
+        while len(words) < 40:
+            part = list(t.words) if rnd.random() < 0.6 else []
+            for _ in range(rnd.randint(0, 2)):
+                if part:
+                    part[rnd.randrange(len(part)) : rnd.randrange(len(part)) + 1] = [rnd.randint(0, 3)] * rnd.randint(0, 2)
+            words += part + [rnd.randint(0, 4)] * rnd.randint(0, 2)
+        assert licenses.places(t, words) == plain_places(t, words)
+
+
 def test_licenses_match_brute_force(docs_of):
     rnd = random.Random(5)
     # Names tell apart templates that the reduction alone would order.
     templates = tuple((f"{k:02}", text) for k, (_, text) in enumerate(licenses.TEMPLATES) if len(text) < 330)
     texts = []
-    for _ in range(80):
+    for _ in range(140):
         words = []
         for _ in range(rnd.randint(1, 2)):
             words += [rnd.choice(["software", "license", "the", "x1", "\u00e9t\u00e9"]) for _ in range(rnd.randint(0, 6))]
