@@ -1085,6 +1085,35 @@ def m24_recommendations(spark, d):
     return training.score(t, e).select("user_id", "event_type", "Score")
 
 
+_TASTE = "(l_suppkey % 7) * (l_linenumber - 4) + l_linenumber"
+
+
+@query(f"with r as (select l_orderkey, l_linenumber as item, ({_TASTE})::double as y from lineitem), m as (select item, avg(y) as mean from r where l_orderkey % 5 <> 0 group by 1) select count(*) as rows, round(sqrt(avg((y - mean) ** 2)), 4) as baseline, true as better from r join m using (item) where l_orderkey % 5 = 0")
+def m24_held_out_ratings(spark, d):
+    """Held-out error of a planted taste of suppliers for line numbers: less than half of the item means' error."""
+    rows = _t(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", F.expr(_TASTE).cast("double").alias("Label"))
+    fit, held = rows.where("l_orderkey % 5 <> 0").drop("l_orderkey"), rows.where("l_orderkey % 5 = 0")
+    t = training.train(spec("algo.rec.matrixFactorization", userColumn="l_suppkey", itemColumn="l_linenumber", approximationRank=2, numberOfIterations=10, learningRate=0.2), fit, "Label")
+    means = fit.groupBy("l_linenumber").agg(F.avg("Label").alias("mean"))
+    error = lambda c: F.sqrt(F.avg(F.pow(F.col(c) - F.col("Label"), 2)))
+    met = training.score(t, held).join(F.broadcast(means), "l_linenumber")  # an item is one of seven line numbers
+    return met.agg(F.count("Score").alias("rows"), F.round(error("mean"), 4).alias("baseline"), (error("Score") * 2 < error("mean")).alias("better"))
+
+
+_SCALED = "(l_{0}::double - min(l_{0}::double) over ()) / (max(l_{0}::double) over () - min(l_{0}::double) over ())"
+
+
+@query(f"with r as (select l_orderkey, l_linenumber, {_SCALED.format('quantity')} as x, 0.8 * ({_SCALED.format('quantity')}) + 0.2 * ({_SCALED.format('discount')}) as y0 from lineitem), q as (select *, (y0 - min(y0) over ()) / (max(y0) over () - min(y0) over ()) as y from r), m as (select avg(x) as mx, avg(y) as my, var_pop(x) as a, covar_pop(x, y) as b, var_pop(y) as c from q), e as (select *, (a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b ** 2) as low from m) select l_orderkey, l_linenumber, round(abs((x - mx) * b + (y - my) * (low - a)) / sqrt(b ** 2 + (low - a) ** 2), 5) as score from q, e")
+def m22_plane_distance(spark, d):
+    """Distance from the first of two components, whose direction has a closed form."""
+    li = _t(spark, d, "lineitem")
+    ends = li.agg(*[f(F.col(f"l_{c}").cast("double")).alias(f"{n}_{c}") for c in ("quantity", "discount") for n, f in (("lo", F.min), ("hi", F.max))])
+    scaled = lambda c: (F.col(f"l_{c}").cast("double") - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}"))
+    rows = li.crossJoin(F.broadcast(ends)).select(*_IDS, scaled("quantity").alias("x"), (0.8 * scaled("quantity") + 0.2 * scaled("discount")).alias("y"))  # one row of ends
+    t = training.train(spec("algo.anomaly.pca", rank=1), rows, None, ["x", "y"])
+    return training.score(t, rows).select(*_IDS, F.round("Score", 5).alias("score"))
+
+
 @query()
 def m25_forecast(spark, d):
     daily = _t(spark, d, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).cast("double").alias("n"))

@@ -11,15 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.ml import sums
+
 
 class _LinearModel(Model, DefaultParamsReadable, DefaultParamsWritable):
     """A weight vector and bias, applied as an expression."""
@@ -126,23 +128,55 @@ class SgdRegression(_Mixing):
 
 
 class PcaAnomaly(Estimator, DefaultParamsReadable, DefaultParamsWritable):
-    """How far a row lies from the first components' subspace."""
+    """How far a row lies from the first components' subspace, which a seeded sketch finds (Halko, Martinsson and Tropp 2011).
+
+    ``rank + oversampling`` random directions are multiplied by the covariance ``powers`` times, a pass over the rows each, and
+    made orthonormal in between; a last pass sums the rows' products in that basis, whose first axes are the components.
+    Sums are features x directions at most: the covariance itself is never formed. With as many directions as features
+    the result is exact."""
 
     rank = Param(Params._dummy(), "rank", "components", TypeConverters.toInt)
+    oversampling = Param(Params._dummy(), "oversampling", "further directions of the sketch", TypeConverters.toInt)
+    powers = Param(Params._dummy(), "powers", "passes that multiply by the covariance", TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, *, rank: int = 5):
+    def __init__(self, *, rank: int = 5, oversampling: int = 20, powers: int = 4):
         super().__init__()
-        self._setDefault(rank=5)
+        self._setDefault(rank=5, oversampling=20, powers=4)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame):
         from pyspark.ml.stat import Summarizer
 
-        mean = df.select(Summarizer.mean(F.col("features")).alias("m")).first()["m"]
-        model = PCA(k=min(self.getOrDefault("rank"), len(mean)), inputCol="features", outputCol="_pc").fit(df)
-        found = PcaAnomalyModel([float(x) for x in mean], [[float(x) for x in c] for c in model.pc.toArray().T])
-        return found
+        if not df.select("features").limit(1).count():
+            return PcaAnomalyModel()
+        mean = df.select(Summarizer.mean(F.col("features")).alias("m")).first()["m"].toArray()
+        d, rank = len(mean), min(self.getOrDefault("rank"), len(mean))
+        wide = min(d, rank + max(0, self.getOrDefault("oversampling")))
+        rows = df.select(vector_to_array("features").alias("x")).persist()
+        parts = max(1, rows.rdd.getNumPartitions())
+
+        def summed(w: np.ndarray, last: bool) -> np.ndarray:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total = np.zeros((w.shape[1] if last else d, w.shape[1]))
+                for batch in batches:
+                    if batch.num_rows:
+                        x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) - mean
+                        t = x @ w
+                        total += (t if last else x).T @ t
+                yield sums.row(0, sums.partition(), total)
+
+            return sums.folded(rows.mapInArrow(run, sums.SCHEMA), parts, 1, d * wide)[0].reshape(-1, wide)
+
+        try:
+            w = np.linalg.qr(np.random.default_rng(42).normal(size=(d, wide)))[0]
+            for _ in range(self.getOrDefault("powers") if wide < d else 0):
+                w = np.linalg.qr(summed(w, False))[0]
+            values, turn = np.linalg.eigh(summed(w, True))
+        finally:
+            rows.unpersist()
+        first = w @ turn[:, np.argsort(-values, kind="stable")[:rank]]
+        return PcaAnomalyModel([float(x) for x in mean], first.T.tolist())
 
 
 class PcaAnomalyModel(Model, DefaultParamsReadable, DefaultParamsWritable):

@@ -120,7 +120,7 @@ def estimator(s: TrainerSpec, n_features: int, seed: int = 42) -> Estimator:
         "algo.reg.poisson": lambda: orthant.PoissonRegression(l1=l1, l2=l2, iterations=net["maxIter"]),
         "algo.reg.sgd": lambda: custom.SgdRegression(rate=float(p["learningRate"]), epochs=int(p["numberOfIterations"])),
         "algo.cluster.kmeans": lambda: K.KMeans(k=int(p["numberOfClusters"]), maxIter=int(p["maximumNumberOfIterations"]), initMode="random" if p["initialization"] == "random" else "k-means||", seed=seed),
-        "algo.anomaly.pca": lambda: custom.PcaAnomaly(rank=min(int(p["rank"]), max(1, n_features))),
+        "algo.anomaly.pca": lambda: custom.PcaAnomaly(rank=int(p["rank"]), oversampling=int(p["oversampling"])),
         "algo.nlp.textClassification": lambda: C.LogisticRegression(maxIter=20 * max(1, int(p["epochs"])), regParam=0.01),
     }
     if a == "algo.vision.imageClassification":

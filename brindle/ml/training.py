@@ -10,11 +10,11 @@ from itertools import product
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import semantics as S
+from brindle.ml.factorization import StratifiedFactorization
 from brindle.ml.trainers import TrainerSpec, estimator, feature_stages, spec
 from brindle.operators import evaluate as E
 
@@ -75,9 +75,8 @@ def _recommend(s: TrainerSpec, df: DataFrame, label: str | None) -> Trained:
     p = s.parameters
     user, item = S.required(df, p["userColumn"]), S.required(df, p["itemColumn"])
     ready = df.withColumn("_user", S.key(user)).withColumn("_item", S.key(item)).withColumn("label", S.to_number(S.required(df, label)).cast("float"))
-    stages = [StringIndexer(inputCol="_user", outputCol="_u", handleInvalid="keep"), StringIndexer(inputCol="_item", outputCol="_i", handleInvalid="keep")]
-    als = ALS(userCol="_u", itemCol="_i", ratingCol="label", rank=int(p["approximationRank"]), maxIter=int(p["numberOfIterations"]), regParam=0.1, coldStartStrategy="nan", seed=42)
-    return Trained(Pipeline(stages=[*stages, als]).fit(ready.where("label is not null")), s, label, [user.name, item.name], data=df)
+    learner = StratifiedFactorization(rank=int(p["approximationRank"]), passes=int(p["numberOfIterations"]), rate=float(p["learningRate"]))
+    return Trained(Pipeline(stages=[learner]).fit(ready.where("label is not null")), s, label, [user.name, item.name], data=df)
 
 
 def score(t: Trained, df: DataFrame, append_original: bool = True) -> DataFrame:
@@ -86,7 +85,7 @@ def score(t: Trained, df: DataFrame, append_original: bool = True) -> DataFrame:
     if task == "Recommendation":
         user, item = (S.required(df, c) for c in t.features)
         ready = df.withColumn("_user", S.key(user)).withColumn("_item", S.key(item))
-        out = t.model.transform(ready).withColumn("Score", F.when(~F.isnan("prediction"), F.col("prediction").cast("double")))
+        out = t.model.transform(ready).withColumn("Score", F.col("prediction"))
         added = ["Score"]
     else:
         base = S.with_logical(df, t.features[0], "Text") if task == "TextClassification" else df
