@@ -9,9 +9,13 @@ hex of either case (28 digits or more) are decoded and reported only if the byte
 * ``key``  DER whose nested lengths add up to a private or public key (PKCS#1, PKCS#8, SEC 1, SPKI), or an OpenSSH key
   whose length-prefixed fields fill the bytes; within a PEM frame the lines are joined first, and a body whose headers
   say that it is encrypted is a key if it decodes to whole cipher blocks;
-* ``nested``  printable text that itself holds any span, decoded up to ``DEPTH`` times.
+* ``nested``  printable text that itself holds any span, decoded as often as it takes: every layer is shorter than the last. If
+  a run isn't such text as a whole, all its alignments (four of base64, two of hex) are read, and each stretch
+  of printable ASCII in it that holds a span is reported where it stands; so what comes before the encoded text hides nothing.
 
-Offsets are code points, ends exclusive. Null and empty texts have no spans. Repeated rows give repeated results. Whole
+DER nests at most 16 deep and has lengths of 4 bytes at most, which all key formats keep to. A caller's ``spans`` is replaced.
+
+Offsets are code points, ends exclusive. No rows, null and empty texts have no spans. Repeated rows give repeated results. Whole
 texts are read; plain substring tests skip the patterns of texts that cannot match, without changing a result.
 """
 
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
 import re
 from collections.abc import Iterator
@@ -41,8 +46,8 @@ _PIECE = re.compile(rf"(?:^|{_BREAK})([A-Za-z0-9+/_-]+={{0,2}})")
 _PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*(?:KEY|CERTIFICATE)-----((?:(?:\s|\\[nr])*[A-Za-z0-9-]+:\x20[^\n\\]*(?:\r?\n|\\r\\n|\\n))*)([A-Za-z0-9+/=\s\\]+)-----END [A-Z0-9 ]*-----")
 _LEAST = 14  # characters of {"alg":""} in base64
 _HEADER, _JSON = re.compile("(?=eyJ)"), json.JSONDecoder()
-#: How often decoded text is searched and decoded in turn.
-DEPTH = 4
+#: A readable part of decoded bytes: the shortest span of any kind has as many characters.
+_STRETCH = re.compile(rb"[\t\r\n\x20-\x7e]{14,}")
 _NAMES = ("passw", "secret", "token", "api")
 Span = tuple[str, int, int]
 
@@ -169,18 +174,46 @@ def signed_tokens(text: str) -> Iterator[tuple[int, int]]:
                 yield m.start() + at, past
 
 
-def holds_secret(data: bytes, depth: int = DEPTH) -> bool:
+def holds_secret(data: bytes) -> bool:
     """Whether decoded bytes are printable text with a span of any kind."""
     try:
         text = data.decode()
     except UnicodeDecodeError:
         return False
-    return all(c.isprintable() or c in "\t\r\n" for c in text) and bool(spans(text, depth - 1) if depth > 1 else base_spans(text))
+    return all(c.isprintable() or c in "\t\r\n" for c in text) and bool(spans(text))
 
 
-def decoded_kinds(data: bytes | None, depth: int) -> list[str]:
+def decoded_kinds(data: bytes | None) -> list[str]:
     """What decoded bytes are: ``key``, ``nested`` or neither."""
-    return ["key"] * is_key(data) + ["nested"] * holds_secret(data, depth) if data else []
+    return ["key"] * is_key(data) + ["nested"] * holds_secret(data) if data else []
+
+
+def hidden(readings: list[tuple[int, bytes]], ratio: tuple[int, int], size: int) -> set[tuple[int, int]]:
+    """Where in a candidate of ``size`` characters a printable stretch with a span stands.
+
+    ``readings`` are the first character and the bytes of each way to align it; ``ratio`` is characters to bytes. Equal
+    stretches are searched once."""
+    known: dict[bytes, bool] = {}
+    out = set()
+    for first, data in readings:
+        for m in _STRETCH.finditer(data):
+            if m[0] not in known:
+                known[m[0]] = bool(spans(m[0].decode()))
+            if known[m[0]]:
+                end = size if m.end() == len(data) else first - (-m.end() * ratio[0] // ratio[1])
+                out.add((first + m.start() * ratio[0] // ratio[1], min(size, end)))
+    return out
+
+
+def alignments(run: str) -> list[tuple[int, bytes]]:
+    """The bytes of a base64 run read from each of its first four characters."""
+    body, out = run.rstrip("="), []
+    for first in range(4):
+        part = body[first:]
+        data = unbase64(part[: len(part) - (len(part) % 4 == 1)])
+        if data:
+            out.append((first, data))
+    return out
 
 
 def is_encrypted(headers: str, data: bytes) -> bool:
@@ -203,7 +236,7 @@ def wrapped_runs(pieces: list[str]) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def spans(text: str, depth: int = DEPTH) -> list[Span]:
+def spans(text: str) -> list[Span]:
     """All spans by start, then kind in the order of ``KINDS``."""
     out = base_spans(text)
     if "eyJ" in text:
@@ -217,11 +250,24 @@ def spans(text: str, depth: int = DEPTH) -> list[Span]:
                 out.append(("key", *m.span()))
     for start, end in {m.span() for pattern in (_HEX, _ANY_HEX) for m in pattern.finditer(text)}:
         data = bytes.fromhex(text[start : end - (end - start) % 2])
-        out += [(kind, start, end) for kind in decoded_kinds(data, depth)]
-    within = lambda at: any(a <= at < b for a, b in framed)
+        kinds = decoded_kinds(data)
+        out += [(kind, start, end) for kind in kinds]
+        if not kinds:
+            other = bytes.fromhex(text[start + 1 : end - (end - start - 1) % 2])
+            out += [("nested", start + a, start + b) for a, b in hidden([(0, data), (1, other)], (2, 1), end - start)]
+    begins = [a for a, _ in framed]
+
+    def within(at: int) -> bool:
+        """Whether a place lies in a frame; frames follow one another."""
+        frame = bisect.bisect_right(begins, at) - 1
+        return frame >= 0 and at < framed[frame][1]
+
     for m in _BASE64.finditer(text):
         if not within(m.start()):
-            out += [(kind, *m.span()) for kind in decoded_kinds(unbase64(m[0]), depth)]
+            kinds = decoded_kinds(unbase64(m[0]))
+            out += [(kind, *m.span()) for kind in kinds]
+            if not kinds:
+                out += [("nested", m.start() + a, m.start() + b) for a, b in hidden(alignments(m[0]), (4, 3), len(m[0]))]
     if "\n" in text or "\\n" in text:
         for m in _WRAPPED.finditer(text):
             if within(m.start()):
@@ -232,7 +278,7 @@ def spans(text: str, depth: int = DEPTH) -> list[Span]:
                 whole = "".join(pieces[low:high])
                 if low < past or len(whole) < 16:
                     continue
-                kinds = decoded_kinds(unbase64(whole), depth)
+                kinds = decoded_kinds(unbase64(whole))
                 if kinds:
                     out += [(kind, m.start() + found[low].start(1), m.start() + found[high - 1].end(1)) for kind in kinds]
                     past = high
