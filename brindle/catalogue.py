@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from brindle.functions import scalars
 from brindle.functions import semantics as S
-from brindle.ml import custom, training
+from brindle.ml import custom, series, training
 from brindle.ml.trainers import spec
 from brindle.operators import aggregates, completions, evaluate, features, imaging, joins, profile, scripts, transforms
 from brindle.plans.compiler import compile_graph
@@ -1069,10 +1069,15 @@ def m10_one_against_all(spark, d):
     return training.score(t, df).select("vec_id", "PredictedLabel")
 
 
-_NORMAL = "least(1.0, 2 * exp(-z * z / 2) / sqrt(2 * pi()) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))))"
+_BEYOND = "exp(-z * z / 2) / sqrt(2 * pi()) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))"
+_KERNELS = f"""with w as (select event_id, value, list(value) over w as past, greatest(stddev_pop(value) over w, 1e-6) as width from events window w as (partition by user_id order by event_id rows between 30 preceding and 1 preceding)),
+  k as (select event_id, value, len(past) as n, list_transform(list_transform(past, lambda x: (value - x) / width), lambda z: struct_pack(z := z, t := 1 / (1 + 0.2316419 * abs(z)))) as kernels from w),
+  u as (select event_id, value, n, (select avg(case when z < 0 then 1 - beyond else beyond end) from (select z, {_BEYOND} as beyond from (select unnest(kernels, recursive := true)))) as above from k),
+  p as (select event_id, value, case when n < 3 or n is null then 1.0 else greatest(0.0, least(1.0, 2 * least(above, 1 - above))) end as p from u)
+  select event_id, value as spike_score, round(p, 6) as p_value, (p < 0.05)::int as alert from p"""
 
 
-@query(f"with w as (select event_id, value, avg(value) over w as m, stddev_samp(value) over w as s, count(value) over w as n from events window w as (partition by user_id order by event_id rows between 30 preceding and 1 preceding)), z as (select *, abs((value - m) / s) as z, 1 / (1 + 0.2316419 * abs((value - m) / s)) as t from w), p as (select event_id, value, case when n < 3 then 1.0 when s < 1e-12 then (abs(value - m) < 1e-12)::int::double else {_NORMAL} end as p from z) select event_id, value as spike_score, round(p, 6) as p_value, (p < 0.05)::int as alert from p")
+@query(_KERNELS)
 def m23_spikes(spark, d):
     e = _t(spark, d, "events").select("event_id", "user_id", "value")
     return custom.spikes(e, "value", "event_id", 95, 30, ["user_id"]).select("event_id", "spike_score", F.round("p_value", 6).alias("p_value"), "alert")
@@ -1114,6 +1119,14 @@ def m22_plane_distance(spark, d):
     return training.score(t, rows).select(*_IDS, F.round("Score", 5).alias("score"))
 
 
+@query("with s as (select value as x, row_number() over (order by event_id) as k from events where value is not null), l as (select unnest(range(6)) as lag), v as (select k - lag as start, lag, x from s, l where k > lag and k - lag <= (select count(*) from s) - 5) select a.lag::int as i, b.lag::int as j, round(sum(a.x * b.x), 2) as product from v a join v b using (start) group by 1, 2")
+def m25_lag_products(spark, d):
+    """Products of the lagged vectors of one series of all events, in pieces of 500 values."""
+    placed = series.placed(_t(spark, d, "events"), "value", "event_id")
+    products = series.lag_products(placed, 6, piece=500)
+    return products.select((F.col("cell") / 6).cast("int").alias("i"), (F.col("cell") % 6).cast("int").alias("j"), F.round("product", 2).alias("product"))
+
+
 @query()
 def m25_forecast(spark, d):
     daily = _t(spark, d, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).cast("double").alias("n"))

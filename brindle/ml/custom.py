@@ -196,41 +196,72 @@ class PcaAnomalyModel(Model, DefaultParamsReadable, DefaultParamsWritable):
         return wide.withColumn("prediction", F.sqrt(F.greatest(norm - kept, F.lit(0.0)))).drop("_x")
 
 
-def normal_tail(z: Column) -> Column:
-    """Two-sided normal p-value by Abramowitz and Stegun 26.2.17 (error under 1e-7)."""
+#: The least deviation that a history counts as having.
+LEAST_DEVIATION = 1e-6
+
+
+def upper_tail(z: Column) -> Column:
+    """Share of the normal distribution above ``z`` by Abramowitz and Stegun 26.2.17 (error under 1e-7)."""
     x = F.abs(z)
     t = 1 / (1 + 0.2316419 * x)
     poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return F.least(F.lit(1.0), 2 * F.exp(-x * x / 2) / math.sqrt(2 * math.pi) * poly)
+    beyond = F.exp(-x * x / 2) / math.sqrt(2 * math.pi) * poly
+    return F.when(z < 0, 1 - beyond).otherwise(beyond)
+
+
+def kernel_p(past: list[float], value: float) -> float:
+    """The two-sided p-value of ``value`` under the kernel density of ``past``: one normal kernel a value, as wide as their deviation."""
+    n = len(past)
+    if n < 3:
+        return 1.0
+    mean = sum(past) / n
+    width = max(LEAST_DEVIATION, math.sqrt(sum((x - mean) ** 2 for x in past) / n))
+    above = sum(math.erfc((value - x) / width / math.sqrt(2)) / 2 for x in past) / n
+    return min(1.0, max(0.0, 2 * min(above, 1 - above)))
 
 
 def spikes(df: DataFrame, column: str, order: str | list[str], confidence: float = 95.0, history: int = 30, by: list[str] | None = None) -> DataFrame:
     """``alert``, ``spike_score`` and ``p_value`` of each value against the ``history`` values before it in its series.
 
-    The value is compared with the normal distribution fitted to its history; fewer than 3 values before it give no
-    alert, a constant history gives p-value 0 to any other value. Name the series in ``by``: a series is one window."""
+    A value's p-value is twice the smaller of the kernel density's two tails beyond it (``kernel_p``, which streams
+    use). A gap uses up a row of the history; with fewer than 3 values in it a value has p-value 1, as a gap has. Name the series in
+    ``by``: a series is one window, of which a row sees ``history`` values at most."""
     order = [order] if isinstance(order, str) else order
     window = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order).rowsBetween(-history, -1)
     v = F.col(column).cast("double")
-    mean, sd, n = F.avg(v).over(window), F.stddev_samp(v).over(window), F.count(v).over(window)
-    p = F.when((n < 3) | v.isNull(), 1.0).when(sd < 1e-12, F.when(F.abs(v - mean) < 1e-12, 1.0).otherwise(0.0)).otherwise(normal_tail(F.try_divide(v - mean, sd)))
-    return df.withColumn("spike_score", F.coalesce(v, F.lit(0.0))).withColumn("p_value", p).withColumn("alert", (F.col("p_value") < 1 - confidence / 100).cast("int"))
+    held = df.withColumn("_sp_past", F.collect_list(v).over(window)).withColumn("_sp_width", F.greatest(F.stddev_pop(v).over(window), F.lit(LEAST_DEVIATION)))
+    n = F.size("_sp_past")
+    above = F.try_divide(F.aggregate("_sp_past", F.lit(0.0), lambda s, x: s + upper_tail((v - x) / F.col("_sp_width"))), n)
+    p = F.when((n < 3) | v.isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * F.least(above, 1 - above))))
+    scored = held.withColumn("spike_score", F.coalesce(v, F.lit(0.0))).withColumn("p_value", p).withColumn("alert", (F.col("p_value") < 1 - confidence / 100).cast("int"))
+    return scored.drop("_sp_past", "_sp_width")
+
+
+#: Values of a series that a task may hold.
+LONG = 20_000
 
 
 def ssa_forecast(values: np.ndarray, window: int, horizon: int) -> np.ndarray:
     """Recurrent singular spectrum forecast (Golyandina 2001) keeping singular values over 2.858 medians (Gavish and Donoho 2014)."""
-    n = len(values)
     lagged = np.lib.stride_tricks.sliding_window_view(values, window).T
-    u, s, _ = np.linalg.svd(lagged @ lagged.T)
+    return recurrent_forecast(lagged @ lagged.T, values[-(2 * window - 2) :], window, horizon)
+
+
+def recurrent_forecast(moments: np.ndarray, tail: np.ndarray, window: int, horizon: int) -> np.ndarray:
+    """The forecast from the lagged vectors' products, summed over the series, and the series' last ``2 * window - 2`` values.
+
+    Only the last ``window - 1`` rebuilt values are used, and all lagged vectors that hold one of these lie in the tail."""
+    u, s, _ = np.linalg.svd(moments)
     s = np.sqrt(s)
     rank = min(max(1, int((s > max(2.858 * np.median(s), 1e-6 * s[0])).sum())), window - 1)
     u = u[:, :rank]
-    rebuilt, counts = np.zeros(n), np.zeros(n)
+    lagged = np.lib.stride_tricks.sliding_window_view(tail, window).T
+    rebuilt, counts = np.zeros(len(tail)), np.zeros(len(tail))
     low = u @ (u.T @ lagged)
     for i in range(window):
         rebuilt[i : i + low.shape[1]] += low[i]
         counts[i : i + low.shape[1]] += 1
-    series = list(rebuilt / counts)
+    series = list((rebuilt / counts)[-(window - 1) :])
     last = u[-1]
     norm = float(last @ last)
     if norm >= 1 - 1e-9:
@@ -238,14 +269,19 @@ def ssa_forecast(values: np.ndarray, window: int, horizon: int) -> np.ndarray:
     weights = (u[:-1] @ last) / (1 - norm)
     for _ in range(horizon):
         series.append(float(weights @ np.array(series[-(window - 1) :])))
-    return np.array(series[n:])
+    return np.array(series[-horizon:])
 
 
 def forecast(df: DataFrame, column: str, order: str, horizon: int = 7, window: int = 14, series_length: int = 60, by: list[str] | None = None) -> DataFrame:
     """``(by..., step, forecast)`` for each series, from its last ``series_length`` values by ``order``.
 
     A window function keeps just those values before any series is gathered, so a group holds ``series_length`` rows at
-    most. A series shorter than twice the window is refused."""
+    most; where that is more than ``LONG`` values, ``series.forecast`` cuts the series in pieces. A series shorter than twice
+    the window is refused."""
+    if max(series_length, 2 * window) > LONG:
+        from brindle.ml import series
+
+        return series.forecast(df, column, order, horizon, window, series_length, by)
     keys = by or ["_series"]
     rows = df.select(*(by or [F.lit(0).alias("_series")]), F.col(column).cast("double").alias("_v"), F.col(order).alias("_o")).where("_v is not null")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_o")))

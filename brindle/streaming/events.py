@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from brindle.ml.custom import kernel_p
+
 
 def windowed(events: DataFrame, time: str, width: str, slide: str | None = None, late: str = "1 hour", by: list[str] | None = None, value: str | None = None) -> DataFrame:
     """Counts and sums per tumbling or sliding window and key; rows later than ``late`` are dropped. Batch frames work alike."""
@@ -26,24 +28,21 @@ def sessions(events: DataFrame, time: str, gap: str, by: list[str], late: str =
     return grouped.select(F.col("session.start").alias("start"), F.col("session.end").alias("end"), *by, "count")
 
 
-def stream_spikes(events: DataFrame, key: str, column: str, order: str, history: int = 30, limit: float = 3.0) -> DataFrame:
-    """Values over ``limit`` deviations from their key's last ``history`` values, which are the state kept per key."""
+def stream_spikes(events: DataFrame, key: str, column: str, order: str, history: int = 30, confidence: float = 99.0) -> DataFrame:
+    """Spikes of each key's values, by the p-value that ``custom.spikes`` gives; the last ``history`` values are the state kept per key."""
     kind = events.schema[key].dataType.simpleString()
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         past = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(parts)).sort_values(order)
-        out = []
-        for v in rows[column]:
-            n = len(past)
-            mean = sum(past) / n if n else 0.0
-            sd = (sum((x - mean) ** 2 for x in past) / (n - 1)) ** 0.5 if n > 1 else 0.0
-            out.append(n >= 3 and abs(v - mean) > limit * sd and (sd > 0 or v != mean))
-            past = (past + [float(v)])[-history:]
+        found = []
+        for v in rows[column].astype(float):
+            found.append(1.0 if pd.isna(v) else kernel_p([x for x in past if x is not None], v))
+            past = [*past, None if pd.isna(v) else v][-history:]
         state.update((past,))
-        yield pd.DataFrame({key: k[0], "value": rows[column].astype(float).to_numpy(), "alert": out})
+        yield pd.DataFrame({key: k[0], "value": rows[column].astype(float).to_numpy(), "p_value": found, "alert": [p < 1 - confidence / 100 for p in found]})
 
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, value double, alert boolean", "past array<double>", "append", "NoTimeout")
+    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, value double, p_value double, alert boolean", "past array<double>", "append", "NoTimeout")
 
 
 def file_queue(spark: SparkSession, path: str, schema: str, work: Callable[[DataFrame, int], None], checkpoint: str, per_batch: int = 1) -> StreamingQuery:

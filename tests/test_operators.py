@@ -291,6 +291,21 @@ def test_spike_is_found(spark):
         custom.forecast(df.limit(10), "nilai", "i", 7, 14).collect()
 
 
+def test_kernel_p_values_of_batches_and_streams_agree(spark):
+    import random
+
+    rnd = random.Random(9)
+    values = [rnd.gauss(0, 1) if rnd.random() < 0.9 else None for _ in range(120)] + [3.0] * 12 + [3.5, 40.0]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    past = []
+    for r in custom.spikes(df, "v", "i", 95, 10).orderBy("i").collect():
+        # The batch's window counts rows, so gaps use up places in it.
+        past = [x for x in values[max(0, r.i - 10) : r.i] if x is not None]
+        wanted = 1.0 if r.v is None else custom.kernel_p(past, r.v)
+        assert abs(r.p_value - wanted) < 1e-6 and r.alert == (wanted < 0.05)
+    assert custom.kernel_p([3.0] * 5, 3.0) == 1.0 and custom.kernel_p([3.0] * 5, 3.1) == 0.0 and custom.kernel_p([1.0, 2.0], 99.0) == 1.0
+
+
 def test_upper_medians_of_many_ties_and_few_rows(spark):
     import random
 
