@@ -1000,12 +1000,12 @@ def m17_leafy_first_split(spark, d):
     return leaves.select(side.alias("leaf"), "rows", F.round("Score", 4).alias("value"))
 
 
-_RIDGE = "sign(covar_pop(x, y)) * greatest(abs(covar_pop(x, y)) - {l1}, 0) / (var_pop(x) + {l2})"
+_RIDGE = "sign(covar_pop(x, y)) * greatest(abs(covar_pop(x, y)) / stddev_samp(x) - {l1}, 0) / (var_pop(x) / var_samp(x) + {l2}) / stddev_samp(x)"
 
 
 @query(f"with s as (select min(l_quantity)::double as lo, max(l_quantity)::double as hi from lineitem), r as (select (l_quantity - lo) / (hi - lo) as x, (l_quantity * (1 + l_discount))::double as y from lineitem, s) select 'l2' as penalty, round({_RIDGE.format(l1=0, l2=0.01)}, 1) as slope from r union all select 'l1 and l2', round({_RIDGE.format(l1=1, l2=0.02)}, 1) from r union all select 'large l1', round({_RIDGE.format(l1=100, l2=0.02)}, 1) from r")
 def m13_sdca_closed_form(spark, d):
-    """Slopes over the scaled quantity: ridge regression's, and the soft-thresholded ones of elastic nets."""
+    """Slopes over the scaled quantity: ridge regression's, and the soft-thresholded ones of elastic nets, with penalties at deviation 1."""
     df = _t(spark, d, "lineitem").select("l_quantity", F.expr("l_quantity * (1 + l_discount)").alias("Label"))
     rows = []
     for name, l1, l2 in (("l2", 0.0, 0.01), ("l1 and l2", 1.0, 0.02), ("large l1", 100.0, 0.02)):
@@ -1098,7 +1098,7 @@ def m24_held_out_ratings(spark, d):
     """Held-out error of a planted taste of suppliers for line numbers: less than half of the item means' error."""
     rows = _t(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", F.expr(_TASTE).cast("double").alias("Label"))
     fit, held = rows.where("l_orderkey % 5 <> 0").drop("l_orderkey"), rows.where("l_orderkey % 5 = 0")
-    t = training.train(spec("algo.rec.matrixFactorization", userColumn="l_suppkey", itemColumn="l_linenumber", approximationRank=2, numberOfIterations=10, learningRate=0.2), fit, "Label")
+    t = training.train(spec("algo.rec.matrixFactorization", userColumn="l_suppkey", itemColumn="l_linenumber", approximationRank=2, numberOfIterations=20, learningRate=0.2), fit, "Label")
     means = fit.groupBy("l_linenumber").agg(F.avg("Label").alias("mean"))
     error = lambda c: F.sqrt(F.avg(F.pow(F.col(c) - F.col("Label"), 2)))
     met = training.score(t, held).join(F.broadcast(means), "l_linenumber")  # an item is one of seven line numbers

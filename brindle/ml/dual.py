@@ -8,7 +8,7 @@ are made as if all partitions made the same, so that their sum is safe to add (C
 the primal and dual objectives of the one before; their gap, which bounds the distance from the best objective, ends it.
 
 Squares are fitted to centred features and labels, so the intercept is free of any penalty; classifiers learn theirs as the
-weight of a constant feature, with the l2 penalty but not the l1. A partition's seed is its number and the round's, so a lost
+weight of a constant feature, with the l2 penalty but not the l1. Penalties may be for features of deviation 1, as MLlib's are. A partition's seed is its number and the round's, so a lost
 executor's work is repeated as it was.
 """
 
@@ -35,6 +35,8 @@ from brindle.sources import scratch
 _BLOCK = "x binary, y binary, alpha binary, rows int, moved binary, part int"
 BLOCK_ROWS = 8_192
 LEAST_L2 = 1e-6
+#: Rows that a partition should hold at least.
+PART_ROWS = 5_000
 
 
 class Squares:
@@ -150,7 +152,7 @@ class Fit:
     rounds: int
 
 
-def _blocks(rows: DataFrame, shift: np.ndarray, shift_y: float, constant: bool, outputs: int) -> DataFrame:
+def _blocks(rows: DataFrame, n: int, shift: np.ndarray, scale: np.ndarray, shift_y: float, constant: bool, outputs: int) -> DataFrame:
     """Centred features and labels with dual values of 0, in blocks by partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,16 +166,21 @@ def _blocks(rows: DataFrame, shift: np.ndarray, shift_y: float, constant: bool,
 
         for batch in batches:
             if batch.num_rows:
-                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) - shift
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                x = (x - shift) / scale
                 held.append((np.hstack([x, np.ones((len(x), 1))]) if constant else x, batch.column(1).to_numpy(zero_copy_only=False) - shift_y))
                 if sum(len(v) for _, v in held) >= BLOCK_ROWS:
                     yield block()
         if held:
             yield block()
 
-    spread, cores = rows.select(vector_to_array("features").alias("x"), "label"), rows.sparkSession.sparkContext.defaultParallelism
-    if spread.rdd.getNumPartitions() < cores:
-        spread = spread.repartition(cores)
+    spread = rows.select(vector_to_array("features").alias("x"), "label")
+    # Few rows in many partitions learn little from one another; many in few leave cores idle.
+    wanted, parts = min(rows.sparkSession.sparkContext.defaultParallelism, max(1, n // PART_ROWS)), spread.rdd.getNumPartitions()
+    if parts < wanted:
+        spread = spread.repartition(wanted)
+    elif n < parts * PART_ROWS:
+        spread = spread.coalesce(wanted)
     return spread.mapInArrow(run, _BLOCK)
 
 
@@ -234,12 +241,13 @@ class DualAscent(Estimator, DefaultParamsReadable, DefaultParamsWritable):
     l1 = Param(Params._dummy(), "l1", "l1 penalty", TypeConverters.toFloat)
     l2 = Param(Params._dummy(), "l2", "l2 penalty, 1e-6 at least", TypeConverters.toFloat)
     rounds = Param(Params._dummy(), "rounds", "rounds at most", TypeConverters.toInt)
+    standardize = Param(Params._dummy(), "standardize", "whether penalties are for centred features of deviation 1", TypeConverters.toBoolean)
     tolerance = Param(Params._dummy(), "tolerance", "gap as a share of the objective without weights", TypeConverters.toFloat)
 
     @keyword_only
-    def __init__(self, *, loss: str = "squares", l1: float = 0.01, l2: float = 0.01, rounds: int = 100, tolerance: float = 1e-4):
+    def __init__(self, *, loss: str = "squares", l1: float = 0.01, l2: float = 0.01, rounds: int = 100, tolerance: float = 1e-4, standardize: bool = False):
         super().__init__()
-        self._setDefault(loss="squares", l1=0.01, l2=0.01, rounds=100, tolerance=1e-4)
+        self._setDefault(loss="squares", l1=0.01, l2=0.01, rounds=100, tolerance=1e-4, standardize=False)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> DualModel:
@@ -249,14 +257,19 @@ class DualAscent(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         d = stats["d"] or 0
         squares = p("loss") == "squares"
         loss = Squares() if squares else TwoClasses() if p("loss") == "two" else ManyClasses(int(stats["top"] or 0) + 1)
-        shift = kept.agg(Summarizer.mean(F.col("features")).alias("x")).first()["x"].toArray() if squares and d else np.zeros(d)
+        shift, scale = np.zeros(d), np.ones(d)
+        if d and (squares or p("standardize")):
+            known = kept.agg(Summarizer.mean(F.col("features")).alias("x"), Summarizer.std(F.col("features")).alias("s")).first()
+            shift = known["x"].toArray()
+            if p("standardize"):
+                scale = np.where(known["s"].toArray() > 0, known["s"].toArray(), 1.0)
         shift_y, free = (stats["y"] or 0.0, 0) if squares else (0.0, 1)
         if not stats["n"]:
             return DualModel(np.zeros((loss.outputs, d)).ravel().tolist(), [0.0] * loss.outputs, p("loss"), 0.0, 0.0)
-        blocks = _blocks(kept, shift, shift_y, not squares, loss.outputs)
+        blocks = _blocks(kept, stats["n"], shift, scale, shift_y, not squares, loss.outputs)
         fit = ascend(blocks, loss, stats["n"], d + free, p("l1"), max(p("l2"), LEAST_L2), free=free, rounds=p("rounds"), tolerance=p("tolerance"))
-        w = fit.weights[:, :d]
-        bias = [shift_y - float(w[0] @ shift)] if squares else fit.weights[:, d].tolist()
+        w = fit.weights[:, :d] / scale
+        bias = ((shift_y if squares else fit.weights[:, d]) - w @ shift).tolist()
         return DualModel(w.ravel().tolist(), bias, p("loss"), fit.gap, fit.objective)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from brindle.sources import scratch
 
 CHUNK = 65_536
-BATCH = 512
+BATCH = 128
 #: Ratings that a block row of the grid should hold at least, before there are more blocks than two.
 BLOCK_RATINGS = 250_000
 _FACTORS = "side int, block int, rows binary"

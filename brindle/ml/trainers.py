@@ -94,7 +94,7 @@ def estimator(s: TrainerSpec, n_features: int, seed: int = 42) -> Estimator:
     net = {"regParam": l1 + l2, "elasticNetParam": l1 / (l1 + l2) if l1 + l2 else 0.0, "maxIter": int(p.get("maximumNumberOfIterations", 100))}
     boost = lambda: {"maxDepth": depth_of(int(p["numberOfLeaves"])), "maxIter": int(p["numberOfTrees"]), "minInstancesPerNode": int(p["minimumExampleCountPerLeaf"]), "stepSize": float(p["learningRate"]), "seed": seed}
     forest = lambda: {"maxDepth": depth_of(int(p["numberOfLeaves"])), "numTrees": int(p["numberOfTrees"]), "minInstancesPerNode": int(p["minimumExampleCountPerLeaf"]), "seed": seed}
-    ascent = lambda loss: dual.DualAscent(loss=loss, l1=l1, l2=l2, rounds=net["maxIter"], tolerance=float(p.get("tolerance", 1e-4)))
+    ascent = lambda loss: dual.DualAscent(loss=loss, l1=l1, l2=l2, rounds=net["maxIter"], tolerance=float(p.get("tolerance", 1e-4)), standardize=True)
     leafy = lambda loss: boosting.LeafwiseBoosting(loss=loss, trees=int(p["numberOfTrees"]), leaves=int(p["numberOfLeaves"]), leastRows=int(p["minimumExampleCountPerLeaf"]), rate=float(p["learningRate"]))
     from brindle.ml import boosting, custom, dual, orthant
 
