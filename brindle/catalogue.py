@@ -1003,12 +1003,12 @@ def m17_leafy_first_split(spark, d):
 _RIDGE = "sign(covar_pop(x, y)) * greatest(abs(covar_pop(x, y)) / stddev_samp(x) - {l1}, 0) / (var_pop(x) / var_samp(x) + {l2}) / stddev_samp(x)"
 
 
-@query(f"with s as (select min(l_quantity)::double as lo, max(l_quantity)::double as hi from lineitem), r as (select (l_quantity - lo) / (hi - lo) as x, (l_quantity * (1 + l_discount))::double as y from lineitem, s) select 'l2' as penalty, round({_RIDGE.format(l1=0, l2=0.01)}, 1) as slope from r union all select 'l1 and l2', round({_RIDGE.format(l1=1, l2=0.02)}, 1) from r union all select 'large l1', round({_RIDGE.format(l1=100, l2=0.02)}, 1) from r")
+@query(f"with s as (select min(l_quantity)::double as lo, max(l_quantity)::double as hi from lineitem), r as (select (l_quantity - lo) / (hi - lo) as x, (l_quantity * (1 + l_discount))::double as y from lineitem, s) select 'l2' as penalty, round({_RIDGE.format(l1=0, l2=0.5)}, 1) as slope from r union all select 'l1 and l2', round({_RIDGE.format(l1=1, l2=0.5)}, 1) from r union all select 'large l1', round({_RIDGE.format(l1=100, l2=0.5)}, 1) from r")
 def m13_sdca_closed_form(spark, d):
     """Slopes over the scaled quantity: ridge regression's, and the soft-thresholded ones of elastic nets, with penalties at deviation 1."""
     df = _t(spark, d, "lineitem").select("l_quantity", F.expr("l_quantity * (1 + l_discount)").alias("Label"))
     rows = []
-    for name, l1, l2 in (("l2", 0.0, 0.01), ("l1 and l2", 1.0, 0.02), ("large l1", 100.0, 0.02)):
+    for name, l1, l2 in (("l2", 0.0, 0.5), ("l1 and l2", 1.0, 0.5), ("large l1", 100.0, 0.5)):
         t = training.train(spec("algo.reg.sdca", l1Regularization=l1, l2Regularization=l2, tolerance=1e-10), df, "Label", ["l_quantity"])
         rows.append((name, round(t.model.stages[-1].getOrDefault("weights")[0], 1)))
     return spark.createDataFrame(rows, "penalty string, slope double")
