@@ -114,14 +114,22 @@ def s7_json_lines_round_trip(spark, d):
     return readers.read_json(spark, path, infer=False, lines=True).select("p_partkey", "p_name", F.col("p_size").cast("int").alias("p_size"), "p_retailprice")
 
 
-@query("select 'Bandung' as kota, 10.0::double as jumlah union all select 'Jakarta', 20.5 union all select null, null")
+def _nation_csv(spark, d) -> str:
+    """The 25 nations as text, in the form that a user types or a server sends."""
+    rows = _t(spark, d, "nation").orderBy("n_nationkey").collect()
+    return "n_name,share\n" + "".join(f" {r.n_name} ,{r.n_nationkey / 4 if r.n_regionkey else ''}\n" for r in rows)
+
+
+@query("select n_name, case when n_regionkey <> 0 then n_nationkey / 4.0::double end as share from nation")
 def s4_inline_rows(spark, d):
-    return readers.inline_csv(spark, "kota,jumlah\nBandung,10\n Jakarta ,20.5\n,\n")
+    return readers.inline_csv(spark, _nation_csv(spark, d))
 
 
-@query("select 1.0::double as a, 'x' as b, null::varchar as c union all select 2.0, null, 'z'")
+@query("select n_nationkey::double as a, case when n_regionkey = 1 then n_name end as b, case when n_regionkey <> 1 then n_regionkey::double end as c from nation")
 def s6_wrapped_json(spark, d):
-    return readers.from_json_text(spark, '{"items": [{"a": 1, "b": "x"}, {"a": 2, "c": "z"}, 7]}')
+    nation = _t(spark, d, "nation").select(F.col("n_nationkey").alias("a"), F.when(F.col("n_regionkey") == 1, F.col("n_name")).alias("b"), F.when(F.col("n_regionkey") != 1, F.col("n_regionkey")).alias("c"))
+    array = workspace.to_json_array(nation).first().json
+    return readers.from_json_text(spark, f'{{"items": {array[:-1]}, 7]}}').select("a", "b", "c")
 
 
 @query("select c_mktsegment, count(*) as customers from customer where c_acctbal > 0 group by 1")
@@ -130,9 +138,9 @@ def s2_sql_over_views(spark, d):
     return readers.read_sql(spark, "select c_mktsegment, count(*) as customers from brindle_customer where c_acctbal > 0 group by 1")
 
 
-@query("select 1.0::double as x, 'a' as y union all select 2.0, 'b'")
+@query("select n_name, case when n_regionkey <> 0 then n_nationkey / 4.0::double end as share from nation")
 def s3_web_csv(spark, d):
-    return readers.read_web(spark, "https://example.org/rows.csv", "Csv", "Accept: text/csv", get=lambda url, headers: "x,y\n1,a\n2,b\n")
+    return readers.read_web(spark, "https://example.org/rows.csv", "Csv", "Accept: text/csv", get=lambda url, headers: _nation_csv(spark, d))
 
 
 @query("select 'first' as name, 25 as n_rows union all select 'second', 5")
@@ -638,10 +646,14 @@ def u4_expression_script(spark, d):
 # ---- readers' helpers ----------------------------------------------------------------------------------------------
 
 
-@query("select * from (values ('a.csv', 'Csv'), ('b.TSV', 'Tsv'), ('c.tab', 'Tsv'), ('d.json', 'Json'), ('e.ndjson', 'Json'), ('f.parquet', 'Parquet'), ('g', 'Csv')) v(name, format)")
+_FILES = "(select page_id, 'p' || page_id || case page_id % 8 when 0 then '.csv' when 1 then '.TSV' when 2 then '.tab' when 3 then '.json' when 4 then '.v2.ndjson' when 5 then '.parquet' when 6 then '' else '.Jsonl' end as name from pages)"
+
+
+@query(f"select page_id, name, case when name ilike '%.tsv' or name ilike '%.tab' then 'Tsv' when name ilike '%json' or name ilike '%.jsonl' then 'Json' when name ilike '%.parquet' then 'Parquet' else 'Csv' end as format from {_FILES}")
 def s9_format_guess(spark, d):
-    names = ["a.csv", "b.TSV", "c.tab", "d.json", "e.ndjson", "f.parquet", "g"]
-    return spark.createDataFrame([(n, readers.guess_format(n)) for n in names], "name string, format string")
+    _t(spark, d, "pages").select("page_id").createOrReplaceTempView("brindle_pages")
+    files = spark.sql(f"select * from {_FILES}".replace("from pages", "from brindle_pages"))
+    return files.select("page_id", "name", readers.format_of(F.col("name")).alias("format"))
 
 
 @query("select 25::bigint as rows")
@@ -661,10 +673,11 @@ def sc5_truncated(spark, d):
     return _t(spark, d, "documents").select("doc_id", scalars.truncated(F.col("text"), 100).alias("shown"))
 
 
-@query("select 7::bigint as hours")
+@query("select c_custkey, (case c_nationkey % 3 when 0 then 7 when 1 then 0 else 9 end)::bigint as hours from customer")
 def sc10_now_in_zone(spark, d):
-    there, here = scalars.now_in("Asia/Jakarta"), scalars.now_in("UTC")
-    return spark.range(1).select(F.timestamp_diff("HOUR", here, there).alias("hours"))
+    """Each customer's local hour against UTC's."""
+    zone = F.element_at(F.array(F.lit("Asia/Jakarta"), F.lit("UTC"), F.lit("Asia/Tokyo")), (F.col("c_nationkey") % 3 + 1).cast("int"))
+    return _t(spark, d, "customer").select("c_custkey", F.timestamp_diff("HOUR", scalars.now_in("UTC"), scalars.now_in(zone)).alias("hours"))
 
 
 # ---- scalar functions ----------------------------------------------------------------------------------------------
@@ -760,15 +773,18 @@ def q15_last_messages(spark, d):
 
 # ---- images and meshes ---------------------------------------------------------------------------------------------
 
-_PIXELS = "(select i as image, x, y, (x * 7 + y * 3 + i) % 256 as r, (x * y) % 256 as g, (x + 2 * y) % 256 as b, case when (x + y) % 9 = 0 then 3 else 255 end as a from range(3) t(i), range(20) u(x), range(16) v(y))"
+#: Each whole vector as a picture of 8 x 8 pixels.
+_PIXELS = """(select vec_id as image, i % 8 as x, i // 8 as y, floor(abs(c) * 1000)::int % 256 as r, floor(abs(c) * 3000)::int % 256 as g, (floor(abs(c) * 1000)::int + i) % 256 as b, case when c > 0.2 then 3 else 255 end as a
+    from (select vec_id, unnest(embedding)::double as c, generate_subscripts(embedding, 1)::int - 1 as i from embeddings where len(list_filter(embedding, lambda c: isfinite(c))) = 64))"""
 
 
-def _pixels(spark):
-    base = spark.range(3 * 20 * 16).select((F.col("id") % 3).alias("image"), F.floor(F.col("id") / 3 % 20).alias("x"), F.floor(F.col("id") / 60).alias("y"))
-    return base.selectExpr("cast(image as int) image", "cast(x as int) x", "cast(y as int) y", "cast((x * 7 + y * 3 + image) % 256 as int) r", "cast((x * y) % 256 as int) g", "cast((x + 2 * y) % 256 as int) b", "case when (x + y) % 9 = 0 then 3 else 255 end a")
+def _pixels(spark, d):
+    whole = _t(spark, d, "embeddings").where("size(filter(embedding, c -> abs(c) < double('inf'))) = 64")
+    each = whole.select("vec_id", F.posexplode("embedding").alias("i", "v")).select("vec_id", "i", F.col("v").cast("double").alias("c"))
+    return each.selectExpr("vec_id as image", "i % 8 as x", "cast(i div 8 as int) as y", "int(floor(abs(c) * 1000)) % 256 as r", "int(floor(abs(c) * 3000)) % 256 as g", "(int(floor(abs(c) * 1000)) + i) % 256 as b", "if(c > 0.2, 3, 255) as a")
 
 
-_DEPTH = f"(select image, x, y, a, least(greatest(0.55 * (0.299 * r + 0.587 * g + 0.114 * b) / 255 + 0.45 * (1 - sqrt((x / 19.0 * 2 - 1) ** 2 + (y / 15.0 * 2 - 1) ** 2) / sqrt(2)), 0), 1)::double as depth from {_PIXELS})"
+_DEPTH = f"(select image, x, y, a, least(greatest(0.55 * (0.299 * r + 0.587 * g + 0.114 * b) / 255 + 0.45 * (1 - sqrt((x / 7.0 * 2 - 1) ** 2 + (y / 7.0 * 2 - 1) ** 2) / sqrt(2)), 0), 1)::double as depth from {_PIXELS})"
 
 
 @query("select n_nationkey, greatest(8, least(512, floor(h * ar)))::int as w, greatest(8, least(512, h))::int as h from (select n_nationkey, ar, floor(sqrt(40000.0 / ar)) as h from (select n_nationkey, (n_nationkey + 1) / 7.0 as ar from nation))")
@@ -778,14 +794,14 @@ def g1_target_size(spark, d):
     return n.select("n_nationkey", w.alias("w"), h.alias("h"))
 
 
-@query(f"select image::int as image, x::int as x, y::int as y, round(depth, 8) as depth from {_DEPTH}")
+@query(f"select image, x::int as x, y::int as y, round(depth, 8) as depth from {_DEPTH}")
 def g3_depth(spark, d):
-    return imaging.depth(_pixels(spark)).select("image", "x", "y", F.round("depth", 8).alias("depth"))
+    return imaging.depth(_pixels(spark, d)).select("image", "x", "y", F.round("depth", 8).alias("depth"))
 
 
-@query(f"with d as {_DEPTH} select p.image::int as image, p.x::int as x, p.y::int as y, round((avg(q.depth) - 0.5) * 0.6, 8) as pz from d p join d q on p.image = q.image and abs(p.x - q.x) <= 1 and abs(p.y - q.y) <= 1 where p.a >= 8 group by all")
+@query(f"with d as {_DEPTH} select p.image as image, p.x::int as x, p.y::int as y, round((avg(q.depth) - 0.5) * 0.6, 8) as pz from d p join d q on p.image = q.image and abs(p.x - q.x) <= 1 and abs(p.y - q.y) <= 1 where p.a >= 8 group by all")
 def g4_g5_points(spark, d):
-    return imaging.points(_pixels(spark)).select("image", "x", "y", F.round("pz", 8).alias("pz"))
+    return imaging.points(_pixels(spark, d)).select("image", "x", "y", F.round("pz", 8).alias("pz"))
 
 
 def _lanczos_sql(axis: str, source: int, target: int) -> str:
@@ -795,37 +811,59 @@ def _lanczos_sql(axis: str, source: int, target: int) -> str:
     return f"(select i as {axis}, o as {axis}o, case when abs({t}) < 1e-9 then 1.0 when abs({t}) >= 3 then 0.0 else sin(pi() * {t}) / (pi() * {t}) * sin(pi() * {t} / 3) / (pi() * {t} / 3) end as {axis}w from range({source}) s(i), range({target}) q(o))"
 
 
-def _resized_sql(width: int, height: int) -> str:
+def _resized_sql(width: int, height: int, rows: int = 8, pixels: str = _PIXELS) -> str:
     shown = ", ".join(f"least(greatest(round(round(sum(xw * yw * {c}) / sum(xw * yw), 6)), 0), 255)::int as {c}" for c in "rgba")
-    return f"select image::int as image, xo::int as x, yo::int as y, {shown} from {_PIXELS} join {_lanczos_sql('x', 20, width)} using (x) join {_lanczos_sql('y', 16, height)} using (y) group by 1, 2, 3"
+    return f"select image, xo::int as x, yo::int as y, {shown} from {pixels} join {_lanczos_sql('x', 8, width)} using (x) join {_lanczos_sql('y', rows, height)} using (y) group by 1, 2, 3"
+
 
+def _tall(spark, d):
+    """The same pictures twice over each other, so that there are rows to give up."""
+    again = _pixels(spark, d)
+    return again.unionByName(again.withColumn("y", F.col("y") + 8))
 
-@query(_resized_sql(10, 8))
+
+@query(_resized_sql(8, 11, 16, f"(select * from {_PIXELS} union all select image, x, y + 8, r, g, b, a from {_PIXELS})"))
 def g2_resized_smaller(spark, d):
-    return imaging.resize(_pixels(spark), 80)
+    return imaging.resize(_tall(spark, d), 64)
 
 
-@query(_resized_sql(35, 28))
+@query(_resized_sql(15, 15))
 def g2_resized_larger(spark, d):
-    return imaging.resize(_pixels(spark), 1000)
+    return imaging.resize(_pixels(spark, d), 230)
 
 
 @query("select count(*) as n, (count(*) * 32)::bigint as bytes from " + _PIXELS + " where a >= 8")
 def g6_splat_records(spark, d):
-    return imaging.splat_rows(imaging.points(_pixels(spark))).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("bytes")).alias("bytes"))
+    return imaging.splat_rows(imaging.points(_pixels(spark, d))).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("bytes")).alias("bytes"))
+
+
+_HEIGHTS = f"(select image, x, y, x / 7.0 * 2 - 1 as px, 1 - y / 7.0 * 2 as py, (depth - 0.5) * 0.6 as pz from {_DEPTH})"
 
 
-@query("select (j * 9 + i)::bigint as id, round(-i / 4.0 + 1, 8) as slope from range(9) t(i), range(5) u(j)")
+@query(f"select image, x::int as x, y::int as y, round(px, 8)::double as px, round(py, 8)::double as py, round(pz, 8) as pz, (x < 7 and y < 7)::int * 2 as triangles from {_HEIGHTS}")
 def g8_grid_mesh(spark, d):
-    vertices, _ = imaging.grid_mesh(spark, 9, 5)
-    return vertices.select("id", F.round(-F.col("x"), 8).alias("slope"))
+    """The surface of each picture: its vertices, and the triangles that begin at each of them."""
+    vertices, triangles = imaging.height_mesh(imaging.depth(_pixels(spark, d)))
+    begun = triangles.groupBy(F.col("quad").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("triangles"))
+    shown = [(F.round(c, 8) + F.lit(0.0)).alias(c[-2:]) for c in ("px", "py", "pz")]
+    placed = vertices.select("id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
+    return placed.join(begun, "id", "left").select("id.image", "id.x", "id.y", *shown, F.coalesce("triangles", F.lit(0)).alias("triangles"))
+
+
+_NORMALS = f"""with v as materialized {_HEIGHTS},
+  q as (select a.image, a.x, a.y, a.px as ax, a.py as ay, a.pz as az, b.px as bx, b.py as "by", b.pz as bz, c.px as cx, c.py as cy, c.pz as cz, d.px as dx, d.py as dy, d.pz as dz
+    from v a join v b on b.image = a.image and b.x = a.x + 1 and b.y = a.y join v c on c.image = a.image and c.x = a.x and c.y = a.y + 1 join v d on d.image = a.image and d.x = a.x + 1 and d.y = a.y + 1),
+  t as (select image, [[x, y], [x + 1, y], [x, y + 1]] as corners, bx - ax as ux, "by" - ay as uy, bz - az as uz, cx - ax as vx, cy - ay as vy, cz - az as vz from q
+    union all select image, [[x + 1, y], [x + 1, y + 1], [x, y + 1]], dx - bx, dy - "by", dz - bz, cx - bx, cy - "by", cz - bz from q),
+  n as (select image, unnest(corners) as spot, uy * vz - uz * vy as nx, uz * vx - ux * vz as ny, ux * vy - uy * vx as nz from t),
+  s as (select image, spot[1]::int as x, spot[2]::int as y, sum(nx) as nx, sum(ny) as ny, sum(nz) as nz from n group by all)
+  select image, x, y, round(nx / sqrt(nx * nx + ny * ny + nz * nz), 6) as nx, round(ny / sqrt(nx * nx + ny * ny + nz * nz), 6) as ny, round(nz / sqrt(nx * nx + ny * ny + nz * nz), 6) as nz from s"""
 
 
-@query("select (j * 6 + i)::bigint as id, 0.0::double as nx, -0.70710678::double as ny, 0.70710678::double as nz from range(6) t(i), range(4) u(j)")
+@query(_NORMALS)
 def g8_vertex_normals(spark, d):
-    vertices, triangles = imaging.grid_mesh(spark, 6, 4, "y")
-    n = imaging.vertex_normals(vertices, triangles)
-    return n.select("id", *[(F.round(c, 8) + F.lit(0.0)).alias(c) for c in ("nx", "ny", "nz")])
+    n = imaging.vertex_normals(*imaging.height_mesh(imaging.depth(_pixels(spark, d))))
+    return n.select("id.image", "id.x", "id.y", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("nx", "ny", "nz")])
 
 
 # ---- windows over the event stream (batch form) --------------------------------------------------------------------

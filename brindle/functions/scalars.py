@@ -107,7 +107,7 @@ def days_between(first: Column, second: Column) -> Column:
     return F.datediff(second, first)
 
 
-def now_in(zone: str) -> Column:
+def now_in(zone: str | Column) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), F.current_timestamp().cast("timestamp_ntz"))
 
 

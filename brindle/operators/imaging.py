@@ -130,6 +130,21 @@ def grid_mesh(spark, columns: int, rows: int, height: str = "0.0") -> tuple[Data
     return vertices, corner.select(pair).select("t.a", "t.b", "t.c")
 
 
+def height_mesh(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The surfaces of pixel frames with ``depth``: vertices (id, x, y, z), and triangles (a, b, c) of the ids with their ``quad``.
+
+    An id is the picture with the pixel's place; each pixel with neighbours to the right and below begins a quad of two
+    triangles. Neighbours follow from the picture's size, so no join finds them; missing pixels leave holes once the
+    triangles meet the vertices."""
+    place = lambda right, below: F.struct("image", (F.col("x") + right).cast("int").alias("x"), (F.col("y") + below).cast("int").alias("y"))
+    at = lambda c, n: F.col(c) / F.greatest(F.lit(1), F.col(n) - 1) * 2
+    vertices = frame.select(place(0, 0).alias("id"), (at("x", "w") - 1).alias("x"), (1 - at("y", "h")).alias("y"), ((F.col("depth") - 0.5) * 0.6).alias("z"))
+    a, b, c, d = place(0, 0), place(1, 0), place(0, 1), place(1, 1)
+    pair = F.explode(F.array(F.struct(a.alias("a"), b.alias("b"), c.alias("c")), F.struct(b.alias("a"), d.alias("b"), c.alias("c")))).alias("t")
+    quads = frame.where((F.col("x") < F.col("w") - 1) & (F.col("y") < F.col("h") - 1)).select(a.alias("quad"), pair)
+    return vertices, quads.select("quad", "t.a", "t.b", "t.c")
+
+
 def tube_mesh(spark, along: int, around: int, radius: float = 0.2, x: str = "cos(t)", y: str = "sin(t)") -> tuple[DataFrame, DataFrame]:
     """A tube swept along a plane curve of ``t`` in 0..2 pi: rings whose frame is the curve's normal and the z axis."""
     step = 2 * math.pi / along

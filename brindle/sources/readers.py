@@ -8,7 +8,7 @@ import json
 import urllib.request
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,10 +19,18 @@ WRAPPERS = ("data", "items", "results", "rows", "value")
 DRIVERS = {"sqlite": "org.sqlite.JDBC", "sqlserver": "com.microsoft.sqlserver.jdbc.SQLServerDriver", "mysql": "com.mysql.cj.jdbc.Driver", "postgresql": "org.postgresql.Driver"}
 
 
+FORMATS = {"tsv": "Tsv", "tab": "Tsv", "json": "Json", "jsonl": "Json", "ndjson": "Json", "parquet": "Parquet"}
+
+
 def guess_format(name: str) -> str:
     """Tsv, Json or Parquet by suffix, else Csv."""
-    suffix = name.lower().rsplit(".", 1)[-1]
-    return {"tsv": "Tsv", "tab": "Tsv", "json": "Json", "jsonl": "Json", "ndjson": "Json", "parquet": "Parquet"}.get(suffix, "Csv")
+    return FORMATS.get(name.lower().rsplit(".", 1)[-1], "Csv")
+
+
+def format_of(name: Column) -> Column:
+    """``guess_format`` of a column of names."""
+    known = F.create_map(*[F.lit(x) for pair in FORMATS.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, F.substring_index(F.lower(name), ".", -1)), F.lit("Csv"))
 
 
 def named_headers(names: Iterable[str | None]) -> list[str]:
