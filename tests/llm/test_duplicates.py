@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from pathlib import Path
 
 import numpy as np
@@ -406,6 +407,48 @@ def test_line_dedup_sees_past_an_earlier_part_of_a_run(docs_of):
     assert cuts == brute_cuts(dict(enumerate(texts))) and cuts[3] == {1, 2} and cuts[5] == {1, 2} and cuts[6] == {2, 3} and cuts[9] == {1, 2}
 
 
+def test_op8_query_matches_brute_force(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in registry.documents(spark, sf_dir).collect()}
+    cuts = brute_cuts(texts)
+    for r in registry.op8_line_dedup(spark, sf_dir).collect():
+        words = {i for i, x in enumerate((texts[r.doc_id] or "").split("\n")) if WORDS.search(x)}
+        listed = [i for c in r.removed for i in range(c.first_line, c.last_line + 1)]
+        assert r.n_removed_runs == len(r.removed) and len(listed) == len(set(listed)) and set(listed) & words == cuts[r.doc_id]
+        assert all(a.last_line + 1 < b.first_line for a, b in zip(r.removed, r.removed[1:]))
+        kept = None if texts[r.doc_id] is None else "\n".join(x for i, x in enumerate(texts[r.doc_id].split("\n")) if i not in set(listed))
+        assert r.kept_chars == (None if kept is None else len(kept)) and r.kept_sha256 == (None if kept is None else hashlib.sha256(kept.encode()).hexdigest())
+
+
+def test_line_windows_select_minima(docs_of):
+    rnd = random.Random(21)
+    block = [sentence(rnd, 10) for _ in range(12)]
+    docs = docs_of(["\n".join([sentence(rnd, 10) for _ in range(40)] + block), "\n".join(block + [sentence(rnd, 10) for _ in range(40)])])
+    marks = linededup.windows(linededup.lines(docs), 50)
+    chosen = linededup.fingerprints(marks)
+    assert chosen.count() < 104 / 2 < marks.count()
+    shared = collections.Counter(r.low for r in chosen.collect())
+    assert any(n == 2 for n in shared.values())
+    got = linededup.dedup_lines(docs).orderBy("doc_id").collect()
+    assert not got[0].removed and [tuple(c) for c in got[1].removed] == [(0, 11)]
+
+
+def test_line_dedup_cuts_blank_lines_between_long_ones(docs_of):
+    rnd = random.Random(22)
+    a, b, c = (sentence(rnd, 60) for _ in range(3))
+    got = linededup.dedup_lines(docs_of([a, f"{a}\n\n{b}", f"{a}\n\n{b}\n\n{c}", f"{b}\n\n{a}"])).orderBy("doc_id").collect()
+    assert [r.text for r in got] == [a, f"\n{b}", f"\n{c}", ""]
+
+
+def test_many_recurring_lines_in_one_document(docs_of):
+    rnd = random.Random(23)
+    known = [sentence(rnd, 50) for _ in range(200)]
+    text = "\n".join(rnd.choice(known) for _ in range(32_000))
+    linededup.dedup_lines(docs_of(["a b"])).collect()
+    began = time.time()
+    r = linededup.dedup_lines(docs_of([text])).first()
+    assert time.time() - began < 15 and sorted(r.text.split("\n")) == sorted(set(text.split("\n"))) and len(r.removed) <= 200
+
+
 def test_line_dedup_edges(edge_docs, docs_of):
     out = linededup.dedup_lines(edge_docs)
     assert out.count() == 11 and out.where("doc_id = 5 and size(removed) = 0").count() == 1
