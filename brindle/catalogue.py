@@ -16,7 +16,7 @@ from brindle.operators import aggregates, completions, evaluate, features, imagi
 from brindle.plans.compiler import compile_graph
 from brindle.plans.graph import Graph
 from brindle.sources import catalogue as workspace
-from brindle.sources import readers, scratch
+from brindle.sources import arrays, readers, scratch
 from brindle.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +120,15 @@ def _nation_csv(spark, d) -> str:
     return "n_name,share\n" + "".join(f" {r.n_name} ,{r.n_nationkey / 4 if r.n_regionkey else ''}\n" for r in rows)
 
 
+@query("select doc_id, text, lang, source, n_chars from documents")
+def s7_split_json_array(spark, d):
+    """All documents written as one JSON array by many tasks, and read back by many."""
+    path = scratch.folder(spark)
+    docs = _t(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    arrays.write_array(docs, path)
+    return readers.read_json_array(spark, path, infer=False).select("doc_id", "text", "lang", "source", F.col("n_chars").cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+
+
 @query("select n_name, case when n_regionkey <> 0 then n_nationkey / 4.0::double end as share from nation")
 def s4_inline_rows(spark, d):
     return readers.inline_csv(spark, _nation_csv(spark, d))

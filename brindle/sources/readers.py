@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.functions import semantics as S
+from brindle.sources import arrays, scratch
 
 # Keys under which a JSON object may wrap its rows, and JDBC drivers by provider.
 WRAPPERS = ("data", "items", "results", "rows", "value")
@@ -71,6 +72,13 @@ def read_json(spark: SparkSession, path: str, limit: int = 0, infer: bool = True
     return S.typed(df.select(*flat))
 
 
+def read_json_array(spark: SparkSession, path: str, limit: int = 0, infer: bool = True) -> DataFrame:
+    """A large array of objects, in one file or many: split between tasks, laid down as lines, and read as those."""
+    lines = scratch.folder(spark)
+    arrays.elements(spark, path).write.text(lines)
+    return read_json(spark, lines, limit, infer, lines=True)
+
+
 def read_parquet(spark: SparkSession, path: str, limit: int = 0, infer: bool = False) -> DataFrame:
     """Columns keep their stored types; ``infer`` types text columns anew."""
     df = spark.read.parquet(path)
