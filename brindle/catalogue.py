@@ -635,6 +635,51 @@ def _add_total(part):
     return part
 
 
+class _Balance:
+    """A customer's running total of cents, and whether the order is the largest so far."""
+
+    def __init__(self):
+        self.total, self.largest = 0, -1
+
+    def feed(self, row):
+        self.total += row["cents"]
+        yield {"o_orderkey": row["o_orderkey"], "o_custkey": row["o_custkey"], "total": self.total, "record": row["cents"] > self.largest}
+        self.largest = max(self.largest, row["cents"])
+
+
+@query("""select o_orderkey, o_custkey, sum(cents) over w::bigint as total, cents > coalesce(max(cents) over (partition by o_custkey order by o_orderdate, o_orderkey rows between unbounded preceding and 1 preceding), -1) as record
+    from (select *, floor(o_totalprice * 100)::bigint as cents from orders) window w as (partition by o_custkey order by o_orderdate, o_orderkey rows unbounded preceding)""")
+def u1_running_balance(spark, d):
+    """A script of whole groups without a schema, fed in order."""
+    orders = _t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", F.floor(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    return scripts.streamed_script(orders, _Balance, ["o_custkey"], ["o_orderdate", "o_orderkey"])
+
+
+class _PaidShare:
+    """Cents a customer ordered, beside the balance that the second table gives first."""
+
+    def __init__(self):
+        self.balance, self.cents, self.key = None, 0, None
+
+    def feed(self, row):
+        self.key = row["key"]
+        if row["source"] == 2:
+            self.balance = row["balance"]
+        else:
+            self.cents += row["cents"]
+        return ()
+
+    def finish(self):
+        yield {"key": self.key, "cents": self.cents, "balance": self.balance or 0.0}
+
+
+@query("select c_custkey as key, coalesce(sum(floor(o_totalprice * 100)), 0)::bigint as cents, c_acctbal as balance from customer left join orders on o_custkey = c_custkey group by all")
+def u1_two_tables(spark, d):
+    orders = _t(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.floor(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    customers = _t(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("balance"))
+    return scripts.streamed_script(orders, _PaidShare, ["key"], second=customers)
+
+
 @query("select l_orderkey, l_linenumber, l_quantity, l_quantity * 2 as total from lineitem")
 def u1_python_script(spark, d):
     li = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
