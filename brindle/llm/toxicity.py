@@ -1,7 +1,9 @@
 """Toxicity: a linear-chain conditional random field over words, trained on tokens labelled from document labels.
 
-Sequences are sentences (ended by ``. ! ?`` or a line break), cut at ``LONGEST`` words. A word's features are itself,
-its first 4, 5 and 6 bytes and its two neighbours, hashed; transitions between the two states are learned too.
+Sequences are sentences (ended by ``. ! ?`` or a line break) of any length; words are stripped of all outer punctuation
+(of punctuation alone, one mark is left). A word's features are itself, its first 4, 5 and 6 bytes and its two neighbours,
+hashed; transitions between the two states are learned too. Passes over long sequences go block by block: each block's
+sums over paths are found for all blocks at once and then chained, which gives the same marginals.
 
 Token labels come from the labelled documents: a word in a toxic document is toxic if it, or a prefix of it, occurs in at
 least ``least`` toxic documents of the sample and ``odds`` times likelier there than in the others. At most
@@ -11,7 +13,8 @@ tasks of ``shard_rows`` rows or more, ``shards`` at most, that each fit by AdaGr
 A document's score joins the marginals from forward and backward passes: one minus the product of ``1 - p`` over words with
 ``p >= 0.2``, or the largest ``p`` if there are none. Words with ``p >= 0.5`` are reported by code-point offsets, end
 exclusive, touching ones joined. Null and empty texts have no words and score 0. Without toxic labels every score is near 0.
-Null labels are left out; of several labels of one id the largest counts. Other columns are kept.
+Null labels are left out; of several labels of one id the largest counts. Other columns are kept; repeated rows score
+alike, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ from pyspark.sql import functions as F
 from brindle.llm import common
 from brindle.llm.quality import labelled_sample
 
-LONGEST = 100
+#: Words of a sequence that are gone through one after the other.
+BLOCK = 64
 _SEEDS = [np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9E6C63D0676A9A99, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _PREFIXES = (4, 5, 6)
 _ENDS = np.zeros(256, bool)
@@ -54,16 +58,15 @@ class Words:
         data = common.LOWER[data]
         stop = _ENDS[data[ends - 1]] if len(ends) else np.zeros(0, bool)
         lines = np.r_[0, np.cumsum(data == 10)]
-        for _ in range(4):  # outer punctuation, four marks a side at most
-            starts = starts + (_TRIM[data[starts]] & (ends - starts > 1)) if len(starts) else starts
-            ends = ends - (_TRIM[data[ends - 1]] & (ends - starts > 1)) if len(ends) else ends
+        inner = np.r_[np.flatnonzero(~_TRIM[data]), len(data)]  # bytes that are no punctuation
+        left, right = inner[np.searchsorted(inner, starts)], inner[np.searchsorted(inner, ends) - 1] + 1
+        some = left < ends
+        starts, ends = np.where(some, left, ends - 1), np.where(some, right, ends)
         fresh = np.ones(len(starts), bool)
         if len(starts):
             fresh[1:] = stop[:-1] | (doc[1:] != doc[:-1]) | (lines[starts[1:]] != lines[starts[:-1]])
-        first = np.flatnonzero(fresh)
-        rank = np.arange(len(starts)) - np.repeat(first, np.diff(np.r_[first, len(starts)]))
         own = [common.span_hashes(data, starts, ends)] + [common.mix(common.span_hashes(data, starts, np.minimum(ends, starts + k)) + np.uint64(k)) for k in _PREFIXES] if len(starts) else [np.zeros(0, np.uint64)] * 4
-        return cls(doc, starts, ends, np.stack(own, axis=1), np.flatnonzero(rank % LONGEST == 0)), data
+        return cls(doc, starts, ends, np.stack(own, axis=1), np.flatnonzero(fresh)), data
 
     def features(self, bits: int) -> np.ndarray:
         """A row of feature numbers per word; a neighbour beyond the sequence counts as a word of its own."""
@@ -85,35 +88,71 @@ class CrfModel:
     bits: int
 
 
-def passes(emission: np.ndarray, begin: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Log forward and backward scores of both states of every word, each sequence's log total, and its number by word.
+def _ahead(found: np.ndarray, emission: np.ndarray, start: np.ndarray, size: np.ndarray, move: np.ndarray) -> None:
+    """Fill forward scores behind those of each run's first word; all runs advance together, longest first."""
+    order = np.argsort(-size, kind="stable")
+    start, size = start[order], size[order]
+    for t in range(1, int(size[0]) if len(size) else 0):
+        at = start[: np.searchsorted(-size, -t, side="left")] + t
+        o, x = found[at - 1, 0], found[at - 1, 1]
+        found[at, 0] = np.logaddexp(o + move[0, 0], x + move[1, 0])
+        found[at, 1] = emission[at] + np.logaddexp(o + move[0, 1], x + move[1, 1])
 
-    All sequences advance together, longest first, so a step is one array operation over those still running."""
-    n = len(emission)
-    size = np.diff(np.r_[begin, n])
+
+def _back(found: np.ndarray, emission: np.ndarray, start: np.ndarray, size: np.ndarray, move: np.ndarray) -> None:
+    """Fill backward scores before those of each run's last word."""
     order = np.argsort(-size, kind="stable")
-    start, size = begin[order], size[order]
+    start, size = start[order], size[order]
+    for t in range((int(size[0]) if len(size) else 0) - 2, -1, -1):
+        at = start[: np.searchsorted(-size, -(t + 1), side="left")] + t
+        o, x = found[at + 1, 0], found[at + 1, 1] + emission[at + 1]
+        found[at, 0] = np.logaddexp(o + move[0, 0], x + move[0, 1])
+        found[at, 1] = np.logaddexp(o + move[1, 0], x + move[1, 1])
+
+
+def _after(vectors: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Rows of two log scores times 2 x 2 log matrices."""
+    return np.logaddexp(vectors[:, 0, None] + steps[:, 0], vectors[:, 1, None] + steps[:, 1])
+
+
+def passes(emission: np.ndarray, begin: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Log forward and backward scores of both states of every word, each sequence's log total, and its number by word."""
+    n = len(emission)
+    sizes = np.diff(np.r_[begin, n])
+    blocks = -(-sizes // BLOCK)
+    head = np.cumsum(blocks) - blocks  # first block of each sequence
+    chain = np.repeat(np.arange(len(begin)), blocks)
+    start = begin[chain] + (np.arange(len(chain)) - head[chain]) * BLOCK
+    size = np.minimum(BLOCK, (begin + sizes)[chain] - start)
+    last = start + size - 1
     forward, backward = np.zeros((n, 2)), np.zeros((n, 2))
-    longest = int(size[0]) if len(size) else 0
-    running = np.searchsorted(-size, -np.arange(longest), side="left")  # sequences longer than t
-    join = np.logaddexp
-    for t in range(longest):
-        at = start[: running[t]] + t
-        if t == 0:
-            forward[at, 1] = emission[at]
-            continue
-        o, x = forward[at - 1, 0], forward[at - 1, 1]
-        forward[at, 0] = join(o + move[0, 0], x + move[1, 0])
-        forward[at, 1] = emission[at] + join(o + move[0, 1], x + move[1, 1])
-    for t in range(longest - 2, -1, -1):
-        at = start[: running[t + 1]] + t
-        o, x = backward[at + 1, 0], backward[at + 1, 1] + emission[at + 1]
-        backward[at, 0] = join(o + move[0, 0], x + move[0, 1])
-        backward[at, 1] = join(o + move[1, 0], x + move[1, 1])
-    last = np.r_[begin[1:], n] - 1
-    total = join(forward[last, 0], forward[last, 1])
-    number = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, n]))
-    return forward, backward, total, number
+    forward[begin, 1] = emission[begin]
+    if len(chain) > len(begin):
+        # Sums over all paths of a block, from either state of its first word to either of its last.
+        many = np.flatnonzero(blocks[chain] > 1)
+        paths = np.full((len(chain), 2, 2), -np.inf)
+        for state in (0, 1):
+            trial = np.full((n, 2), -np.inf)
+            trial[start[many], state] = 0
+            _ahead(trial, emission, start[many], size[many], move)
+            paths[many, state] = trial[last[many]]
+        gain = np.zeros((len(chain), 2))
+        gain[:, 1] = emission[start]
+        longest = int(blocks.max())
+        left, right = forward[start].copy(), np.zeros((len(chain), 2))  # forward at first words, backward at last ones
+        for k in range(1, longest):
+            at = head[blocks > k] + k
+            left[at] = _after(_after(left[at - 1], paths[at - 1]), np.broadcast_to(move, (len(at), 2, 2))) + gain[at]
+        for k in range(longest - 2, -1, -1):
+            at = head[blocks > k + 1] + k
+            onward = _after(right[at + 1], paths[at + 1].transpose(0, 2, 1)) + gain[at + 1]
+            right[at] = _after(onward, np.broadcast_to(move.T, (len(at), 2, 2)))
+        forward[start], backward[last] = left, right
+    _ahead(forward, emission, start, size, move)
+    _back(backward, emission, start, size, move)
+    ends = np.r_[begin[1:], n] - 1
+    total = np.logaddexp(forward[ends, 0], forward[ends, 1])
+    return forward, backward, total, np.repeat(np.arange(len(begin)), sizes)
 
 
 def marginals(emission: np.ndarray, begin: np.ndarray, move: np.ndarray) -> np.ndarray:

@@ -68,6 +68,43 @@ def test_quality_learns_and_handles_edges(spark, docs_of, edge_docs):
 # ---- toxicity ------------------------------------------------------------------------------------------------------
 
 
+def test_long_chains_have_the_marginals_of_one_walk():
+    draw = np.random.default_rng(5)
+    sizes = [1, 63, 64, 65, 128, 129, 700, 3]
+    begin = np.r_[0, np.cumsum(sizes)[:-1]]
+    emission, move = draw.normal(0, 2, sum(sizes)), draw.normal(0, 1, (2, 2))
+    got = toxicity.marginals(emission, begin, move)
+    for b, n in zip(begin, sizes):
+        e = np.stack([np.zeros(n), emission[b : b + n]], axis=1)
+        f, g = [e[0]], [np.zeros(2)]
+        for t in range(1, n):
+            f.append(np.logaddexp.reduce(f[-1][:, None] + move, axis=0) + e[t])
+            g.insert(0, np.logaddexp.reduce(move + e[n - t] + g[0], axis=1))
+        wanted = np.exp([a[1] + c[1] - np.logaddexp.reduce(f[-1]) for a, c in zip(f, g)])
+        assert np.allclose(got[b : b + n], wanted, atol=1e-9)
+
+
+def test_words_lose_all_outer_punctuation_and_sentences_have_any_length():
+    words, _ = toxicity.Words.of(pa.array(['""""""vermin!!!!!!', "vermin", "......", None, "w " * 500, '("a-b")...']))
+    assert words.own[0, 0] == words.own[1, 0] and (words.ends - words.starts).tolist()[:3] == [6, 6, 1]
+    assert words.begin.tolist() == [0, 1, 2, 3, 503] and words.ends[503] - words.starts[503] == 3
+
+
+def test_a_text_of_one_long_sentence_takes_linear_time():
+    model = toxicity.CrfModel(np.zeros(1 << 18, np.float32), -4.0, np.zeros((2, 2)), 18)
+    began = time.time()
+    score, _ = toxicity.tag(pa.array(["word other " * 250_000, "!" * 3_000_000]), model)
+    assert time.time() - began < 20 and score.shape == (2,)
+
+
+def test_op7_query_on_held_out_rows(spark, sf_dir):
+    """On the tables one size up: sf0.001 holds too few toxic labels to learn a word from (none of its 5 is found)."""
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    found = registry.op7_toxicity(spark, sf_dir).where("held_out").select("doc_id", "predicted")
+    known = common.table(spark, sf_dir, "labels").where("toxic is not null").select("doc_id", "toxic").join(found, "doc_id").collect()
+    assert len(known) > 30 and sum(r.toxic == r.predicted for r in known) >= 0.95 * len(known)
+
+
 def test_marginals_match_enumeration():
     rnd = np.random.default_rng(5)
     emission, move, begin = rnd.normal(size=9), rnd.normal(size=(2, 2)), np.array([0, 4, 5])
