@@ -12,13 +12,14 @@ with itself; one with many is dealt into slices that are compared pair by pair o
 only the links of a spanning forest, so no group is ever whole in one task and its pairs are never rows. The links of
 fingerprints are exact.
 
-``representatives`` asks for more than close fingerprints: texts whose sets of ``width`` words have Jaccard similarity
-``similarity`` or more, which no small radius of a SimHash finds. Its candidates are pairs that share one of ``bands``
-hashes, each of ``rows`` minima of the set under independent hash functions: a pair of similarity s is missed with
-probability ``(1 - s ** rows) ** bands``, whatever the edit, which at 0.8 and the defaults is 1.3e-7. Candidates are
-verified by the exact similarity. First each text is compared with the least of its key; pairs of one component are
-then settled, all others are compared: as rows where the key is small, and otherwise by slices whose tasks hold the sets
-themselves and hand on only verified links.
+``representatives`` links texts whose sets of ``width`` words have Jaccard similarity ``similarity`` or more. Fingerprints
+come first: pairs within ``radius`` bits, found by the same blocks and checked bit by bit, are links if the similarity
+holds. No small radius reaches all such pairs, so what this leaves unsettled is looked for among the pairs that
+share one of ``bands`` hashes, each of ``rows`` minima of the set under independent hash functions. A pair of similarity s
+shares none with probability ``(1 - s ** rows) ** bands``, whatever the edit, which at 0.8 and the defaults is 1.3e-7.
+All candidates are verified by the exact similarity, by keys in both passes: first each text is compared with the least of
+its key; pairs of one component are then settled, all others are compared: as rows where the key is small, and otherwise
+by slices whose tasks hold the sets themselves and hand on only verified links.
 
 Null and empty texts have fingerprint zero and link like any other. Repeated rows share a component. A null doc_id never
 names a component unless the component has no other. Other columns are not read. Texts are told apart by XXH64.
@@ -229,14 +230,18 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(both >= similarity * whole).select("a", "b")
 
 
-def similar_forest(nodes: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, similarity: float) -> np.ndarray:
-    """Links that join the ``groups`` of texts at ``first`` and ``second`` wherever two of their sets are as similar as asked."""
+def similar_forest(nodes: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, similarity: float, prints: np.ndarray | None = None, radius: int = 0) -> np.ndarray:
+    """Links that join the ``groups`` of texts at ``first`` and ``second`` wherever two of their sets are as similar as asked.
+
+    With ``prints`` only pairs whose fingerprints are within ``radius`` are compared."""
     sizes = np.array([len(s) for s in sets], np.int64)
     ends = np.cumsum(sizes)
     known, shingle = np.unique(np.concatenate(sets), return_inverse=True)
     group, held, out = np.unique(groups, return_inverse=True)[1], np.zeros(len(known), bool), []
     for x in first:
         other = second[(group[second] != group[x]) & (np.minimum(sizes[second], sizes[x]) >= similarity * np.maximum(sizes[second], sizes[x]))]
+        if prints is not None:
+            other = other[np.bitwise_count((prints[other] ^ prints[x]).view(np.uint64)) <= radius]
         if not len(other):
             continue
         mine = shingle[ends[x] - sizes[x] : ends[x]]
@@ -251,47 +256,69 @@ def similar_forest(nodes: np.ndarray, groups: np.ndarray, sets: list[np.ndarray]
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def similar_links(docs: DataFrame, values: DataFrame, *, width: int, similarity: float) -> DataFrame:
-    """Links ``(a, b)``, all verified, that give the components of ``values(node, length, keys)`` (nodes distinct)."""
-    keyed = shared_keys(values.select("node", "length", F.posexplode("keys").alias("choice", "bits")))
-    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
-    # Copies meet in partial aggregates before they are dealt by node.
-    texts = texts.dropDuplicates(["node"]).join(keyed.select("node").distinct(), "node", "left_semi")
-    sets = common.written(shingle_sets(texts, width))
-    least = keyed.groupBy("choice", "bits").agg(F.min(F.struct("node", "length")).alias("least"))
-    near = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b)
-    stars = keyed.join(least, ["choice", "bits"]).where((F.col("node") > F.col("least.node")) & near("length", "least.length"))
-    found = common.written(alike(stars.select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct(), sets, similarity))
+def verified_links(keyed: DataFrame, sets: DataFrame, known: DataFrame | None, *, similarity: float, radius: int | None = None) -> DataFrame:
+    """``known`` and the links that join all similar texts that share a key of ``keyed(choice, bits, size, node, length)``.
+
+    With ``radius`` the rows have a fingerprint, ``value``, and only texts within that many bits are compared."""
+    of = ["length"] if radius is None else ["length", "value"]
+
+    def close(a: str, b: str) -> Column:
+        lengths = F.least(f"{a}length", f"{b}length") >= similarity * F.greatest(f"{a}length", f"{b}length")
+        return lengths if radius is None else lengths & (F.bit_count(F.col(f"{a}value").bitwiseXOR(F.col(f"{b}value"))) <= radius)
+
+    least = keyed.groupBy("choice", "bits").agg(F.min(F.struct("node", *of)).alias("least"))
+    stars = keyed.join(least, ["choice", "bits"]).where((F.col("node") > F.col("least.node")) & close("", "least."))
+    stars = stars.select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct()
+    if known is not None:
+        stars = stars.join(known, ["a", "b"], "left_anti")
+    found = common.written(alike(stars, sets, similarity))
+    if known is not None:
+        found = known.unionByName(found)
 
     rest = keyed.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_keys = rest.groupBy("choice", "bits").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum("length").alias("volume")).where("low < high").drop("low", "high")
     rest = common.shared_checkpoint(rest.join(open_keys, ["choice", "bits"]))
     small = rest.where(F.col("size") <= SMALL)
-    side = lambda x: small.select("choice", "bits", F.col("node").alias(x), F.col("length").alias(f"{x}_length"), F.col("root").alias(f"{x}_root"))
-    apart = (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & near("a_length", "b_length")
+    side = lambda x: small.select("choice", "bits", F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ["root", *of]])
+    apart = (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & close("a_", "b_")
     pairs = side("a").join(side("b"), ["choice", "bits"]).where(apart).select("a", "b").distinct()
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         place, one = np.arange(len(part)), part["low"].iloc[0] == part["high"].iloc[0]
         low = (part["slice"] == part["low"]).to_numpy()
         first, second = place[low], place if one else place[~low]
-        got = similar_forest(part["node"].to_numpy(), part["root"].to_numpy(), list(part["set"]), first, second, similarity)
+        within = () if radius is None else (part["value"].to_numpy(), radius)
+        got = similar_forest(part["node"].to_numpy(), part["root"].to_numpy(), list(part["set"]), first, second, similarity, *within)
         return pd.DataFrame(got, columns=["a", "b"])
 
     # Slices follow the rows of a key, or its shingles where the texts are long.
     large = rest.where(F.col("size") > SMALL).withColumn("size", F.greatest("size", F.ceil(F.col("volume") / 512)))
-    large = slice_pairs(large.select("choice", "bits", "node", "root", "size"), "node", SLICE).join(sets, "node")
+    large = slice_pairs(large.select("choice", "bits", "node", "root", "size", *of[1:]), "node", SLICE).join(sets, "node")
     compared = large.groupBy("choice", "bits", "low", "high").applyInPandas(compare, "a long, b long")
     return found.unionByName(alike(pairs, sets, similarity)).unionByName(compared)
 
 
-def representatives(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, bands: int = 40, rows: int = 5) -> DataFrame:
+def similar_links(docs: DataFrame, values: DataFrame, *, width: int, similarity: float, radius: int) -> DataFrame:
+    """Links ``(a, b)``, all verified, that give the components of ``values(node, length, keys)`` (nodes distinct)."""
+    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
+    prints = fingerprints(texts).groupBy("node").agg(F.first("fingerprint").alias("fingerprint"))
+    block = F.explode(block_keys(F.col("fingerprint"), radius, enough_blocks(values.count(), radius))).alias("key")
+    near = shared_keys(values.select("node", "length").join(prints, "node").select("node", "length", block).select("node", "length", "key.*"))
+    keyed = shared_keys(values.select("node", "length", F.posexplode("keys").alias("choice", "bits")))
+    # Copies meet in partial aggregates before they are dealt by node.
+    compared = near.select("node").unionByName(keyed.select("node")).distinct()
+    sets = common.written(shingle_sets(texts.dropDuplicates(["node"]).join(compared, "node", "left_semi"), width))
+    found = common.written(verified_links(near, sets, None, similarity=similarity, radius=radius))
+    return verified_links(keyed, sets, found, similarity=similarity)
+
+
+def representatives(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, radius: int = 3, bands: int = 40, rows: int = 5) -> DataFrame:
     """The row with the smallest doc_id of each group of similar texts, other columns kept; of equal rows one stays."""
     lowest = F.lit(-(1 << 63)).cast("long")
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", lowest).alias("_sh_id"), F.col("node").alias("_sh_text"))
     nodes = marks(docs, width, bands, rows).groupBy("node").agg(F.min(place).alias("first"), F.first("length").alias("length"), F.first("keys").alias("keys"))
     nodes = common.written(nodes)
-    roots = components(similar_links(docs, nodes.select("node", "length", "keys"), width=width, similarity=similarity))
+    roots = components(similar_links(docs, nodes.select("node", "length", "keys"), width=width, similarity=similarity, radius=radius))
     grouped = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = grouped.select("first._sh_id", "first._sh_text")
     keyed = docs.withColumn("_sh_id", F.coalesce("doc_id", lowest)).withColumn("_sh_text", F.xxhash64(F.coalesce("text", F.lit(""))))

@@ -328,6 +328,47 @@ def test_nearer_texts_do_not_hide_a_similar_one(spark, docs_of, monkeypatch):
     assert sorted(r.doc_id for r in simhash.representatives(docs_of(texts)).collect()) == [0, *range(2, 30)]
 
 
+def bands_of_one(docs, width, bands, rows):
+    """Marks whose keys no two texts share."""
+    node = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.select("doc_id", node.alias("node"), F.size(F.split("text", " ")).cast("long").alias("length"), F.array(node).alias("keys"))
+
+
+def test_near_duplicate_stage_links_close_fingerprints(spark, sf_dir, docs_of, monkeypatch):
+    rnd = random.Random(15)
+    texts, wanted = [], []
+    for _ in range(60):
+        base = [word(rnd) for _ in range(400)]
+        copy = list(base)
+        copy[rnd.randrange(400)] = word(rnd)
+        a, b = (simhash.fingerprint(" ".join(t).encode(), 3) for t in (base, copy))
+        wanted += [len(texts)] + [len(texts) + 1] * ((a ^ b).bit_count() > 3)
+        texts += [" ".join(base), " ".join(copy)]
+    assert 70 <= len(wanted) <= 110
+    monkeypatch.setattr(simhash, "marks", bands_of_one)
+    kept = corpus_pipeline.keep_one_of_near_duplicates(spark, docs_of(texts), sf_dir)
+    assert sorted(r.doc_id for r in kept.collect()) == wanted
+
+
+@pytest.mark.parametrize("small, slice_rows", [(24, 1024), (1, 1024), (1, 4)])
+def test_close_fingerprints_are_checked_by_bits_and_by_similarity(spark, docs_of, monkeypatch, small, slice_rows):
+    rnd = random.Random(16)
+    pairs = [[word(rnd) for _ in range(100)] for _ in range(12)]
+    texts, prints, wanted = [], [], []
+    for k, base in enumerate(pairs):
+        other = base[:95] if k % 3 < 2 else [word(rnd) for _ in range(100)]
+        # Similar and three bits apart; similar and four bits of one block apart; unlike and equal.
+        prints += [k // 4 << 40, k // 4 << 40 ^ (0b111, 0b1111, 0)[k % 3]]
+        wanted += [2 * k] + [2 * k + 1] * (k % 3 > 0)
+        texts += [" ".join(base), " ".join(other)]
+    hand = spark.createDataFrame(list(zip(texts, prints)), "text string, fingerprint long")
+    monkeypatch.setattr(simhash, "marks", bands_of_one)
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs.join(hand, "text"))
+    monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(simhash, "SLICE", slice_rows)
+    assert sorted(r.doc_id for r in simhash.representatives(docs_of(texts)).collect()) == wanted
+
+
 def test_simhash_edges(edge_docs):
     got = simhash.near_duplicates(edge_docs)
     by = {r.doc_id: r.component_id for r in got.collect()}
