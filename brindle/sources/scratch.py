@@ -17,10 +17,15 @@ def folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/brindle-core-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` as a table in a new folder, and the folder: its lineage ends there, and it outlives any executor."""
+def stored(df: DataFrame, file_rows: int = 0) -> tuple[DataFrame, str]:
+    """``df`` as a table in a new folder, and the folder: its lineage ends there, and it outlives any executor.
+
+    Large rows need a bound on ``file_rows``: a reader takes up to 4,096 rows of a file at once."""
     path = folder(df.sparkSession)
-    df.write.parquet(path)
+    writer = df.write
+    if file_rows:
+        writer = writer.option("maxRecordsPerFile", file_rows).option("compression", "zstd").option("parquet.enable.dictionary", "false")
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

@@ -100,3 +100,24 @@ def test_poisson_with_a_large_penalty_is_the_mean(rows):
     assert (w == 0).all() and np.isclose(np.exp(b), y.mean())
     assert np.isclose(model.transform(df).first()["prediction"], y.mean())
     assert orthant.PoissonRegression().fit(df.withColumn("label", F.col("count")).limit(0)).getOrDefault("weights") == []
+
+
+def test_poisson_of_large_counts_takes_few_passes(rows, monkeypatch):
+    x, *_, y, df = rows
+    passes, folded = [], orthant.sums.folded
+    monkeypatch.setattr(orthant.sums, "folded", lambda *a: passes.append(1) or folded(*a))
+    scaled = df.withColumn("count", F.col("count") * 50_000)
+    w, b, _ = _poisson(scaled, 0.01, 0.01)
+    mu, y = np.exp(x @ w + b), y * 50_000
+    g = x.T @ (mu - y) / len(y) + 0.01 * w
+    assert len(passes) <= 12
+    assert abs((mu - y).mean()) < 1e-8 * y.mean()
+    assert np.all(np.where(w != 0, np.abs(g + 0.01 * np.sign(w)), np.maximum(np.abs(g) - 0.01, 0)) < 1e-8 * y.mean())
+
+
+def test_poisson_by_either_method_is_the_same(rows, monkeypatch):
+    *_, df = rows
+    by_newton = _poisson(df, 0.05, 0.01)
+    monkeypatch.setattr(orthant, "NEWTON", 0)
+    by_quasi_newton = _poisson(df, 0.05, 0.01)
+    assert np.allclose(by_newton[0], by_quasi_newton[0], atol=1e-5) and np.isclose(by_newton[1], by_quasi_newton[1], atol=1e-5)
