@@ -2,10 +2,13 @@
 
 The objective is ``mean(loss) + l2 / 2 |w|^2 + l1 |w|_1``. Every row has a dual value beside its features, in a table of blocks that each round
 writes anew, so that a lost executor costs a round's part at most. In
-a round each partition goes through its rows in a seeded order and moves each dual value as far as the dual's lower bound
-allows (Shalev-Shwartz and Zhang 2014, prox-SDCA), seeing its own moves at once and the others' at the end of the round: moves
+a round each partition goes through its rows in a seeded order and moves dual values as far as the dual's lower bound
+allows (Shalev-Shwartz and Zhang 2014, prox-SDCA), a few rows together (mini-batches, Takac et al. 2015): a batch's moves are bounded by
+its largest eigenvalue, so that their sum is safe, and its size by what costs little against one row at a time, which grows
+with the rows. A partition sees its own moves at once and the others' at the end of the round: moves
 are made as if all partitions made the same, so that their sum is safe to add (CoCoA+, Ma et al. 2015). A round also gives
-the primal and dual objectives of the one before; their gap, which bounds the distance from the best objective, ends it.
+the primal and dual objectives of the one before; their gap, which bounds the distance from the best objective, ends it. Partitions that differ a little make
+the last digits slow, so with few weights the second-order model's least point is tried as well, by the same gap.
 
 Squares are fitted to centred features and labels, so the intercept is free of any penalty; classifiers learn theirs as the
 weight of a constant feature, with the l2 penalty but not the l1. Penalties may be for features of deviation 1, as MLlib's are. A partition's seed is its number and the round's, so a lost
@@ -14,7 +17,6 @@ executor's work is repeated as it was.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,11 +31,18 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.ml import sums
+from brindle.ml import orthant, sums
+from brindle.ml.blocks import FILE_BYTES
 from brindle.sources import scratch
 
 _BLOCK = "x binary, y binary, alpha binary, rows int, moved binary, part int"
 BLOCK_ROWS = 8_192
+#: A batch's bound by its rows' norms, as a multiple of the loss's own; the bound that counts is a few times smaller.
+BATCH = 4.0
+#: Side of the matrices of products that bound a batch; larger ones leave it to the norms.
+GRAM = 256
+#: Weights up to which second derivatives are summed.
+NEWTON = 128
 LEAST_L2 = 1e-6
 #: Rows that a partition should hold at least.
 PART_ROWS = 5_000
@@ -47,9 +56,17 @@ class Squares:
     def losses(self, z: np.ndarray, y: np.ndarray) -> np.ndarray:
         return 0.5 * (z[:, 0] - y) ** 2
 
-    def move(self, z: np.ndarray, a: np.ndarray, y: float, norm: float) -> np.ndarray | float:
-        """How far a dual value moves towards the negative gradient: as far as the dual's lower bound grows."""
-        return (y - z[0] - a[0]) / (1 + norm)
+    def slopes(self, z: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Derivatives of the losses by the scores."""
+        return z - y[:, None]
+
+    def curves(self, z: np.ndarray) -> np.ndarray:
+        """Second derivatives, ``(rows, outputs, outputs)``."""
+        return np.ones((len(z), 1, 1))
+
+    def moves(self, z: np.ndarray, a: np.ndarray, y: np.ndarray, norm: float) -> np.ndarray:
+        """How far a batch's dual values move towards the negative gradient: as far as the dual's lower bound grows."""
+        return (y[:, None] - z - a) / (1 + norm)
 
     def conjugates(self, alpha: np.ndarray, y: np.ndarray) -> np.ndarray:
         """The conjugate of the loss at ``-alpha``."""
@@ -60,9 +77,9 @@ def _entropy(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, p * np.log(np.maximum(p, 1e-300)), 0.0)
 
 
-def _step(gap: float, size: float, smooth: float, norm: float) -> float:
+def _step(gap: np.ndarray, size: np.ndarray, smooth: float, norm: float) -> np.ndarray:
     """The share of the way that lifts the dual's lower bound most (prox-SDCA, option III)."""
-    return min(1.0, max(0.0, (gap + smooth / 2 * size) / (size * (smooth + norm))))
+    return np.clip((gap + smooth / 2 * size) / np.maximum(size * (smooth + norm), 1e-300), 0.0, 1.0)
 
 
 class TwoClasses:
@@ -73,15 +90,19 @@ class TwoClasses:
     def losses(self, z, y):
         return np.logaddexp(0, np.where(y > 0, -z[:, 0], z[:, 0]))
 
-    def move(self, z, a, y, norm):
-        sign = 1.0 if y > 0 else -1.0
-        m, b = sign * float(z[0]), min(max(sign * float(a[0]), 0.0), 1.0)
-        q = 1 / (1 + math.exp(min(max(m, -700.0), 700.0))) - b
-        if abs(q) < 1e-15:
-            return 0.0
-        loss = math.log1p(math.exp(-m)) if m > -30 else -m
-        gap = loss + m * b + (b * math.log(b) if b > 0 else 0.0) + ((1 - b) * math.log(1 - b) if b < 1 else 0.0)
-        return sign * q * _step(gap, q * q, self.smooth, norm)
+    def slopes(self, z, y):
+        return 1 / (1 + np.exp(np.clip(-z, -700.0, 700.0))) - (y > 0)[:, None]
+
+    def curves(self, z):
+        p = 1 / (1 + np.exp(np.clip(-z, -700.0, 700.0)))
+        return (p * (1 - p))[:, :, None]
+
+    def moves(self, z, a, y, norm):
+        sign = np.where(y > 0, 1.0, -1.0)
+        m, b = sign * z[:, 0], np.clip(sign * a[:, 0], 0.0, 1.0)
+        q = 1 / (1 + np.exp(np.clip(m, -700.0, 700.0))) - b
+        gap = np.logaddexp(0, -m) + m * b + _entropy(b) + _entropy(1 - b)
+        return (sign * q * _step(gap, q * q, self.smooth, norm))[:, None]
 
     def conjugates(self, alpha, y):
         p = np.clip(np.where(y > 0, alpha[:, 0], -alpha[:, 0]), 0, 1)
@@ -100,18 +121,29 @@ class ManyClasses:
         top = z.max(axis=1)
         return top + np.log(np.exp(z - top[:, None]).sum(axis=1)) - z[np.arange(len(z)), y.astype(int)]
 
-    def move(self, z, a, y, norm):
-        top = z.max()
-        e = np.exp(z - top)
-        q = -e / e.sum() - a
-        q[int(y)] += 1
-        size = float(q @ q)
-        if size < 1e-30:
-            return q
-        p = -a
-        p[int(y)] += 1
-        gap = float(top + np.log(e.sum()) - z[int(y)] + z @ a + _entropy(np.clip(p, 0, 1)).sum())
-        return q * _step(gap, size, self.smooth, norm)
+    def _shares(self, z):
+        e = np.exp(z - z.max(axis=1)[:, None])
+        return e / e.sum(axis=1)[:, None]
+
+    def slopes(self, z, y):
+        p = self._shares(z)
+        p[np.arange(len(z)), y.astype(int)] -= 1
+        return p
+
+    def curves(self, z):
+        p = self._shares(z)
+        return p[:, :, None] * np.eye(self.outputs) - p[:, :, None] * p[:, None, :]
+
+    def moves(self, z, a, y, norm):
+        at, hit = np.arange(len(z)), y.astype(int)
+        top = z.max(axis=1)
+        e = np.exp(z - top[:, None])
+        total = e.sum(axis=1)
+        q, p = -e / total[:, None] - a, -a
+        q[at, hit] += 1
+        p[at, hit] += 1
+        gap = top + np.log(total) - z[at, hit] + (z * a).sum(axis=1) + _entropy(np.clip(p, 0, 1)).sum(axis=1)
+        return q * _step(gap, (q * q).sum(axis=1), self.smooth, norm)[:, None]
 
     def conjugates(self, alpha, y):
         p = -alpha.copy()
@@ -127,20 +159,34 @@ def primal(moved: np.ndarray, l1: float, l2: float, free: int) -> np.ndarray:
     return w / l2
 
 
+def batch_norms(x: np.ndarray, size: int) -> np.ndarray:
+    """An upper bound of the largest eigenvalue of each batch's products of rows: their matrix's Frobenius norm, or its trace."""
+    norms, cuts = (x * x).sum(axis=1), range(0, len(x), size)
+    bounds = np.add.reduceat(norms, cuts)
+    side, whole = min(size, x.shape[1]), len(x) // size
+    if 1 < side <= GRAM and size > 1:
+        rows = x[: whole * size].reshape(whole, size, -1)
+        products = rows.transpose(0, 2, 1) @ rows if size >= x.shape[1] else rows @ rows.transpose(0, 2, 1)
+        bounds[:whole] = np.minimum(bounds[:whole], np.sqrt((products * products).sum(axis=(1, 2))))
+    return bounds
+
+
 def local_round(x: np.ndarray, y: np.ndarray, alpha: np.ndarray, moved: np.ndarray, loss, n: int, l1: float, l2: float, free: int, share: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One pass over a partition's rows. ``moved`` is what all rows have moved so far, plus ``share`` times what these do now."""
-    alpha = alpha.copy()
-    norms = (x * x).sum(axis=1) * (share / (l2 * n))
-    own = np.zeros_like(moved)
-    seen = moved.copy()
+    x, y, after = np.ascontiguousarray(x[order]), y[order], alpha[order]
+    size = int(max(1.0, min(len(x), BATCH * loss.smooth * l2 * n / (share * max(float((x * x).sum()) / len(x), 1e-300)))))
+    own, seen = np.zeros_like(moved), moved.copy()
     w = primal(seen, l1, l2, free)
-    for i in order:
-        move = loss.move(w @ x[i], alpha[i], y[i], norms[i])
-        alpha[i] += move
-        push = np.multiply.outer(move / n, x[i]).reshape(own.shape)
+    for k, norm in enumerate(batch_norms(x, size) * (share / (l2 * n))):
+        at = slice(k * size, (k + 1) * size)
+        move = loss.moves(x[at] @ w.T, after[at], y[at], norm)
+        after[at] += move
+        push = move.T @ x[at] / n
         own += push
         seen += share * push
         w = primal(seen, l1, l2, free) if l1 else seen / l2
+    alpha = np.empty_like(after)
+    alpha[order] = after
     return alpha, own
 
 
@@ -185,53 +231,95 @@ def _blocks(rows: DataFrame, n: int, shift: np.ndarray, scale: np.ndarray, shift
 
 
 def _packed(x, y, alpha, moved, part) -> pa.RecordBatch:
-    data = lambda v: pa.array([None if v is None else v.tobytes()], pa.binary())
-    return pa.RecordBatch.from_pydict({"x": data(x), "y": data(y), "alpha": data(alpha), "rows": pa.array([0 if y is None else len(y)], pa.int32()), "moved": data(moved), "part": pa.array([part], pa.int32())})
+    # Features lie column by column, which compresses well.
+    data = lambda v, order="C": pa.array([None if v is None else v.tobytes(order=order)], pa.binary())
+    return pa.RecordBatch.from_pydict({"x": data(x, "F"), "y": data(y), "alpha": data(alpha), "rows": pa.array([0 if y is None else len(y)], pa.int32()), "moved": data(moved), "part": pa.array([part], pa.int32())})
+
+
+def _model_sums(x: np.ndarray, y: np.ndarray, z: np.ndarray, loss) -> np.ndarray:
+    """First and second derivatives of a block's losses by the weights."""
+    k, d = loss.outputs, x.shape[1]
+    curves, second = loss.curves(z), np.empty((k, d, k, d))
+    for a in range(k):
+        for c in range(a, k):
+            second[a, :, c] = (x.T * curves[:, a, c]) @ x
+            second[c, :, a] = second[a, :, c].T
+    return np.concatenate([(loss.slopes(z, y).T @ x).ravel(), second.ravel()])
 
 
 def ascend(blocks: DataFrame, loss, n: int, features: int, l1: float, l2: float, *, free: int, rounds: int, tolerance: float, seed: int = 42) -> Fit:
-    """Rounds until the gap is at most ``tolerance`` times the objective of no weights, or there have been ``rounds``."""
+    """Rounds until the gap is at most ``tolerance`` times the objective of no weights, or there have been ``rounds``.
+
+    With up to ``NEWTON`` weights a round also sums the derivatives at its weights. The least point of that second-order model,
+    l1 included, and the dual values that belong to it are tried in the next round; the best objective and the best bound count."""
     spark, moved = blocks.sparkSession, np.zeros((loss.outputs, features))
-    (current, path), first, shape = scratch.stored(blocks), None, moved.shape
+    file_rows = max(1, FILE_BYTES // (8 * BLOCK_ROWS * (features + 1 + loss.outputs)))
+    (current, path), first, shape, size = scratch.stored(blocks, file_rows), None, moved.shape, moved.size
+    narrow, n = size <= NEWTON, max(n, 1)
+    held = np.full(shape, l1)
+    held[:, features - free :] = 0.0
+    numbers = (size + 2) * 2 + (size + size * size if narrow else 0)
+    best, bound, tried = None, -np.inf, None
+
+    def penalty(w: np.ndarray) -> float:
+        return l2 / 2 * float((w * w).sum()) + float((held * np.abs(w)).sum())
+
     try:
         for round_ in range(rounds + 1):
             last = round_ == rounds
             parts = max(1, current.rdd.getNumPartitions())  # how many passes run side by side, at most
 
-            def run(batches: Iterator[pa.RecordBatch], moved=moved, round_=round_, parts=parts) -> Iterator[pa.RecordBatch]:
+            def run(batches: Iterator[pa.RecordBatch], moved=moved, round_=round_, parts=parts, tried=tried) -> Iterator[pa.RecordBatch]:
                 w, part = primal(moved, l1, l2, free), sums.partition()
-                own, losses, conjugates, seen = np.zeros(shape), 0.0, 0.0, moved.copy()
+                total, seen, met = np.zeros(numbers), moved.copy(), 0
                 for batch in batches:
                     for i in range(batch.num_rows):
-                        if batch.column("x")[i].as_py() is None:
-                            continue
                         rows = batch.column("rows")[i].as_py()
+                        if not rows:
+                            continue
                         x, y, alpha = (np.frombuffer(batch.column(c)[i].as_buffer(), np.float64) for c in ("x", "y", "alpha"))
-                        x, alpha = x.reshape(rows, -1), alpha.reshape(rows, -1)
-                        losses += loss.losses(x @ w.T, y).sum()
-                        conjugates += loss.conjugates(alpha, y).sum()
-                        order = np.random.default_rng([seed, round_, part, i]).permutation(rows)
+                        x, alpha = x.reshape(-1, rows).T, alpha.reshape(rows, -1)
+                        z = x @ w.T
+                        total[size] += loss.losses(z, y).sum()
+                        total[size + 1] += loss.conjugates(alpha, y).sum()
+                        if tried is not None:
+                            z_tried = x @ tried.T
+                            dual = -loss.slopes(z_tried, y)
+                            total[size + 2 : 2 * size + 4] += np.concatenate([(dual.T @ x).ravel(), [loss.losses(z_tried, y).sum(), loss.conjugates(dual, y).sum()]])
+                        if narrow:
+                            total[2 * size + 4 :] += _model_sums(x, y, z, loss)
+                        order = np.random.default_rng([seed, round_, part, met]).permutation(rows)
+                        met += 1
                         alpha, mine = local_round(x, y, alpha, seen, loss, n, l1, l2, free, parts, order)
-                        own, seen = own + mine, seen + parts * mine
+                        total[:size] += mine.ravel()
+                        seen = seen + parts * mine
                         yield _packed(x, y, alpha, None, part)
-                yield _packed(None, None, None, np.concatenate([own.ravel(), [losses, conjugates]]), part)
+                yield _packed(None, None, None, total, part)
 
             before = path
-            current, path = scratch.stored(current.mapInArrow(run, _BLOCK))
+            current, path = scratch.stored(current.mapInArrow(run, _BLOCK), file_rows)
             scratch.remove(spark, before)
-            told = current.where("x is null").select(F.lit(0).alias("key"), "part", F.col("moved").alias("sums"))
-            total = sums.folded(told, parts, 1, moved.size + 2).get(0, np.zeros(moved.size + 2))
-            w = primal(moved, l1, l2, free)
-            penalised = w[:, : features - free]
-            objective = total[-2] / max(n, 1) + l2 / 2 * float((w * w).sum()) + l1 * float(np.abs(penalised).sum())
-            gap = objective + total[-1] / max(n, 1) + l2 / 2 * float((w * w).sum())
-            first = objective if first is None else first
-            if gap <= tolerance * max(first, 1e-300) or last:
+            told = current.where("moved is not null").select(F.lit(0).alias("key"), "part", F.col("moved").alias("sums"))
+            total = sums.folded(told, parts, 1, numbers).get(0, np.zeros(numbers))
+            pairs = [(primal(moved, l1, l2, free), total[size], total[size + 1], moved)]
+            if tried is not None:
+                pairs.append((tried, total[2 * size + 2], total[2 * size + 3], total[size + 2 : 2 * size + 2].reshape(shape) / n))
+            for w, losses, conjugates, dual in pairs:
+                objective = losses / n + penalty(w)
+                if best is None or objective < best[0]:
+                    best = objective, w
+                implied = primal(dual, l1, l2, free)
+                bound = max(bound, -conjugates / n - l2 / 2 * float((implied * implied).sum()))
+            first = best[0] if first is None else first
+            if best[0] - bound <= tolerance * max(first, 1e-300) or last:
                 break
-            moved = moved + total[:-2].reshape(shape)
+            if narrow:
+                w, model = pairs[0][0].ravel(), total[2 * size + 4 :] / n
+                tried = orthant.model_minimum(w, model[:size] + l2 * w, model[size:].reshape(size, size) + l2 * np.eye(size), held.ravel()).reshape(shape)
+            moved = moved + total[:size].reshape(shape)
     finally:
         scratch.remove(spark, path)
-    return Fit(w, gap, objective, round_)
+    return Fit(best[1], best[0] - bound, best[0], round_)
 
 
 class DualAscent(Estimator, DefaultParamsReadable, DefaultParamsWritable):

@@ -89,7 +89,7 @@ def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray,
     return w
 
 
-def _model_minimum(w: np.ndarray, g: np.ndarray, h: np.ndarray, l1: np.ndarray, sweeps: int = 10_000) -> np.ndarray:
+def model_minimum(w: np.ndarray, g: np.ndarray, h: np.ndarray, l1: np.ndarray, sweeps: int = 10_000) -> np.ndarray:
     """Where ``g (v - w) + (v - w) h (v - w) / 2 + sum(l1 |v|)`` is least, by coordinate descent."""
     v, slope, steep = w.copy(), g.copy(), np.maximum(np.diag(h), 1e-300)
     for _ in range(sweeps):
@@ -120,7 +120,7 @@ def newton(f: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]], w: n
     for _ in range(iterations):
         if np.abs(pseudo_gradient(w, g, l1)).max(initial=0) <= tolerance * scale:
             break
-        move = _model_minimum(w, g, h, l1) - w
+        move = model_minimum(w, g, h, l1) - w
         promised = float(g @ move + l1 @ (np.abs(w + move) - np.abs(w)))
         if promised >= 0:
             break

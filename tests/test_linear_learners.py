@@ -1,11 +1,13 @@
 """Dual ascent and orthant-wise Poisson regression against closed forms and optimality conditions."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from brindle.ml import orthant
+from brindle.ml import dual, orthant
 from brindle.ml.dual import DualAscent, DualModel
 
 
@@ -121,3 +123,30 @@ def test_poisson_by_either_method_is_the_same(rows, monkeypatch):
     monkeypatch.setattr(orthant, "NEWTON", 0)
     by_quasi_newton = _poisson(df, 0.05, 0.01)
     assert np.allclose(by_newton[0], by_quasi_newton[0], atol=1e-5) and np.isclose(by_newton[1], by_quasi_newton[1], atol=1e-5)
+
+
+@pytest.mark.parametrize(("loss", "classes"), [(dual.Squares(), 0), (dual.TwoClasses(), 2), (dual.ManyClasses(3), 3)])
+def test_a_large_round_goes_by_batches_that_lift_the_bound(loss, classes):
+    r, n, l2 = np.random.default_rng(5), 300_000, 0.01
+    x = np.hstack([r.normal(size=(n, 4)), np.ones((n, 1))])
+    y = r.integers(0, classes, n).astype(float) if classes else x[:, 0] + r.normal(size=n)
+    alpha, moved = np.zeros((n, loss.outputs)), np.zeros((loss.outputs, 5))
+    bound = lambda a, m: -loss.conjugates(a, y).mean() - l2 / 2 * (dual.primal(m, 0.0, l2, 0) ** 2).sum()
+    began = time.monotonic()
+    after, own = dual.local_round(x, y, alpha, moved, loss, n, 0.0, l2, 1, 1, r.permutation(n))
+    assert time.monotonic() - began < 2.5  # one row at a time took 3.5 s and more
+    assert np.allclose(own, after.T @ x / n) and bound(after, own) > bound(alpha, moved)
+    batches = dual.batch_norms(x[:10_000], 300)
+    assert all(np.linalg.eigvalsh(x[i : min(i + 300, 10_000)].T @ x[i : min(i + 300, 10_000)])[-1] <= b * (1 + 1e-9) for i, b in zip(range(0, 10_000, 300), batches))
+
+
+def test_a_label_that_features_hardly_explain_is_still_fitted(spark):
+    r, n = np.random.default_rng(6), 30_000
+    x, y = r.uniform(size=(n, 6)), 30_000 * r.normal(size=n) + 50_000
+    df = spark.createDataFrame([(v.tolist(), float(t)) for v, t in zip(x, y)], "x array<double>, label double").select(array_to_vector("x").alias("features"), "label").repartition(6)
+    model = DualAscent(l1=0.01, l2=0.01, standardize=True).fit(df)
+    w, bias = _read(model)
+    assert ((y - x @ w[0] - bias[0]) ** 2).mean() < y.var()
+    deviations = x.std(axis=0, ddof=1)
+    g = ((x - x.mean(axis=0)) / deviations).T @ (x @ w[0] + bias[0] - y) / n + 0.01 * w[0] * deviations
+    assert np.abs(g + 0.01 * np.sign(w[0])).max() < 1e-4 * y.std()
