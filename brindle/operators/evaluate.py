@@ -150,13 +150,15 @@ def anomaly_metrics(df: DataFrame, score: str) -> DataFrame:
 
 
 def residual_sample(df: DataFrame, label: str, score: str, order: str | list[str], points: int = 500) -> DataFrame:
-    """Every ``n / points``-th pair by ``order`` for a scatter chart: the chart's limit, not the metrics'."""
-    rows = df.select(S.to_number(S.required(df, label)).alias("actual"), S.to_number(S.required(df, score)).alias("predicted"), *[S.col(c).alias(f"_o{i}") for i, c in enumerate([order] if isinstance(order, str) else order)]).where("actual is not null and predicted is not null")
-    names = [c for c in rows.columns if c.startswith("_o")]
-    total = rows.count()
-    stride = max(1, total // points)
-    ranged = rows.repartitionByRange(*names).withColumn("_part", F.spark_partition_id())
+    """Every ``n / points``-th pair by ``order`` for a scatter chart: the chart's limit, not the metrics'.
+
+    Rows are dealt in ranges of the order once and stored: dealt again, ranges may be others than those counted."""
+    names = [order] if isinstance(order, str) else order
+    rows = df.select(S.to_number(S.required(df, label)).alias("actual"), S.to_number(S.required(df, score)).alias("predicted"), *[S.col(c).alias(f"_o{i}") for i, c in enumerate(names)]).where("actual is not null and predicted is not null")
+    names = [f"_o{i}" for i in range(len(names))]
+    ranged, _ = scratch.stored(rows.repartitionByRange(*names).withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
-    base = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    total = F.sum("n").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    base = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.greatest(F.lit(1), F.floor(total / points)).alias("_stride"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*names))
-    return ranged.withColumn("_k", inside).join(F.broadcast(base), "_part").where(F.pmod(F.col("_base") + F.col("_k") - 1, F.lit(stride)) == 0).select("actual", "predicted")
+    return ranged.withColumn("_k", inside).join(F.broadcast(base), "_part").where(F.pmod(F.col("_base") + F.col("_k") - 1, F.col("_stride")) == 0).select("actual", "predicted")

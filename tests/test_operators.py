@@ -361,3 +361,10 @@ def test_perceptron_leaps_equal_single_steps():
         sums, sum_bias = sums + w, sum_bias + b
     got = custom.AveragedPerceptron._step(np.zeros(5), 0.0, x, y, 0.1, 0)
     assert all(np.allclose(g, e) for g, e in zip(got, (w, b, sums, sum_bias)))
+
+
+def test_residuals_are_every_nth_pair_where_ranges_are_merged(spark):
+    n = 400_000
+    df = spark.range(n, numPartitions=8).select("id", (F.col("id") + F.rand(1) / 2).alias("y"), F.rand(2).alias("p"))
+    found = evaluate.residual_sample(df, "y", "p", "id").collect()
+    assert sorted(int(r["actual"]) for r in found) == list(range(0, n, n // 500))
