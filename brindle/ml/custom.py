@@ -20,7 +20,12 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.ml import sums
+from brindle.ml import blocks, sums
+from brindle.sources import scratch
+
+#: Rows of a partition for each lane of a pass, and lanes at most.
+LANE_ROWS = 16_384
+LANES = 64
 
 
 class _LinearModel(Model, DefaultParamsReadable, DefaultParamsWritable):
@@ -63,33 +68,37 @@ class _Mixing(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         """How many rows a step takes."""
         return 256
 
+    def _pass(self, w: np.ndarray, b: float, held: Iterator[tuple[np.ndarray, np.ndarray]], epoch: int, lanes: int) -> np.ndarray:
+        """Sums over the rows of weights and bias after each step, and the number of rows, of one partition's pass."""
+        rate, block, mine, bias = self.getOrDefault("rate"), self._block(), w.copy(), b
+        total = np.zeros(len(w) + 2)
+        for xs, ys in held:
+            for at in range(0, len(ys), block):
+                x, y = xs[at : at + block], ys[at : at + block]
+                mine, bias, summed, summed_bias = self._step(mine, bias, x, y, rate, epoch)
+                total += [*summed, summed_bias, len(y)]
+        return total
+
     def _fit(self, df: DataFrame) -> _LinearModel:
-        rows = df.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y")).where("y is not null").persist()
+        kept = df.select("features", F.col("label").cast("double").alias("label")).where("label is not null")
+        stats = kept.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector_to_array("features"))).alias("d")).first()
+        size = stats["d"] or 0
+        w, b = np.zeros(size), 0.0
+        rows, path = blocks.stored(kept, size)
         try:
-            first = rows.select(F.size("x").alias("n")).first()
-            size = first["n"] if first else 0
-            w, b, rate, step = np.zeros(size), 0.0, self.getOrDefault("rate"), type(self)._step
-            block = self._block()
-            for epoch in range(self.getOrDefault("epochs")):
-
-                def run(parts: Iterator[pd.DataFrame], w=w, b=b, epoch=epoch) -> Iterator[pd.DataFrame]:
-                    mine, bias, total, total_bias, n = w.copy(), b, np.zeros_like(w), 0.0, 0
-                    for part in parts:
-                        if not len(part):
-                            continue
-                        xs, ys = np.stack(part["x"].to_numpy()), part["y"].to_numpy()
-                        for at in range(0, len(ys), block):
-                            x, y = xs[at : at + block], ys[at : at + block]
-                            mine, bias, sums, sum_bias = step(mine, bias, x, y, rate, epoch)
-                            total, total_bias, n = total + sums, total_bias + sum_bias, n + len(y)
-                    if n:
-                        yield pd.DataFrame({"i": range(len(w) + 1), "v": [*total, total_bias], "n": n})
-
-                mixed = rows.mapInPandas(run, "i int, v double, n long").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).collect()
-                found = {r["i"]: r["v"] for r in mixed}
-                w, b = np.array([found.get(i, 0.0) for i in range(size)]), found.get(size, 0.0)
+            parts = max(1, rows.rdd.getNumPartitions())
+            lanes = max(1, min(LANES, stats["n"] // parts // LANE_ROWS))
+            for epoch in range(self.getOrDefault("epochs") if stats["n"] else 0):
+
+                def run(batches: Iterator[pa.RecordBatch], w=w, b=b, epoch=epoch) -> Iterator[pa.RecordBatch]:
+                    total = self._pass(w, b, blocks.opened(batches), epoch, lanes)
+                    if total[-1]:
+                        yield sums.row(0, sums.partition(), total)
+
+                total = sums.folded(rows.mapInArrow(run, sums.SCHEMA), parts, 1, size + 2)[0]
+                w, b = total[:size] / total[-1], float(total[size] / total[-1])
         finally:
-            rows.unpersist()
+            scratch.remove(df.sparkSession, path)
         return _LinearModel(w.tolist(), b, self._classify)
 
 
@@ -115,17 +124,34 @@ class AveragedPerceptron(_Mixing):
 class SgdRegression(_Mixing):
     """Least squares by stochastic gradient steps that shrink with the passes and with the features' norm."""
 
-    @staticmethod
-    def _step(w, b, x, y, rate, t):
-        gap = y - (x @ w + b)
-        move = rate / (1 + 0.1 * t) / (1 + (x * x).sum(axis=1)) * 2 * gap
-        w, b = w + move @ x, b + move.sum()
-        return w, b, len(y) * w, len(y) * b
-
     def _block(self) -> int:
         # Together the rows of a block take no more than one full step.
         return max(1, min(64, int(0.5 / max(self.getOrDefault("rate"), 1e-9))))
 
+    def _pass(self, w, b, held, epoch, lanes):
+        # Lanes are parts within a part: each goes through its own rows from the same start, all a step at a time.
+        rate, block = self.getOrDefault("rate") / (1 + 0.1 * epoch), self._block()
+        mine, bias, total = np.tile(w, (lanes, 1)), np.full(lanes, b), np.zeros(len(w) + 2)
+        for xs, ys in held:
+            scale = 2 * rate / (1 + (xs * xs).sum(axis=1))
+            whole = len(ys) // lanes
+            x, y, scales = (np.ascontiguousarray(v[: whole * lanes]).reshape(lanes, whole, *v.shape[1:]) for v in (xs, ys, scale))
+            for at in range(0, whole, block):
+                part = x[:, at : at + block]
+                move = (y[:, at : at + block] - (part @ mine[:, :, None])[:, :, 0] - bias[:, None]) * scales[:, at : at + block]
+                mine = mine + (move[:, None, :] @ part)[:, 0]
+                bias = bias + move.sum(axis=1)
+                n = part.shape[1]
+                total[:-2] += n * mine.sum(axis=0)
+                total[-2:] += n * bias.sum(), n * lanes
+            for at in range(whole * lanes, len(ys), block):  # fewer rows than lanes: the first one's
+                part = xs[at : at + block]
+                move = (ys[at : at + block] - part @ mine[0] - bias[0]) * scale[at : at + block]
+                mine[0] += move @ part
+                bias[0] += move.sum()
+                total += [*(len(part) * mine[0]), len(part) * bias[0], len(part)]
+        return total
+
 
 class PcaAnomaly(Estimator, DefaultParamsReadable, DefaultParamsWritable):
     """How far a row lies from the first components' subspace, which a seeded sketch finds (Halko, Martinsson and Tropp 2011).

@@ -368,3 +368,20 @@ def test_residuals_are_every_nth_pair_where_ranges_are_merged(spark):
     df = spark.range(n, numPartitions=8).select("id", (F.col("id") + F.rand(1) / 2).alias("y"), F.rand(2).alias("p"))
     found = evaluate.residual_sample(df, "y", "p", "id").collect()
     assert sorted(int(r["actual"]) for r in found) == list(range(0, n, n // 500))
+
+
+def test_sgd_lanes_are_passes_of_their_own():
+    r = np.random.default_rng(2)
+    x, y = r.uniform(size=(3_000, 4)), r.normal(size=3_000)
+    learner, start = custom.SgdRegression(rate=0.1), np.array([0.1, 0.2, 0.3, 0.4])
+    w, b, plain = start.copy(), 0.5, np.zeros(6)
+    for at in range(0, 3_000, 5):
+        part, gap = x[at : at + 5], y[at : at + 5] - (x[at : at + 5] @ w + b)
+        move = 0.1 / 1.2 / (1 + (part * part).sum(axis=1)) * 2 * gap
+        w, b = w + move @ part, b + move.sum()
+        plain += [*(5 * w), 5 * b, 5]
+    assert np.allclose(learner._pass(start, 0.5, iter([(x[:1_000], y[:1_000]), (x[1_000:], y[1_000:])]), 2, 1), plain)
+    apart = sum(learner._pass(start, 0.5, iter([(x[i : i + 1_000], y[i : i + 1_000])]), 2, 1) for i in (0, 1_000, 2_000))
+    assert np.allclose(learner._pass(start, 0.5, iter([(x, y)]), 2, 3), apart)
+    ragged = learner._pass(start, 0.5, iter([(x[:1_234], y[:1_234]), (x[1_234:1_236], y[1_234:1_236])]), 2, 7)
+    assert ragged[-1] == 1_236 and np.isfinite(ragged).all()
