@@ -47,11 +47,11 @@ def binary_metrics(df: DataFrame, label: str, predicted: str, positive: str = "1
 def auc(df: DataFrame, label: str, probability: str, positive: str = "1") -> DataFrame:
     """Area under the ROC curve by Mann-Whitney with average tied ranks; NaN when one class is absent.
 
-    Rows are first counted by distinct score. Ranks are running sums over those counts: inside ranges of the score, then
-    over the ranges' totals, so no task sorts all rows."""
+    Rows are first counted by distinct score, and the counts stored, so that rows are scored once. Ranks are running sums over
+    those counts: inside ranges of the score, then over the ranges' totals, so no task sorts all rows."""
     y = is_positive(S.key(S.required(df, label)), positive)
     score = S.to_number(S.required(df, probability))
-    counts = df.select(score.alias("p"), y.cast("long").alias("y")).where("p is not null").groupBy("p").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
+    counts, _ = scratch.stored(df.select(score.alias("p"), y.cast("long").alias("y")).where("p is not null").groupBy("p").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n")))
     ranked = running_sums(counts, "p", ["n"])
     mean_rank = F.col("before_n") + (F.col("n") + 1) / F.lit(2.0)
     total = ranked.agg(F.sum(F.col("pos") * mean_rank).alias("ranks"), F.coalesce(F.sum("pos"), F.lit(0)).cast("double").alias("pos"), F.coalesce(F.sum(F.col("n") - F.col("pos")), F.lit(0)).cast("double").alias("neg"))
