@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.ml import sums
+from brindle.ml.blocks import FILE_BYTES
 from brindle.sources import scratch
 
 BINS = 256
@@ -309,13 +310,13 @@ def _packed(edges: list[np.ndarray], start: list[float]):
 def _opened(batches: Iterator[pa.RecordBatch], loss: Loss, newer: list[list[Tree]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Codes, labels and current scores of each block."""
     for batch in batches:
-        for codes, label, score, rows in zip(*(batch.column(c).to_pylist() for c in ("codes", "label", "score", "rows"))):
-            codes = np.frombuffer(codes, np.uint8).reshape(-1, rows)
-            score = np.frombuffer(score, np.float64).reshape(loss.outputs, rows).copy()
+        for i in range(batch.num_rows):  # one block at a time is copied
+            codes, label, score = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (("codes", np.uint8), ("label", np.float64), ("score", np.float64)))
+            codes, score = codes.reshape(-1, len(label)), score.reshape(loss.outputs, -1).copy()
             for trees in newer:
                 for k, tree in enumerate(trees):
                     score[k] += tree.scores(codes)
-            yield codes, np.frombuffer(label, np.float64), score
+            yield codes, label, score
 
 
 def _refreshing(loss: Loss, newer: list[list[Tree]]):
@@ -384,7 +385,7 @@ def grow(blocks: DataFrame, loss: Loss, features: int, *, trees: int, leaves: in
     spark, path, parts = blocks.sparkSession, None, max(1, blocks.rdd.getNumPartitions())
     found: list[list[Tree]] = []
     newer: list[list[Tree]] = []
-    current = blocks
+    current, file_rows = blocks, max(1, FILE_BYTES // (BLOCK_ROWS * (features + 8 + 8 * loss.outputs)))
     try:
         for _ in range(trees):
             growers = [_Grower(leaves, least_rows) for _ in range(loss.outputs)]
@@ -402,7 +403,7 @@ def grow(blocks: DataFrame, loss: Loss, features: int, *, trees: int, leaves: in
                 break
             if len(newer) == REFRESH and len(found) < trees:
                 before = current, path
-                current, path = scratch.stored(current.mapInArrow(_refreshing(loss, newer), _BLOCK))
+                current, path = scratch.stored(current.mapInArrow(_refreshing(loss, newer), _BLOCK), file_rows)
                 current, newer = current.persist(StorageLevel.MEMORY_AND_DISK), []
                 before[0].unpersist()
                 scratch.remove(spark, before[1])

@@ -155,3 +155,11 @@ def test_boosted_tweedie_beats_the_linear_one_and_minds_all_parameters(spark, sf
     glm = Pipeline(stages=[*stages, GeneralizedLinearRegression(family="tweedie", variancePower=1.5, linkPower=0.0, labelCol="label_")]).fit(ready)
     other, _, _ = training.feature_stages(test_on, names)
     assert found["{}"] < 0.5 * deviance(glm.transform(other).withColumn("Score", F.col("prediction")))
+
+
+def test_refreshed_blocks_lie_in_bounded_files(spark, sf_dir, monkeypatch):
+    kept, stored = [], B.scratch.stored
+    monkeypatch.setattr(B.scratch, "stored", lambda df, rows=0: kept.append(rows) or stored(df, rows))
+    df = _frame(spark, sf_dir, "l_extendedprice").limit(300)
+    B.LeafwiseBoosting(trees=3, leaves=3).fit(df)
+    assert kept and all(0 < rows * B.BLOCK_ROWS * 17 <= B.FILE_BYTES for rows in kept)
